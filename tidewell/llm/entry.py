@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .pii import KINDS, personal_data, span_text
+from .quality import quality
 from .token_count import token_counts
 from .token_output import token_output
 
@@ -31,6 +32,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality(table(spark, sf_dir, "documents")).select("row.doc_id", *[f"q.{c}" for c in names], "base_failed", "kept")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = token_output(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, vocabulary=49_408)
@@ -41,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_token_counts": op2_token_counts,
+        "op3_quality_rules": op3_quality_rules,
         "op7_token_output": op7_token_output,
     }
 
