@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import decontaminate
 from .pii import KINDS, personal_data, span_text
 from .quality import quality
 from .token_count import token_counts
@@ -37,6 +38,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("row.doc_id", *[f"q.{c}" for c in names], "base_failed", "kept")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    ids = F.array_join(F.transform("items", lambda i: i.cast("string")), ",")
+    return found.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), "longest", "item_id", "item_word", "doc_word",
+    )
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = token_output(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, vocabulary=49_408)
@@ -48,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_token_counts": op2_token_counts,
         "op3_quality_rules": op3_quality_rules,
+        "op4_decontamination": op4_decontamination,
         "op7_token_output": op7_token_output,
     }
 
