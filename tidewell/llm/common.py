@@ -120,7 +120,7 @@ def _is_star(edges: DataFrame) -> bool:
 
 
 def candidate_pairs(keyed: DataFrame, deeper, limit: int = 32, pivots: int = 4) -> DataFrame:
-    """Distinct pairs (a < b) of ids that share a key of `keyed` (key, id), each key's whole group covered.
+    """Distinct pairs (a < b) of ids that share a key of `keyed` (key, id; each once), each key's whole group covered.
 
     Groups of up to `limit` ids give all their pairs, by construction at most limit / 2 for an id.
     Larger groups are handed to `deeper(rows, level)`, which gives rows (key, id) of finer keys or
@@ -129,10 +129,10 @@ def candidate_pairs(keyed: DataFrame, deeper, limit: int = 32, pivots: int = 4)
     """
     out, level = None, 0
     while True:
-        keyed = keyed.distinct()
-        size = keyed.groupBy("key").agg(F.count("*").alias("n"))
-        small = keyed.join(size.where(F.col("n").between(2, limit)).select("key"), "key", "left_semi")
-        groups = small.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        keyed = cut(keyed, "keyed")
+        size = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "size")
+        small = keyed.join(size.where(F.col("n") <= limit).select("key"), "key", "left_semi")
+        groups = small.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         pairs = (
             groups.select(F.posexplode("ids").alias("i", "a"), "ids")
             .select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
