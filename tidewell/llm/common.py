@@ -129,23 +129,24 @@ def candidate_pairs(keyed: DataFrame, deeper, limit: int = 32, pivots: int = 4)
     """
     out, level = None, 0
     while True:
-        keyed = cut(keyed, "keyed")
-        size = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "size")
-        small = keyed.join(size.where(F.col("n") <= limit).select("key"), "key", "left_semi")
-        groups = small.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+        counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+        size = cut(counts.where("n > 1"), "size")
+        several = cut(keyed.join(size.where("n > 2").select("key", "n"), "key"), "several")
+        groups = several.where(F.col("n") <= limit).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         pairs = (
             groups.select(F.posexplode("ids").alias("i", "a"), "ids")
             .select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
+            .union(size.where("n = 2 and a < b").select("a", "b"))
         )
         out = pairs if out is None else out.union(pairs)
-        large = cut(keyed.join(size.where(F.col("n") > limit).select("key"), "key", "left_semi"), "large")
+        large = several.where(F.col("n") > limit).select("key", "id")
         if large.isEmpty():
             return out.distinct()
         level += 1
-        finer = deeper(large, level)
+        finer = deeper(large, level) if deeper else None
         if finer is None:
             break
-        keyed = finer
+        keyed = cut(finer, "finer")
     mixed = large.withColumn("h", F.xxhash64("key", "id"))
     chosen = _pivots(mixed, pivots)
     linked = mixed.join(chosen, "key").where(F.col("id") != F.col("p"))

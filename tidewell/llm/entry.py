@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .line_dedup import line_report
 from .mixing import mixed_sizes
 from .near_dedup import near_duplicates
+from .passage_dedup import passage_report
 from .pii import KINDS, personal_data, span_text
 from .quality import quality
 from .token_count import token_counts
@@ -49,6 +51,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = token_output(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, vocabulary=49_408)
@@ -69,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_quality_rules": op3_quality_rules,
         "op4_decontamination": op4_decontamination,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_passage_dedup": op6_passage_dedup,
         "op7_token_output": op7_token_output,
         "op9_near_dedup": op9_near_dedup,
         "op10_mixing": op10_mixing,

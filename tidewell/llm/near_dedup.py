@@ -246,7 +246,7 @@ def near_duplicates(
     reps = named.join(least.select("key", "id"), "key").where("doc_id = id").select("id", "key", "n", "sketch").dropDuplicates(["key"])
     reps = cut(reps, "reps")
     sketches = reps.select("id", "sketch")
-    pairs = candidate_pairs(_paths(sketches, trees), _deeper(sketches), SMALL)
+    pairs = candidate_pairs(cut(_paths(sketches, trees), "paths"), _deeper(sketches), SMALL)
     sizes = reps.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a")
     pairs = pairs.join(sizes.select(F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b")
