@@ -15,6 +15,7 @@ from .near_dedup import near_duplicates
 from .passage_dedup import passage_report
 from .pii import KINDS, personal_data, span_text
 from .quality import quality
+from .suffix_dedup import remove_repeats
 from .token_count import token_counts
 from .token_output import token_output
 
@@ -65,6 +66,12 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_passage_dedup": op6_passage_dedup,
         "op7_token_output": op7_token_output,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_mixing": op10_mixing,
     }
