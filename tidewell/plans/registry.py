@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chronic, cohorts
+from . import chronic, cohorts, models
 
-PARTS = [chronic, cohorts]
+PARTS = [chronic, cohorts, models]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
