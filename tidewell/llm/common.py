@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,71 +87,106 @@ def connected_components(links: DataFrame) -> DataFrame:
     step lowers the neighbours of every id to its smallest neighbour; minima are aggregated before
     the shuffle and joined back, so that a hot id is split by the adaptive skew join.
     """
-    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    both = [pair("a", "b"), pair("b", "a")]
 
-    def star(edges: DataFrame, both: bool) -> DataFrame:
-        side = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else edges
-        least = side.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+    def directed(edges: DataFrame) -> DataFrame:
+        return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def star(edges: DataFrame, large: bool) -> DataFrame:
+        """Large: greater neighbours of each id go to its smallest; small: smaller ones and the id itself do."""
+        side = edges.select(F.inline(F.array(*both))) if large else edges
+        least = side.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         hop = side.join(least, F.col("a") == F.col("k"))
-        moved = hop.where("b > a" if both else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        if not both:
-            moved = moved.union(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
-        return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        if large:
+            return directed(hop.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        return directed(hop.select(F.inline(F.array(pair("b", "m"), pair("a", "m")))))
+
+    def step(edges: DataFrame, large: bool) -> DataFrame:
+        out = cut(star(edges, large), "links")
+        drop(edges)
+        return out
 
     def mark(edges: DataFrame):
-        return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count_distinct("a")).first()
-
-    now = cut(star(links, False), "links")
-    seen = mark(now)
-    while seen[0] != seen[2] or not _is_star(now):
-        after = cut(star(star(now, True), False), "links")
-        drop(now)
-        now, last, seen = after, seen, mark(after)
-        if seen == last:
-            break
+        return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+
+    now = step(cut(directed(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))), "links"), False)
+    seen, last = mark(now), None
+    while seen != last:
+        now = step(step(now, True), False)
+        seen, last = mark(now), seen
     roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
-def _is_star(edges: DataFrame) -> bool:
-    """Whether no id is both a member and a centre, given one row for each member."""
-    return edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
-
-
-def candidate_pairs(keyed: DataFrame, deeper, limit: int = 32, pivots: int = 4) -> DataFrame:
+def candidate_pairs(keyed: DataFrame, deeper=None, limit: int = 12, pivots: int = 4) -> DataFrame:
     """Distinct pairs (a < b) of ids that share a key of `keyed` (key, id; each once), each key's whole group covered.
 
     Groups of up to `limit` ids give all their pairs, by construction at most limit / 2 for an id.
     Larger groups are handed to `deeper(rows, level)`, which gives rows (key, id) of finer keys or
     None when there is none; what is still large then is linked to `pivots` ids of the group,
-    picked by a hash of key and id, so that no group is expanded into all its pairs.
+    picked by a hash of key and id, so that no group is expanded into all its pairs. The result is a
+    table in the shared folder; what was written on the way is deleted.
     """
-    out, level = None, 0
+    out, level, written = None, 0, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        written.append(cut(df, name))
+        return written[-1]
+
     while True:
-        counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
-        size = cut(counts.where("n > 1"), "size")
-        several = cut(keyed.join(size.where("n > 2").select("key", "n"), "key"), "several")
+        size = kept(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "size")
+        several = kept(keyed.join(size, "key"), "several")
         groups = several.where(F.col("n") <= limit).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        pairs = (
-            groups.select(F.posexplode("ids").alias("i", "a"), "ids")
-            .select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
-            .union(size.where("n = 2 and a < b").select("a", "b"))
-        )
+        pairs = groups.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
         out = pairs if out is None else out.union(pairs)
         large = several.where(F.col("n") > limit).select("key", "id")
         if large.isEmpty():
-            return out.distinct()
+            break
         level += 1
         finer = deeper(large, level) if deeper else None
         if finer is None:
+            mixed = large.withColumn("h", F.xxhash64("key", "id"))
+            linked = mixed.join(_pivots(mixed, pivots), "key").where(F.col("id") != F.col("p"))
+            out = out.union(linked.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
             break
-        keyed = cut(finer, "finer")
-    mixed = large.withColumn("h", F.xxhash64("key", "id"))
-    chosen = _pivots(mixed, pivots)
-    linked = mixed.join(chosen, "key").where(F.col("id") != F.col("p"))
-    return out.union(linked.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))).distinct()
+        keyed = kept(finer, "finer")
+    pairs = cut(out.distinct(), "pairs")
+    for df in written:
+        drop(df)
+    return pairs
+
+
+#: Bits of a membership map: 16 MB at most, however many ids there are.
+MAP_BITS = 1 << 27
+
+
+def membership(ids: DataFrame) -> np.ndarray:
+    """A bit map of the hashes of a column of ids, made by Spark's bitmap aggregates: at most MAP_BITS bits reach the
+    driver. It tells for sure only that an id is not there; an exact join follows its use."""
+    at = F.pmod(ids[ids.columns[0]], F.lit(MAP_BITS)) + 1
+    rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
+    out = np.zeros(MAP_BITS // 8 + 4096, np.uint8)
+    for r in rows.toLocalIterator():
+        first = (r["b"] - 1) * 4096
+        out[first : first + 4096] |= np.frombuffer(r["m"], np.uint8)
+    return out
+
+
+def maybe_in(map_: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = np.mod(ids, MAP_BITS)
+    return (map_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def pack_set(s: np.ndarray) -> bytes:
+    """A sorted set of 64-bit hashes by their upper 40 bits: two of a thousand agree by chance once in a million sets."""
+    return (s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack_set(b) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view(np.uint64)
 
 
 def _pivots(mixed: DataFrame, pivots: int) -> DataFrame:

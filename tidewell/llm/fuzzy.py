@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import candidate_pairs, cut
+from .common import candidate_pairs, cut, drop, maybe_in, membership
 from .near_dedup import link, mix
 
 UNITS = "row long, doc_id long, pos int, size int, unit long, bands array<long>"
@@ -33,19 +33,38 @@ def segment_sums(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.
     return mix(np.add.reduceat(terms, np.cumsum(size) - size) + size.astype(np.uint64))
 
 
-def removals(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, limit: int = 24, deeper=None) -> DataFrame:
+class Fresh:
+    """Which of some numbers are asked for and weren't met before in this task, as far as a bounded memory tells."""
+
+    def __init__(self, map_: np.ndarray, most: int = 500_000):
+        self.map, self.most, self.met = map_, most, set()
+
+    def __call__(self, numbers: np.ndarray) -> list[int]:
+        out = []
+        for i in np.flatnonzero(maybe_in(self.map, numbers)).tolist():
+            n = int(numbers[i])
+            if n not in self.met:
+                if len(self.met) >= self.most:
+                    self.met.clear()
+                self.met.add(n)
+                out.append(i)
+        return out
+
+
+def removals(units: DataFrame, sets_of: Callable, percent: int, limit: int = 12, deeper=None) -> DataFrame:
     """(row, pos, unit, component): the places of `units` that are not the first of their component.
 
-    sets_of(wanted) gives (id, set) for rows (doc_id, pos, unit) that each stand for one distinct unit.
+    sets_of(map) gives (id, set) of the units whose number may be in a membership map.
     """
     first = F.struct("doc_id", "row", "pos")
     distinct = cut(units.groupBy("unit").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "distinct")
     keyed = distinct.select(F.explode("bands").alias("key"), F.col("unit").alias("id"))
-    pairs = cut(candidate_pairs(keyed, deeper(distinct) if deeper else None, limit), "pairs")
-    ends = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
-    wanted = distinct.join(ends, "unit", "left_semi").select("first.doc_id", "first.pos", "unit")
-    sets = cut(sets_of(wanted).dropDuplicates(["id"]), "sets")
+    pairs = candidate_pairs(keyed, deeper(distinct) if deeper else None, limit)
+    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
+    found = sets_of(units.sparkSession.sparkContext.broadcast(membership(ends)))  # MAP_BITS at most
+    sets = cut(found.join(ends, "id", "left_semi").dropDuplicates(["id"]), "sets")
     members = link(pairs, sets, percent)
+    drop(sets)
     # a keeper for each unit that has company: the first place of its component
     placed = distinct.select("unit", "first", "n").join(members.withColumnRenamed("id", "unit"), "unit", "left").where("n > 1 or component is not null")
     placed = placed.select("unit", "first", F.coalesce("component", "unit").alias("component"))

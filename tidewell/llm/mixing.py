@@ -171,7 +171,8 @@ class Mix:
     def picked(self) -> DataFrame:
         """pieces() with `picks`, the number of slots that took their block."""
         taken = self.slots().groupBy("source_no", "block").agg(F.count("*").alias("picks"))
-        return self.pieces().join(taken, ["source_no", "block"])
+        # a draw is planned from a short range of numbers: without the hint it would be taken for small and be broadcast
+        return self.pieces().join(taken.hint("merge"), ["source_no", "block"])
 
 
 def word_count(text: str = "text"):

@@ -17,17 +17,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import candidate_pairs, connected_components, cut
+from .common import candidate_pairs, connected_components, cut, drop, maybe_in, membership, pack_set, unpack_set
 
 #: Minwise values of a document from which paths choose.
 VALUES = 128
 #: Levels of a tree before nodes are counted, and levels that large nodes branch further, one at a time.
 FIRST, MORE = 4, 6
 #: Independent trees. A pair at similarity 0.8 shares a node after 4 levels of one tree with probability
-#: 0.58, so 14 trees miss it with probability 6e-6.
-TREES = 14
+#: 0.58, so 10 trees miss it with probability 2e-4, and one at 0.85 with probability 4e-7.
+TREES = 10
 #: Nodes of up to this many representatives are compared exhaustively.
-SMALL = 24
+SMALL = 12
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -117,9 +117,8 @@ def grow(path: np.ndarray, owner: np.ndarray, sketch: np.ndarray, levels: int) -
     return path, owner
 
 
-def _sets(docs: DataFrame, size: int, sketches: bool) -> DataFrame:
-    """(doc_id, n, key, sketch or set) of each document; key is a 128-bit hash of its set, null without words."""
-    schema = "doc_id long, n long, key binary, " + ("sketch binary" if sketches else "set binary")
+def _sketches(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, key, sketch) of each document; key is a 128-bit hash of its set, null without words."""
 
     def run(batches):
         import pyarrow as pa
@@ -128,15 +127,35 @@ def _sets(docs: DataFrame, size: int, sketches: bool) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                n, key, data = [], [], []
-                for t in part.column(1):
-                    s = shingles(t.as_py(), size)
-                    n.append(len(s))
-                    key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    data.append((minwise(s, VALUES) if sketches else s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "n", "key", "sketch" if sketches else "set"])
+                sets = [shingles(t.as_py(), size) for t in part.column(1)]
+                n = [len(s) for s in sets]
+                key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                sketch = [minwise(s, VALUES).tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n", "key", "sketch"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, sketch binary")
+
+
+def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """(doc_id, key, set) of the documents whose id may be among `wanted` (one column); few others, and no text,
+    leave the tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(membership(wanted))  # MAP_BITS at most
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute
+        import xxhash
+
+        for b in batches:
+            known = b.filter(pa.compute.is_valid(b.column(0)))
+            known = known.filter(pa.array(maybe_in(shared.value, known.column(0).to_numpy())))
+            for k in range(0, known.num_rows, 500):
+                part = known.slice(k, 500)
+                sets = [shingles(t.as_py(), size) for t in part.column(1)]
+                key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.binary()), pa.array([pack_set(s) for s in sets], pa.binary())], ["doc_id", "key", "set"])
+
+    return docs.mapInArrow(run, "doc_id long, key binary, set binary")
 
 
 def _paths(sketches: DataFrame, trees: int) -> DataFrame:
@@ -186,7 +205,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             good = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpack_set(x.as_buffer()), unpack_set(y.as_buffer())
                 both = np.sort(np.concatenate([x, y]))
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 good.append(100 * same >= percent * (len(x) + len(y) - same))
@@ -198,32 +217,42 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs whose minwise values agree so seldom that a similarity of `percent` % is out of the question:
+    five standard deviations below, one in millions of the pairs at the threshold."""
+    p = percent / 100
+    least = VALUES * p - 5 * (VALUES * p * (1 - p)) ** 0.5
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(b.num_rows, -1) for i in (2, 3))
+            keep = pa.array((x == y).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
+
+    left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def link(pairs: DataFrame, sets: DataFrame, percent: int, sketches: DataFrame | None = None) -> DataFrame:
     """(id, component) of the graph of those pairs that are similar enough.
 
-    Pairs are confirmed by turns. A turn takes, for each id, its pair with the smallest partner among
-    the pairs that join different components so far; pairs within a component need no check. When no
-    more pairs are open than there are ids, all are checked. Nothing is left out: the turns end when
-    no pair is open.
+    Pairs are confirmed in two turns: first, for each id, the one with its smallest partner; then all
+    that join different components after that. Pairs within a component need no check, so large groups
+    of copies cost about one check for each member.
     """
-    open_, links, members = pairs, None, None
-    while True:
-        n, ids = open_.agg(F.count("*"), F.count_distinct("b")).first()
-        if not n:
-            break
-        turn = open_ if n <= 2 * ids else open_.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        found = cut(verify(turn, sets, percent), "found")
-        links = found if links is None else links.union(found)
-        members = cut(connected_components(links), "members")
-        if n <= 2 * ids:
-            break
-        rest = open_.join(turn, ["a", "b"], "left_anti")
-        rest = rest.join(members.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-        rest = rest.join(members.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        open_ = cut(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "open")
-    if members is None:
-        return open_.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
-    return members
+    turn = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = cut(verify(turn, sets, percent), "found")
+    members = cut(connected_components(found), "members")
+    rest = pairs.join(members.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+    rest = rest.join(members.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(turn, ["a", "b"], "left_anti")
+    if sketches is not None:
+        rest = alike(rest, sketches, percent)
+    more = verify(rest, sets, percent)
+    return cut(connected_components(members.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "members")
 
 
 def near_duplicates(
@@ -239,24 +268,27 @@ def near_duplicates(
     with a null id get a null component and are kept.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = cut(_sets(rows, size, True), "sketches")
+    sketched = cut(_sketches(rows, size), "sketches")
+    seen = cut(sketched.select("doc_id", "n", "key"), "seen")
     named = seen.where("doc_id is not null and key is not null")
-    least = named.groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    # one row for each distinct set; its sketch comes from any row that has it
-    reps = named.join(least.select("key", "id"), "key").where("doc_id = id").select("id", "key", "n", "sketch").dropDuplicates(["key"])
-    reps = cut(reps, "reps")
-    sketches = reps.select("id", "sketch")
-    pairs = candidate_pairs(cut(_paths(sketches, trees), "paths"), _deeper(sketches), SMALL)
+    # one row for each distinct set, under its smallest id
+    distinct = sketched.where("doc_id is not null and key is not null").groupBy("key")
+    reps = cut(distinct.agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch")), "reps")
+    drop(sketched)
+    least, sketches = reps.select("key", "id", "copies"), reps.select("id", "sketch")
+    paths = cut(_paths(sketches, trees), "paths")
+    pairs = candidate_pairs(paths, _deeper(sketches), SMALL)
+    drop(paths)
     sizes = reps.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a")
     pairs = pairs.join(sizes.select(F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b")
     pairs = cut(pairs.where(f"100 * ahi >= {percent} * blo and 100 * bhi >= {percent} * alo").select("a", "b"), "pairs")
 
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    again = _sets(rows.join(ends, "doc_id", "left_semi"), size, False)
-    keys = reps.select(F.col("id").alias("doc_id"), "key")
-    sets = cut(again.join(keys, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("id"), "set"), "sets")
-    members = link(pairs, sets, percent)
+    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
+    keys = reps.select(F.col("id").alias("doc_id"), "key").join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    found = _sets(rows, size, ends).join(keys, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    sets = cut(found.select(F.col("doc_id").alias("id"), "set"), "sets")
+    members = link(pairs, sets, percent, sketches)
 
     own = named.join(least, "key").where("copies > 1 or doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
     # ids with one set need no more than their representative's component; several sets of one id are joined by links

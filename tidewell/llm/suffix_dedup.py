@@ -25,7 +25,7 @@ from .near_dedup import mix
 #: Bytes of a string that is looked for, and of an anchor.
 LENGTH, ANCHOR = 100, 32
 #: Bytes of extents that one suffix array covers, unless one anchor has more.
-SHARD = 1 << 18
+SHARD = 1 << 16
 _SPAN = LENGTH - ANCHOR + 1
 _U = np.uint64
 
@@ -35,81 +35,111 @@ def suffix_array(text: bytes) -> list[int]:
     for each of its Lyndon factors: linear time, no recursion and no renaming."""
     n = len(text)
     buckets = defaultdict(list)
-    for i, c in enumerate(text):
+    for i, c in enumerate(text, 1):
         buckets[c].append(i)
     members: list = []
-    lower: list[int] = []  # next smaller group
-    group = [0] * n
+    group = [0] * (n + 1)
     for c in sorted(buckets):
-        lower.append(len(members) - 1)
-        for i in buckets[c]:
+        own = buckets[c]
+        for i in own:
             group[i] = len(members)
-        members.append(set(buckets[c]))
+        members.append(set(own))
+    lower = [*range(-1, len(members) - 1)]
     upper = [*range(1, len(members)), -1]
-    done = [False] * len(members)
-    previous = [-1] * n
+    done = bytearray(n + 1)  # suffixes of groups that are worked off; 0 stands before the text and never is
+    previous = [0] * (n + 1)
     g = len(members) - 1
     while g >= 0:
         own = members[g]
+        if len(own) == 1:
+            (i,) = own
+            p = i - 1
+            while done[p]:
+                p = previous[p]
+            previous[i] = p
+            done[i] = 1
+            g = lower[g]
+            if p:
+                old = group[p]
+                if len(members[old]) > 1:
+                    members[old].discard(p)
+                    new = len(members)
+                    members.append({p})
+                    group[p] = new
+                    above = upper[old]
+                    lower.append(old)
+                    upper.append(above)
+                    upper[old] = new
+                    if above >= 0:
+                        lower[above] = new
+                    if g == old:
+                        g = new
+            continue
         # roots: the previous suffixes of smaller groups, with the number of members that lead to each
         count: dict[int, int] = {}
-        for i in sorted(own) if len(own) > 1 else own:
+        several = False
+        for i in sorted(own):
             p = i - 1
-            while p >= 0 and done[group[p]]:
+            while done[p]:
                 p = previous[p]
-            if p >= 0 and group[p] == g:
+            if group[p] == g and p:
                 p = previous[p]
             previous[i] = p
-            if p >= 0:
-                count[p] = count.get(p, 0) + 1
-        done[g] = True
-        if count:
-            parts: dict[tuple[int, int], list[int]] = {}
-            for p, k in count.items():
-                key = (k, group[p])
-                if key in parts:
-                    parts[key].append(p)
-                else:
-                    parts[key] = [p]
-            for k, old in sorted(parts, reverse=True) if len(parts) > 1 else parts:
-                moved = parts[k, old]
-                if len(moved) == len(members[old]):
-                    continue
-                members[old].difference_update(moved)
-                new = len(members)
-                members.append(set(moved))
-                for p in moved:
-                    group[p] = new
-                done.append(False)
-                above = upper[old]
-                lower.append(old)
-                upper.append(above)
-                upper[old] = new
-                if above >= 0:
-                    lower[above] = new
+            if p in count:
+                count[p] += 1
+                several = True
+            else:
+                count[p] = 1
+        for i in own:
+            done[i] = 1
+        count.pop(0, None)
+        parts: dict[tuple[int, int], list[int]] = {}
+        for p, k in count.items():
+            key = (k, group[p])
+            if key in parts:
+                parts[key].append(p)
+            else:
+                parts[key] = [p]
+        for key in sorted(parts, reverse=True) if several else parts:
+            moved, old = parts[key], key[1]
+            if len(moved) == len(members[old]):
+                continue
+            members[old].difference_update(moved)
+            new = len(members)
+            members.append(set(moved))
+            for p in moved:
+                group[p] = new
+            above = upper[old]
+            lower.append(old)
+            upper.append(above)
+            upper[old] = new
+            if above >= 0:
+                lower[above] = new
         g = lower[g]
-    # groups from the smallest up get their places; each suffix emits those whose next smaller suffix it is
+    # groups from the smallest up get their places; each suffix emits those whose next smaller suffix it is, the
+    # end of the text, smaller than any, first
     place = [0] * len(members)
     g, at = 0, 0
     while g >= 0 and members:
         place[g] = at
         at += len(members[g])
         g = upper[g]
-    out = [-1] * n
-    placed = bytearray(n)
-
-    def emit(s: int) -> None:
-        while s >= 0 and not placed[s]:
+    out = [0] * n
+    placed = bytearray(n + 1)
+    placed[0] = 1
+    s, r = n, 0
+    while True:
+        while not placed[s]:
             q = group[s]
             out[place[q]] = s
             place[q] += 1
             placed[s] = 1
             s = previous[s]
-
-    emit(n - 1)  # the end of the text is smaller than any suffix
-    for r in range(n):
-        emit(out[r] - 1)
-    return out
+        if r == n:
+            break
+        s = out[r] - 1
+        r += 1
+    return [i - 1 for i in out]
 
 
 def _doubled(data: np.ndarray, upto: int) -> list[np.ndarray]:
