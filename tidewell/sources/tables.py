@@ -41,7 +41,7 @@ def diary_grid(rows: DataFrame, bin_hours: float = 0.5) -> DataFrame:
 
 def day_composition(grid: DataFrame, bin_hours: float = 0.5, least_cover: float = 0.8) -> DataFrame:
     """Hours of each state a day, and whether the day is covered enough."""
-    out = grid.groupBy("patient_id", "condition", "day").pivot("state", list(DIARY_STATES.values())).agg(F.count("*") * bin_hours)
+    out = grid.groupBy("patient_id", "condition", "day").pivot("state", list(DIARY_STATES.values())).agg(F.count(F.lit(1)) * bin_hours)
     out = out.na.fill(0.0, list(DIARY_STATES.values()))
     covered = sum((F.col(c) for c in DIARY_STATES.values()), F.lit(0.0))
     return out.withColumn("complete", covered / 24 >= least_cover)
