@@ -119,23 +119,39 @@ def connected_components(links: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
-def candidate_pairs(keyed: DataFrame, deeper=None, limit: int = 12, pivots: int = 4) -> DataFrame:
-    """Distinct pairs (a < b) of ids that share a key of `keyed` (key, id; each once), each key's whole group covered.
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(id): every id of a table of pairs (a, b) once."""
+    return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
+
+
+def candidate_pairs(keyed: DataFrame, confirm, deeper=None, limit: int = 12, pivots: int = 4) -> DataFrame:
+    """Distinct pairs (a < b) of ids that share a key of `keyed` (key, id; each once), each key's whole group covered
+    as far as components go: of ids that other pairs join already, no pair is needed.
 
     Groups of up to `limit` ids give all their pairs, by construction at most limit / 2 for an id.
-    Larger groups are handed to `deeper(rows, level)`, which gives rows (key, id) of finer keys or
-    None when there is none; what is still large then is linked to `pivots` ids of the group,
-    picked by a hash of key and id, so that no group is expanded into all its pairs. The result is a
-    table in the shared folder; what was written on the way is deleted.
+    The ids of larger groups are first paired with one of them, and `confirm(pairs)` gives the
+    components (id, component) of those pairs that hold. Groups that lie in one component are done;
+    the others are handed to `deeper(rows, level)`, which gives rows (key, id) of finer keys or
+    None when there is none; what is still large and of several components then is linked to `pivots`
+    ids of the group, picked by a hash of key and id, so that no group is expanded into all its pairs.
+    The result is a table in the shared folder; what was written on the way is deleted.
     """
-    out, level, written = None, 0, []
+    out, level, written, known = None, 0, [], None
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         written.append(cut(df, name))
         return written[-1]
 
+    def open_groups(rows: DataFrame) -> DataFrame:
+        """(key, n) of the groups with ids that are not known to be of one component."""
+        if known is None:
+            return rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        c = F.coalesce("component", "id")
+        sizes = rows.select("key", "id").join(known, "id", "left").groupBy("key").agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"))
+        return sizes.where("lo <> hi").select("key", "n")
+
     while True:
-        size = kept(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "size")
+        size = kept(open_groups(keyed), "size")
         several = kept(keyed.join(size, "key"), "several")
         groups = several.where(F.col("n") <= limit).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         pairs = groups.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
@@ -143,12 +159,18 @@ def candidate_pairs(keyed: DataFrame, deeper=None, limit: int = 12, pivots: int
         large = several.where(F.col("n") > limit).select("key", "id")
         if large.isEmpty():
             break
+        if known is None:
+            # the hash is of the id alone: groups of nearly the same ids mostly pick the same one
+            star = kept(_stars(large, F.xxhash64("id"), 1).distinct(), "stars")
+            known = kept(confirm(star), "known")
+            out = out.union(star)
+            large = kept(large.join(open_groups(large), "key", "left_semi"), "large")
+            if large.isEmpty():
+                break
         level += 1
         finer = deeper(large, level) if deeper else None
         if finer is None:
-            mixed = large.withColumn("h", F.xxhash64("key", "id"))
-            linked = mixed.join(_pivots(mixed, pivots), "key").where(F.col("id") != F.col("p"))
-            out = out.union(linked.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
+            out = out.union(_stars(large, F.xxhash64("key", "id"), pivots))
             break
         keyed = kept(finer, "finer")
     pairs = cut(out.distinct(), "pairs")
@@ -189,8 +211,11 @@ def unpack_set(b) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _pivots(mixed: DataFrame, pivots: int) -> DataFrame:
-    """(key, p): for each of `pivots` salts the id with the smallest salted hash; sums before the shuffle."""
+def _stars(rows: DataFrame, by: Column, pivots: int) -> DataFrame:
+    """(a, b): each id of a group (key, id) with up to `pivots` of its ids, those with the smallest salted hashes `by`;
+    these are aggregated before the shuffle."""
+    mixed = rows.withColumn("h", by)
     picks = [F.min_by("id", F.xxhash64(F.lit(i), "h")).alias(f"p{i}") for i in range(pivots)]
-    wide = mixed.groupBy("key").agg(*picks)
-    return wide.select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("p"))
+    chosen = mixed.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("p"))
+    linked = mixed.join(chosen, "key").where(F.col("id") != F.col("p"))
+    return linked.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))

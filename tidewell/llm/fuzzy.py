@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import candidate_pairs, cut, drop, maybe_in, membership
-from .near_dedup import link, mix
+from .common import candidate_pairs, connected_components, cut, drop, ends_of, maybe_in, membership
+from .near_dedup import link, mix, verify
 
 UNITS = "row long, doc_id long, pos int, size int, unit long, bands array<long>"
 SETS = "id long, set binary"
@@ -59,10 +59,17 @@ def removals(units: DataFrame, sets_of: Callable, percent: int, limit: int = 12,
     first = F.struct("doc_id", "row", "pos")
     distinct = cut(units.groupBy("unit").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "distinct")
     keyed = distinct.select(F.explode("bands").alias("key"), F.col("unit").alias("id"))
-    pairs = candidate_pairs(keyed, deeper(distinct) if deeper else None, limit)
-    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
-    found = sets_of(units.sparkSession.sparkContext.broadcast(membership(ends)))  # MAP_BITS at most
-    sets = cut(found.join(ends, "id", "left_semi").dropDuplicates(["id"]), "sets")
+
+    def sets_for(some: DataFrame) -> DataFrame:
+        ends = ends_of(some)
+        found = sets_of(units.sparkSession.sparkContext.broadcast(membership(ends)))  # MAP_BITS at most
+        return cut(found.join(ends, "id", "left_semi").dropDuplicates(["id"]), "sets")
+
+    def confirm(some: DataFrame) -> DataFrame:
+        return connected_components(verify(some, sets_for(some), percent))
+
+    pairs = candidate_pairs(keyed, confirm, deeper(distinct) if deeper else None, limit)
+    sets = sets_for(pairs)
     members = link(pairs, sets, percent)
     drop(sets)
     # a keeper for each unit that has company: the first place of its component

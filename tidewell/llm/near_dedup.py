@@ -3,8 +3,9 @@
 Documents are sets of word shingles; equal sets are one representative. Several independent trees
 branch the representatives by minwise tokens: a path's hash picks which minwise value of a document
 extends it, and now and then a second one, so that for a pair at the threshold about one common
-child is expected at each node. Small nodes are compared exhaustively, large ones branch further;
-what is still large at the last level is compared with a few hash-picked pivots. Candidates are
+child is expected at each node. Small nodes are compared exhaustively; large ones whose documents one
+confirmed star joins are done, others branch further; what is still large and of several components
+at the last level is compared with a few hash-picked pivots. Candidates are
 then confirmed on the full sets, a spanning part of them at a time, and documents are grouped by
 connected components.
 """
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import candidate_pairs, connected_components, cut, drop, maybe_in, membership, pack_set, unpack_set
+from .common import candidate_pairs, connected_components, cut, drop, ends_of, maybe_in, membership, pack_set, unpack_set
 
 #: Minwise values of a document from which paths choose.
 VALUES = 128
@@ -277,17 +278,23 @@ def near_duplicates(
     drop(sketched)
     least, sketches = reps.select("key", "id", "copies"), reps.select("id", "sketch")
     paths = cut(_paths(sketches, trees), "paths")
-    pairs = candidate_pairs(paths, _deeper(sketches), SMALL)
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        keys = reps.select(F.col("id").alias("doc_id"), "key").join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        found = _sets(rows, size, ends).join(keys, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+        return cut(found.select(F.col("doc_id").alias("id"), "set"), "sets")
+
+    def confirm(some: DataFrame) -> DataFrame:
+        return connected_components(verify(some, sets_of(ends_of(some)), percent))
+
+    pairs = candidate_pairs(paths, confirm, _deeper(sketches), SMALL)
     drop(paths)
     sizes = reps.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a")
     pairs = pairs.join(sizes.select(F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b")
     pairs = cut(pairs.where(f"100 * ahi >= {percent} * blo and 100 * bhi >= {percent} * alo").select("a", "b"), "pairs")
 
-    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
-    keys = reps.select(F.col("id").alias("doc_id"), "key").join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    found = _sets(rows, size, ends).join(keys, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    sets = cut(found.select(F.col("doc_id").alias("id"), "set"), "sets")
+    sets = sets_of(ends_of(pairs))
     members = link(pairs, sets, percent, sketches)
 
     own = named.join(least, "key").where("copies > 1 or doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
