@@ -12,10 +12,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewell.llm import entry, line_dedup, mixing, passage_dedup, quality, suffix_dedup, token_count, token_output
-from tidewell.llm.common import add_offsets, connected_components
+from tidewell.llm import entry, line_dedup, mixing, passage_dedup, prefix_join, quality, suffix_dedup, token_count, token_output
+from tidewell.llm.common import add_offsets, connected_components, pack_set
 from tidewell.llm.decontaminate import clean_documents, decontaminate
-from tidewell.llm.near_dedup import keep_one, near_duplicates
+from tidewell.llm.near_dedup import keep_one, near_duplicates, verify
 from tidewell.llm.pii import personal_data, span_text
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -264,6 +264,38 @@ def test_lines(spark, none):
     assert line_dedup.line_report(none).count() == 0
 
 
+def test_hot_lines_of_many_small_classes(spark):
+    # 600 lines of one template, at about 0.66 of each other; two of each class are at 0.87
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    head, tail = letters(70), letters(60)
+    lines = [head + middle + tail[:30] + letters(3) + tail[30:] for middle in [letters(12) for _ in range(300)] for _ in range(2)]
+    order = rng.permutation(len(lines))
+    df = spark.createDataFrame([(int(i), lines[int(i)]) for i in order], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_report(df).collect()}
+    assert got == {i: i % 2 for i in range(len(lines))}
+
+
+@pytest.mark.parametrize("small, block", [(12, 256), (2, 5)])
+def test_exact_join_of_sets(spark, monkeypatch, small, block):
+    for name, value in (("SMALL", small), ("BLOCK", block), ("PIVOTS", 1)):
+        monkeypatch.setattr(prefix_join, name, value)
+    rng = np.random.default_rng(4)
+    bases = [rng.choice(np.arange(60), 40, False) for _ in range(3)] + [rng.integers(100, 1 << 38, 30) for _ in range(3)]
+    rows = {}
+    for i in range(240):
+        base = bases[i % 6]
+        rows[i] = frozenset(int(x) for x in base[rng.random(len(base)) > 0.06]) | frozenset(int(x) for x in rng.integers(1, 1 << 39, i % 5))
+    packed = [(i, bytearray(pack_set(np.sort(np.array(list(s), np.uint64) << np.uint64(24))))) for i, s in rows.items()]
+    sets = spark.createDataFrame(packed, "id long, set binary").repartition(3)
+    want = {(a, b) for a in rows for b in rows if a < b and 100 * len(rows[a] & rows[b]) >= 80 * len(rows[a] | rows[b])}
+    known = spark.createDataFrame([(0, 0), (6, 0)] if (0, 6) in want else [], "id long, component long")
+    pairs = prefix_join.similar_pairs(sets, 80, known, verify)
+    got = {(r["id"], r["component"]) for r in connected_components(verify(pairs, sets, 80).union(known.select("id", "component"))).collect()}
+    links = spark.createDataFrame(sorted(want), "a long, b long")
+    assert want and got == {(r["id"], r["component"]) for r in connected_components(links).collect()}
+
+
 def test_passages(spark, docs, none):
     passage = prose(77, 60)
     texts = [prose(200 + i, 80) + " " + (passage + " " if i % 3 == 0 else "") + prose(300 + i, 40) for i in range(30)] + [None, "", "short one"]

@@ -124,7 +124,7 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
 
 
-def candidate_pairs(keyed: DataFrame, confirm, deeper=None, limit: int = 12, pivots: int = 4) -> DataFrame:
+def candidate_pairs(keyed: DataFrame, confirm, settle, deeper=None, limit: int = 12) -> DataFrame:
     """Distinct pairs (a < b) of ids that share a key of `keyed` (key, id; each once), each key's whole group covered
     as far as components go: of ids that other pairs join already, no pair is needed.
 
@@ -132,8 +132,8 @@ def candidate_pairs(keyed: DataFrame, confirm, deeper=None, limit: int = 12, piv
     The ids of larger groups are first paired with one of them, and `confirm(pairs)` gives the
     components (id, component) of those pairs that hold. Groups that lie in one component are done;
     the others are handed to `deeper(rows, level)`, which gives rows (key, id) of finer keys or
-    None when there is none; what is still large and of several components then is linked to `pivots`
-    ids of the group, picked by a hash of key and id, so that no group is expanded into all its pairs.
+    None when there is none; the ids of groups that are still large and of several components then go to
+    `settle(ids, known)`, which gives all pairs that join them beside the components `known` (id, component).
     The result is a table in the shared folder; what was written on the way is deleted.
     """
     out, level, written, known = None, 0, [], None
@@ -161,7 +161,7 @@ def candidate_pairs(keyed: DataFrame, confirm, deeper=None, limit: int = 12, piv
             break
         if known is None:
             # the hash is of the id alone: groups of nearly the same ids mostly pick the same one
-            star = kept(_stars(large, F.xxhash64("id"), 1).distinct(), "stars")
+            star = kept(stars(large, F.xxhash64("id"), 1).distinct(), "stars")
             known = kept(confirm(star), "known")
             out = out.union(star)
             large = kept(large.join(open_groups(large), "key", "left_semi"), "large")
@@ -170,7 +170,8 @@ def candidate_pairs(keyed: DataFrame, confirm, deeper=None, limit: int = 12, piv
         level += 1
         finer = deeper(large, level) if deeper else None
         if finer is None:
-            out = out.union(_stars(large, F.xxhash64("key", "id"), pivots))
+            written.append(settle(kept(large.select("id").distinct(), "open"), known))
+            out = out.union(written[-1])
             break
         keyed = kept(finer, "finer")
     pairs = cut(out.distinct(), "pairs")
@@ -211,7 +212,7 @@ def unpack_set(b) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _stars(rows: DataFrame, by: Column, pivots: int) -> DataFrame:
+def stars(rows: DataFrame, by: Column, pivots: int) -> DataFrame:
     """(a, b): each id of a group (key, id) with up to `pivots` of its ids, those with the smallest salted hashes `by`;
     these are aggregated before the shuffle."""
     mixed = rows.withColumn("h", by)

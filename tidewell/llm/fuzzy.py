@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import candidate_pairs, connected_components, cut, drop, ends_of, maybe_in, membership
 from .near_dedup import link, mix, verify
+from .prefix_join import similar_pairs
 
 UNITS = "row long, doc_id long, pos int, size int, unit long, bands array<long>"
 SETS = "id long, set binary"
@@ -60,16 +61,18 @@ def removals(units: DataFrame, sets_of: Callable, percent: int, limit: int = 12,
     distinct = cut(units.groupBy("unit").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "distinct")
     keyed = distinct.select(F.explode("bands").alias("key"), F.col("unit").alias("id"))
 
-    def sets_for(some: DataFrame) -> DataFrame:
-        ends = ends_of(some)
+    def sets_for(ends: DataFrame) -> DataFrame:
         found = sets_of(units.sparkSession.sparkContext.broadcast(membership(ends)))  # MAP_BITS at most
         return cut(found.join(ends, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
     def confirm(some: DataFrame) -> DataFrame:
-        return connected_components(verify(some, sets_for(some), percent))
+        return connected_components(verify(some, sets_for(ends_of(some)), percent))
 
-    pairs = candidate_pairs(keyed, confirm, deeper(distinct) if deeper else None, limit)
-    sets = sets_for(pairs)
+    def settle(ids: DataFrame, known: DataFrame) -> DataFrame:
+        return similar_pairs(sets_for(ids), percent, known, verify)
+
+    pairs = candidate_pairs(keyed, confirm, settle, deeper(distinct) if deeper else None, limit)
+    sets = sets_for(ends_of(pairs))
     members = link(pairs, sets, percent)
     drop(sets)
     # a keeper for each unit that has company: the first place of its component

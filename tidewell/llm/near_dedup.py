@@ -4,9 +4,8 @@ Documents are sets of word shingles; equal sets are one representative. Several
 branch the representatives by minwise tokens: a path's hash picks which minwise value of a document
 extends it, and now and then a second one, so that for a pair at the threshold about one common
 child is expected at each node. Small nodes are compared exhaustively; large ones whose documents one
-confirmed star joins are done, others branch further; what is still large and of several components
-at the last level is compared with a few hash-picked pivots. Candidates are
-then confirmed on the full sets, a spanning part of them at a time, and documents are grouped by
+confirmed star joins are done; the documents of others go through an exact join by their rarest
+shingles. Candidates are then confirmed on the full sets, a spanning part of them at a time, and documents are grouped by
 connected components.
 """
 
@@ -19,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import candidate_pairs, connected_components, cut, drop, ends_of, maybe_in, membership, pack_set, unpack_set
+from .prefix_join import similar_pairs
 
 #: Minwise values of a document from which paths choose.
 VALUES = 128
-#: Levels of a tree before nodes are counted, and levels that large nodes branch further, one at a time.
-FIRST, MORE = 4, 6
+#: Levels of a tree.
+FIRST = 4
 #: Independent trees. A pair at similarity 0.8 shares a node after 4 levels of one tree with probability
 #: 0.58, so 10 trees miss it with probability 2e-4, and one at 0.85 with probability 4e-7.
 TREES = 10
@@ -177,26 +177,6 @@ def _paths(sketches: DataFrame, trees: int) -> DataFrame:
     return sketches.select("id", "sketch").mapInArrow(run, "key long, id long")
 
 
-def _deeper(sketches: DataFrame):
-    """One further level for the rows (key, id) of large nodes."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            path = b.column(0).to_numpy().view(np.uint64)
-            sketch = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(len(path), -1)
-            child, owner = grow(path, np.arange(len(path)), sketch, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(b.column(1).to_numpy()[owner])], ["key", "id"])
-
-    def deeper(large: DataFrame, level: int) -> DataFrame | None:
-        if level > MORE:
-            return None
-        return large.join(sketches.select("id", "sketch"), "id").select("key", "id", "sketch").mapInArrow(run, "key long, id long")
-
-    return deeper
-
-
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets (id, set) have an intersection of at least `percent` % of their union."""
 
@@ -287,7 +267,10 @@ def near_duplicates(
     def confirm(some: DataFrame) -> DataFrame:
         return connected_components(verify(some, sets_of(ends_of(some)), percent))
 
-    pairs = candidate_pairs(paths, confirm, _deeper(sketches), SMALL)
+    def settle(ids: DataFrame, known: DataFrame) -> DataFrame:
+        return similar_pairs(sets_of(ids), percent, known, verify)
+
+    pairs = candidate_pairs(paths, confirm, settle, limit=SMALL)
     drop(paths)
     sizes = reps.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a")
