@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewell.llm import entry, line_dedup, mixing, passage_dedup, prefix_join, quality, suffix_dedup, token_count, token_output
+from tidewell.llm import entry, fuzzy, line_dedup, mixing, passage_dedup, prefix_join, quality, suffix_dedup, token_count, token_output
 from tidewell.llm.common import add_offsets, connected_components, pack_set
 from tidewell.llm.decontaminate import clean_documents, decontaminate
 from tidewell.llm.near_dedup import keep_one, near_duplicates, verify
@@ -296,6 +296,22 @@ def test_exact_join_of_sets(spark, monkeypatch, small, block):
     assert want and got == {(r["id"], r["component"]) for r in connected_components(links).collect()}
 
 
+def test_passages_that_agree_in_one_band_of_a_large_group(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, sets = [], []
+    for i in range(60):
+        if i % 2 == 0:
+            base = rng.integers(0, 1 << 40, 20, np.uint64)
+        own = np.sort(np.append(base[1:], rng.integers(0, 1 << 40, 1, np.uint64)))  # 19 of 21 with the other of the class
+        rows.append((i, i, 0, 24, i, [7, 100 + i, 1000 + i]))
+        sets.append((i, bytearray(pack_set(own << np.uint64(24)))))
+    units, packed = spark.createDataFrame(rows, fuzzy.UNITS), spark.createDataFrame(sets, fuzzy.SETS)
+    monkeypatch.setattr(passage_dedup, "_units", lambda rows: units)
+    monkeypatch.setattr(passage_dedup, "_sets", lambda rows, shared: packed)
+    _, repeated = passage_dedup.repeated_passages(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    assert sorted(r["row"] for r in repeated.collect()) == list(range(1, 60, 2))
+
+
 def test_passages(spark, docs, none):
     passage = prose(77, 60)
     texts = [prose(200 + i, 80) + " " + (passage + " " if i % 3 == 0 else "") + prose(300 + i, 40) for i in range(30)] + [None, "", "short one"]

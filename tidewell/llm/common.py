@@ -124,56 +124,38 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
 
 
-def candidate_pairs(keyed: DataFrame, confirm, settle, deeper=None, limit: int = 12) -> DataFrame:
+def candidate_pairs(keyed: DataFrame, confirm, settle, limit: int = 12) -> DataFrame:
     """Distinct pairs (a < b) of ids that share a key of `keyed` (key, id; each once), each key's whole group covered
     as far as components go: of ids that other pairs join already, no pair is needed.
 
     Groups of up to `limit` ids give all their pairs, by construction at most limit / 2 for an id.
     The ids of larger groups are first paired with one of them, and `confirm(pairs)` gives the
     components (id, component) of those pairs that hold. Groups that lie in one component are done;
-    the others are handed to `deeper(rows, level)`, which gives rows (key, id) of finer keys or
-    None when there is none; the ids of groups that are still large and of several components then go to
-    `settle(ids, known)`, which gives all pairs that join them beside the components `known` (id, component).
-    The result is a table in the shared folder; what was written on the way is deleted.
+    the ids of the others go to `settle(ids, known)`, which gives all pairs that join them beside the
+    components `known`. The result is a table in the shared folder; what was written on the way is deleted.
     """
-    out, level, written, known = None, 0, [], None
+    written = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         written.append(cut(df, name))
         return written[-1]
 
-    def open_groups(rows: DataFrame) -> DataFrame:
-        """(key, n) of the groups with ids that are not known to be of one component."""
-        if known is None:
-            return rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    size = kept(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "size")
+    several = kept(keyed.join(size, "key"), "several")
+    groups = several.where(F.col("n") <= limit).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    out = groups.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
+    large = several.where(F.col("n") > limit).select("key", "id")
+    if not large.isEmpty():
+        # the hash is of the id alone: groups of nearly the same ids mostly pick the same one
+        star = kept(stars(large, F.xxhash64("id"), 1).distinct(), "stars")
+        known = kept(confirm(star), "known")
+        out = out.union(star)
         c = F.coalesce("component", "id")
-        sizes = rows.select("key", "id").join(known, "id", "left").groupBy("key").agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"))
-        return sizes.where("lo <> hi").select("key", "n")
-
-    while True:
-        size = kept(open_groups(keyed), "size")
-        several = kept(keyed.join(size, "key"), "several")
-        groups = several.where(F.col("n") <= limit).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        pairs = groups.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
-        out = pairs if out is None else out.union(pairs)
-        large = several.where(F.col("n") > limit).select("key", "id")
-        if large.isEmpty():
-            break
-        if known is None:
-            # the hash is of the id alone: groups of nearly the same ids mostly pick the same one
-            star = kept(stars(large, F.xxhash64("id"), 1).distinct(), "stars")
-            known = kept(confirm(star), "known")
-            out = out.union(star)
-            large = kept(large.join(open_groups(large), "key", "left_semi"), "large")
-            if large.isEmpty():
-                break
-        level += 1
-        finer = deeper(large, level) if deeper else None
-        if finer is None:
-            written.append(settle(kept(large.select("id").distinct(), "open"), known))
+        parts = large.join(known, "id", "left").groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo <> hi")
+        left = kept(large.join(parts, "key", "left_semi").select("id").distinct(), "open")
+        if not left.isEmpty():
+            written.append(settle(left, known))
             out = out.union(written[-1])
-            break
-        keyed = kept(finer, "finer")
     pairs = cut(out.distinct(), "pairs")
     for df in written:
         drop(df)

@@ -52,7 +52,7 @@ class Fresh:
         return out
 
 
-def removals(units: DataFrame, sets_of: Callable, percent: int, limit: int = 12, deeper=None) -> DataFrame:
+def removals(units: DataFrame, sets_of: Callable, percent: int, limit: int = 12) -> DataFrame:
     """(row, pos, unit, component): the places of `units` that are not the first of their component.
 
     sets_of(map) gives (id, set) of the units whose number may be in a membership map.
@@ -71,7 +71,7 @@ def removals(units: DataFrame, sets_of: Callable, percent: int, limit: int = 12,
     def settle(ids: DataFrame, known: DataFrame) -> DataFrame:
         return similar_pairs(sets_for(ids), percent, known, verify)
 
-    pairs = candidate_pairs(keyed, confirm, settle, deeper(distinct) if deeper else None, limit)
+    pairs = candidate_pairs(keyed, confirm, settle, limit)
     sets = sets_for(ends_of(pairs))
     members = link(pairs, sets, percent)
     drop(sets)

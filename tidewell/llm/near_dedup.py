@@ -270,7 +270,7 @@ def near_duplicates(
     def settle(ids: DataFrame, known: DataFrame) -> DataFrame:
         return similar_pairs(sets_of(ids), percent, known, verify)
 
-    pairs = candidate_pairs(paths, confirm, settle, limit=SMALL)
+    pairs = candidate_pairs(paths, confirm, settle, SMALL)
     drop(paths)
     sizes = reps.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a")

@@ -115,19 +115,6 @@ def _sets(rows: DataFrame, shared) -> DataFrame:
     return rows.select("text").mapInArrow(run, SETS)
 
 
-def _deeper(distinct: DataFrame):
-    """Finer keys for a band's large groups: with one, then both of the other bands' values."""
-
-    def deeper(large: DataFrame, level: int) -> DataFrame | None:
-        if level > 2:
-            return None
-        both = large.join(distinct.select(F.col("unit").alias("id"), "bands"), "id")
-        others = F.slice("bands", 1, level + 1)
-        return both.select(F.xxhash64("key", others).alias("key"), "id")
-
-    return deeper
-
-
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(paragraphs, repeated): UNITS of all compared paragraphs, and those (row, pos, size, unit, component) that
     are equal or similar to an earlier one.
@@ -139,7 +126,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = _rows(docs, id_col, text_col)
     units = cut(_units(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")), "paragraphs")
-    return units, removals(units, lambda shared: _sets(rows, shared), percent, deeper=_deeper)
+    return units, removals(units, lambda shared: _sets(rows, shared), percent)
 
 
 def passage_report(docs: DataFrame, **how) -> DataFrame:
