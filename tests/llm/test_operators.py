@@ -445,6 +445,20 @@ def test_mixing(spark, docs, none):
     assert all(words[d] <= 2 * len(words_of(t)) for d, t, *_ in rows)
 
 
+def test_mixing_of_small_sources(spark):
+    # among a large source, which leaves the others of weight 1 and 2 their bound of two passes or less
+    sizes = [*range(1, 16), 33, 40, 64, 65, 70, 100, 127, 128, 129, 200]
+    rows = [(k, " ".join(f"w{i}" for i in range(n)), f"s{k:02}") for k, n in enumerate(sizes)] + [(99, "w " * 300, "t")]
+    got = {r["doc_id"]: r for r in mixing.mixed_sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for k, n in enumerate(sizes):
+        assert abs(got[k]["taken"] - got[k]["target"]) <= max(1, 0.06 * got[k]["target"]), (n, got[k])
+    # targets far below the size
+    size = np.repeat([1, 2, 15, 40, 70, 200, 100_000], 6)
+    target = np.minimum(np.tile([1.0, 3, 10, 31, 140, 2000], 7), 2.0 * size)
+    length, blocks, slots = mixing.cuts(size, target)
+    assert (abs(slots * size / blocks - target) <= np.maximum(0.5, target / 32)).all() and (length <= mixing.BLOCK).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 2**40))
 def test_permutations(n, key):

@@ -1,6 +1,7 @@
 """Mixing sources to target weights by fixed-length blocks.
 
-The words of each source, in the order of its documents, are packed into blocks of equal length. Each
+The words of each source, in the order of its documents, are packed into blocks of equal length, shorter
+ones where few words are to be drawn. Each
 output shard draws how many of its slots go to each source; slots are numbered within their source
 and mapped to blocks by a pseudorandom permutation for each pass over the source; blocks join by index.
 
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, add_offsets, cut
 
-#: Words of a block.
-BLOCK = 64
+#: Words of a block, and slots that a source with a smaller target gets at least, by shorter blocks: these bound what
+#: rounding to whole slots and the shorter last block leave between a source's target and what is taken.
+BLOCK, LEAST_SLOTS = 64, 32
 #: Slots of an output shard.
 SHARD = 4096
 #: Slots that are split by draws at once; ranges of this size get their even share of each source.
@@ -84,6 +86,15 @@ def split(totals: np.ndarray, size: int, seed: list[int]) -> np.ndarray:
     return out
 
 
+def cuts(size: np.ndarray, target: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of a block, blocks, slots) of each source: the slots' words come to the target on average."""
+    length = np.clip(np.floor(target / LEAST_SLOTS).astype(np.int64), 1, block)
+    length = np.maximum(1, -(-size // np.maximum(1, -(-size // length))))  # the same number of blocks, as equal as can be
+    blocks = -(-size // length)
+    slots = np.rint(target * blocks / np.maximum(size, 1)).astype(np.int64)
+    return length, blocks, np.minimum(slots, PASSES * blocks)
+
+
 @dataclass
 class Draw:
     """Slots of each source, and what a shard makes of them."""
@@ -129,15 +140,14 @@ class Mix:
 
     def __init__(self, sizes: DataFrame, order: list[str], block: int = BLOCK, seed: int = 7):
         self.spark: SparkSession = sizes.sparkSession
-        self.block = block
         sources = targets(sizes).orderBy("source_no").limit(MOST_SOURCES + 1).collect()
         if len(sources) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
-        schema = "source string, source_no int, source_size long, target double"
-        self.sources = F.broadcast(self.spark.createDataFrame([tuple(r) for r in sources], schema).coalesce(1))  # MOST_SOURCES rows at most
-        size = np.array([r["source_size"] for r in sources], np.int64)
-        blocks = -(-size // block)
-        slots = np.minimum(np.rint(np.array([r["target"] for r in sources], float) / block).astype(np.int64), PASSES * blocks)
+        size, target = np.array([r["source_size"] for r in sources], np.int64), np.array([r["target"] for r in sources], float)
+        length, blocks, slots = cuts(size, target, block)
+        schema = "source string, source_no int, source_size long, target double, length long"
+        rows = [(*r, n) for r, n in zip(sources, length.tolist(), strict=True)]
+        self.sources = F.broadcast(self.spark.createDataFrame(rows, schema).coalesce(1))  # MOST_SOURCES rows at most
         self.draw = Draw(slots, blocks, seed)
         numbered = sizes.join(self.sources.withColumnRenamed("source", "_s"), sizes["source"].eqNullSafe(F.col("_s"))).drop("_s")
         self.documents = numbered
@@ -162,10 +172,10 @@ class Mix:
     def pieces(self) -> DataFrame:
         """The placed documents with one row for each block they reach: `block`, and `begin` and `stop`, their
         words in it."""
-        last = F.floor((F.col("start") + F.col("size") - 1) / self.block)
-        out = self.placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / self.block), last)))
-        begin = F.greatest(F.col("block") * self.block - F.col("start"), F.lit(0))
-        stop = F.least((F.col("block") + 1) * self.block - F.col("start"), F.col("size"))
+        last = F.floor((F.col("start") + F.col("size") - 1) / F.col("length"))
+        out = self.placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("length")), last)))
+        begin = F.greatest(F.col("block") * F.col("length") - F.col("start"), F.lit(0))
+        stop = F.least((F.col("block") + 1) * F.col("length") - F.col("start"), F.col("size"))
         return out.withColumns({"begin": begin, "stop": stop})
 
     def picked(self) -> DataFrame:
