@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where it is
-    unset (tests on one machine) a folder of this process takes its place."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only on one machine,
+    where it is unset (tests), a folder of this process takes its place; a cluster without it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tidewell-")
-        atexit.register(shutil.rmtree, found, True)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidewell-")
+        atexit.register(shutil.rmtree, folder, True)
+        found = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -51,14 +55,14 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def add_offsets(df: DataFrame, order: list[str], size: str, by: list[str] | None = None, out: str = "start") -> DataFrame:
-    """Add the sum of `size` over all earlier rows of the group `by`, in the order of `order`.
+def add_offsets(df: DataFrame, order: list[str], size: str | list[str], by: list[str] | None = None, out: str | list[str] = "start") -> DataFrame:
+    """Add the sum of each `size` over all earlier rows of the group `by`, in the order of `order`, as `out`.
 
     Rows are range-partitioned by (by, order), summed within each partition, and each partition's
     total is carried to the later ones: no group passes through one task, however large. The
     result is a table in the shared folder, sorted within its files.
     """
-    by = by or []
+    by, sizes, outs = by or [], [size] if isinstance(size, str) else size, [out] if isinstance(out, str) else out
     spark = df.sparkSession
     keys = [*by, *order]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -66,18 +70,18 @@ def add_offsets(df: DataFrame, order: list[str], size: str, by: list[str] | None
         df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", *keys),
         "ranges",
     )
-    total = part.groupBy("_part", *by).agg(F.sum(size).alias("_total"))
+    total = part.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_total{i}") for i, c in enumerate(sizes)])
     w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select("_part", *by, F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_base"))
+    base = total.select("_part", *by, *[F.coalesce(F.sum(f"_total{i}").over(w), F.lit(0)).alias(f"_base{i}") for i in range(len(sizes))])
     inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = part.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    local = part.withColumns({f"_inside{i}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for i, c in enumerate(sizes)})
     for c in ["_part", *by]:  # null is a group of its own
         base = base.withColumnRenamed(c, f"_b_{c}")
     same: Column = F.col("_part") == F.col("_b__part")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    joined = local.join(base, same).withColumn(out, F.col("_base") + F.col("_inside"))
-    return joined.drop("_part", "_inside", "_base", "_b__part", *[f"_b_{c}" for c in by])
+    joined = local.join(base, same).withColumns({o: F.col(f"_base{i}") + F.col(f"_inside{i}") for i, o in enumerate(outs)})
+    return joined.drop("_part", "_b__part", *[f"_{x}{i}" for x in ("inside", "base") for i in range(len(sizes))], *[f"_b_{c}" for c in by])
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -119,59 +123,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
-def ends_of(pairs: DataFrame) -> DataFrame:
-    """(id): every id of a table of pairs (a, b) once."""
-    return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
-
-
-def candidate_pairs(keyed: DataFrame, confirm, settle, limit: int = 12) -> DataFrame:
-    """Distinct pairs (a < b) of ids that share a key of `keyed` (key, id; each once), each key's whole group covered
-    as far as components go: of ids that other pairs join already, no pair is needed.
-
-    Groups of up to `limit` ids give all their pairs, by construction at most limit / 2 for an id.
-    The ids of larger groups are first paired with one of them, and `confirm(pairs)` gives the
-    components (id, component) of those pairs that hold. Groups that lie in one component are done;
-    the ids of the others go to `settle(ids, known)`, which gives all pairs that join them beside the
-    components `known`. The result is a table in the shared folder; what was written on the way is deleted.
-    """
-    written = []
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        written.append(cut(df, name))
-        return written[-1]
-
-    size = kept(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "size")
-    several = kept(keyed.join(size, "key"), "several")
-    groups = several.where(F.col("n") <= limit).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    out = groups.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
-    large = several.where(F.col("n") > limit).select("key", "id")
-    if not large.isEmpty():
-        # the hash is of the id alone: groups of nearly the same ids mostly pick the same one
-        star = kept(stars(large, F.xxhash64("id"), 1).distinct(), "stars")
-        known = kept(confirm(star), "known")
-        out = out.union(star)
-        c = F.coalesce("component", "id")
-        parts = large.join(known, "id", "left").groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo <> hi")
-        left = kept(large.join(parts, "key", "left_semi").select("id").distinct(), "open")
-        if not left.isEmpty():
-            written.append(settle(left, known))
-            out = out.union(written[-1])
-    pairs = cut(out.distinct(), "pairs")
-    for df in written:
-        drop(df)
-    return pairs
-
-
-#: Bits of a membership map: 16 MB at most, however many ids there are.
-MAP_BITS = 1 << 27
+#: Bits of a membership map for each id, and of the largest map: 64 MB, however many ids there are.
+BITS_EACH, MOST_BITS = 16, 1 << 29
 
 
 def membership(ids: DataFrame) -> np.ndarray:
-    """A bit map of the hashes of a column of ids, made by Spark's bitmap aggregates: at most MAP_BITS bits reach the
-    driver. It tells for sure only that an id is not there; an exact join follows its use."""
-    at = F.pmod(ids[ids.columns[0]], F.lit(MAP_BITS)) + 1
+    """A bit map of a column of 64-bit hashes, made by Spark's bitmap aggregates: at most MOST_BITS bits reach the
+    driver. It tells for sure only that a number is not there; an exact join follows its use. Beyond some 1e9
+    numbers it fills up and filters less: that join then meets more rows, with the same result."""
+    n = ids.count()
+    bits = 1 << 15
+    while bits < min(n * BITS_EACH, MOST_BITS):
+        bits *= 2
+    at = F.pmod(ids[ids.columns[0]], F.lit(bits)) + 1
     rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
-    out = np.zeros(MAP_BITS // 8 + 4096, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in rows.toLocalIterator():
         first = (r["b"] - 1) * 4096
         out[first : first + 4096] |= np.frombuffer(r["m"], np.uint8)
@@ -179,26 +145,22 @@ def membership(ids: DataFrame) -> np.ndarray:
 
 
 def maybe_in(map_: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = np.mod(ids, MAP_BITS)
+    at = ids & (8 * len(map_) - 1)  # a power of two: the same as the positive remainder
     return (map_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def pack_set(s: np.ndarray) -> bytes:
-    """A sorted set of 64-bit hashes by their upper 40 bits: two of a thousand agree by chance once in a million sets."""
-    return (s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """A sorted set of 64-bit hashes."""
+    return s.astype("<u8").tobytes()
 
 
 def unpack_set(b) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view(np.uint64)
-
-
-def stars(rows: DataFrame, by: Column, pivots: int) -> DataFrame:
-    """(a, b): each id of a group (key, id) with up to `pivots` of its ids, those with the smallest salted hashes `by`;
-    these are aggregated before the shuffle."""
-    mixed = rows.withColumn("h", by)
-    picks = [F.min_by("id", F.xxhash64(F.lit(i), "h")).alias(f"p{i}") for i in range(pivots)]
-    chosen = mixed.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("p"))
-    linked = mixed.join(chosen, "key").where(F.col("id") != F.col("p"))
-    return linked.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    return np.frombuffer(b, "<u8")
+
+
+def stars(rows: DataFrame, pivots: int = 1) -> DataFrame:
+    """(a, b): each id b of a group (key, id) with up to `pivots` of its ids a, those with the smallest hashes. These are
+    aggregated before the shuffle; as the hash is of the id alone, groups of nearly the same ids mostly pick the same ones."""
+    picks = [F.min_by("id", F.xxhash64(F.lit(i), "id")).alias(f"p{i}") for i in range(pivots)]
+    chosen = rows.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("a"))
+    return rows.join(chosen, "key").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))

@@ -2,8 +2,9 @@
 
 Each task cuts its documents into shards of bounded size, sorts the suffixes of each shard's words
 (to the length of the longest benchmark item, which no query looks beyond) and looks up every
-suffix of every benchmark item by binary search. The lower and upper bounds give all places of a
-window; the neighbours of the lower bound give the longest verbatim match. A document lies in one
+suffix of every benchmark item by binary search, to the length of a window. The lower and upper bounds
+give all places of the window; windows that follow each other in an item and in a document are one
+verbatim match, of which each document's longest is told with its locations. A document lies in one
 shard, so nothing is shuffled. Words outside the benchmark's vocabulary end a match at once: stretches
 between them that are shorter than the shortest window hold no match and get no suffixes.
 """
@@ -36,7 +37,7 @@ def words(text: str) -> list[bytes]:
 class Items:
     """Benchmark items as numbered words."""
 
-    ids: list[int]
+    ids: list[str]
     vocabulary: dict[bytes, int]
     symbols: np.ndarray  # all items' words, each item followed by 0
     start: np.ndarray  # first word of each item
@@ -44,7 +45,7 @@ class Items:
     window: np.ndarray  # words of each item's windows
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str | None]]) -> Items:
+    def of(cls, rows: list[tuple[str | None, str | None]]) -> Items:
         vocabulary: dict[bytes, int] = {}
         ids, out, start, size = [], [], [], []
         for i, text in rows:
@@ -200,7 +201,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-RESULT = "n_words long, hits array<long>, items array<long>, longest long, item_id long, item_word long, doc_word long"
+RESULT = "n_words long, hits array<long>, items array<string>, longest long, item_id string, item_word long, doc_word long"
 
 
 def decontaminate(
@@ -210,10 +211,11 @@ def decontaminate(
 
     `row` holds the columns `keep` of docs (None: all). `hits` are the stretches of words within
     occurrences of windows of 10 item words (of the whole item if it has fewer), as start, end, ...;
-    n_hit counts these words; `items` are the ids of the items they belong to, ordered as strings;
-    the rest tell the longest verbatim match and where it lies, null without one. A null text has no
-    words. Items without id or words are left out; items of equal id count once. Rows, also repeated
-    ones, are judged each by itself.
+    n_hit counts these words; `items` are the ids of the items they belong to, as strings and in their
+    order; the rest tell the longest verbatim match of at least a window and where it lies, null without
+    one. A null or empty text has no words. Items without id or words are left out; items of equal id count
+    once. Rows, also repeated ones, are judged each by itself; an empty table gives no rows, an empty
+    benchmark no hits. A text longer than SHARD bytes is a shard of its own.
 
     The benchmark is read in passes of at most BENCHMARK_BYTES; each pass searches all rows.
     """
@@ -221,11 +223,11 @@ def decontaminate(
     kept = docs.columns if keep is None else keep
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
     now = docs.select(row, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    passes = list(_passes(spark, benchmark.select(F.col(item_col).cast("long").alias("i"), F.col("text").alias("t"))))
+    passes = list(_passes(spark, benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col("text").alias("t"))))
     for k, shared in enumerate(passes):
         now = _one_pass(now, shared, first=k == 0, last=k == len(passes) - 1)
     n_hit = F.expr("aggregate(transform(hits, (x, i) -> if(i % 2 = 0, -x, x)), 0L, (s, x) -> s + x)")
-    in_order = F.transform(F.array_sort(F.transform(F.array_distinct("items"), lambda i: F.struct(i.cast("string").alias("s"), i.alias("i")))), lambda x: x["i"])
+    in_order = F.array_sort(F.array_distinct("items"))
     return now.withColumn("items", in_order).withColumn("n_hit", n_hit)
 
 
@@ -281,6 +283,7 @@ def _one_pass(rows: DataFrame, shared, first: bool, last: bool) -> DataFrame:
 
 
 def _merged(new: tuple, old: tuple) -> tuple:
+    """What a row has from one part of the benchmark and from earlier ones."""
     spans = sorted(zip(new[1][::2] + old[0][::2], new[1][1::2] + old[0][1::2], strict=True))
     hits: list[int] = []
     for a, b in spans:
@@ -293,5 +296,6 @@ def _merged(new: tuple, old: tuple) -> tuple:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs without a benchmark window, with their columns."""
+    """The rows of docs without a benchmark window, with their columns, whatever their names. Nulls, repeats and empty tables:
+    as in decontaminate()."""
     return decontaminate(docs, benchmark, None, text_col).where("n_hit = 0").select("row.*")

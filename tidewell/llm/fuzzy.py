@@ -1,49 +1,274 @@
-"""Near-duplicate units of text (lines, passages): what line and passage deduplication share.
+"""Near-duplicate units (documents, lines, passages): what the three operators share.
 
-A unit is known by a 64-bit hash of its content and has minwise band keys. Equal units are one before
-any pair is made; colliding units become candidates, are confirmed on their full shingle sets and
-grouped by distributed connected components; of each component the first place stays.
+A unit has a 64-bit number and keys (bands, or nodes of trees). Units that share a key are candidates,
+are confirmed on the full shingle sets of their texts and grouped by distributed connected components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import candidate_pairs, connected_components, cut, drop, ends_of, maybe_in, membership
-from .near_dedup import link, mix, verify
+from .common import connected_components, cut, drop, maybe_in, membership, pack_set, stars
 from .prefix_join import similar_pairs
 
-UNITS = "row long, doc_id long, pos int, size int, unit long, bands array<long>"
-SETS = "id long, set binary"
+#: Groups of a key of up to this many units give all their pairs.
+SMALL = 12
+#: Pairs of one hub that a task confirms; a hub with more has its text sent to several.
+HUB = 1000
+#: Sets that are kept from pair to pair.
+KEPT = 64
+
+UNITS = "row long, doc_id long, pos int, size int, n int, unit long, keys array<long>, copy boolean"
+MARKED = "row long, doc_id long, pos int, size int, n int, unit long, keys array<long>, first boolean"
+CONTENT = "id long, text binary"
+
+_U = np.uint64
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = x ^ (x >> _U(33))
+    x = x * _U(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> _U(33))
+    x = x * _U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> _U(33))
 
 
 def seeds(n: int) -> np.ndarray:
     """n fixed 64-bit values."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+
+
+def long_lists(keys: np.ndarray, valid: np.ndarray | None = None):
+    """An Arrow list<long> of the rows of a two-dimensional array, null where not valid."""
+    import pyarrow as pa
+
+    rows, width = keys.shape
+    if valid is None:
+        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(keys.reshape(-1)))
+    ends = np.concatenate([[0], np.cumsum(valid * width)])
+    offsets = pa.array(ends.astype(np.int32), mask=np.append(~valid, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(keys[valid].reshape(-1)))
+
+
+# --- equal units
+
+
+def later(doc: np.ndarray, row: np.ndarray, pos: np.ndarray, *unit: np.ndarray) -> np.ndarray:
+    """Which places are not the first, by doc, row and pos, of their unit among those at hand."""
+    order = np.lexsort((pos, row, doc, *unit))
+    again = np.ones(len(order), bool)
+    for u in unit:
+        again[1:] &= u[order[1:]] == u[order[:-1]]
+    again[:1] = False
+    out = np.zeros(len(order), bool)
+    out[order] = again
+    return out
+
+
+def first_places(units: DataFrame) -> DataFrame:
+    """MARKED of UNITS: `first` is whether a unit's place is the first, by doc_id (null first), row and pos, in all
+    rows; null for a row without unit. Only first places keep their keys.
+
+    Units that a task has seen before are known as `copy` already; these are dealt out by their place, so that of a
+    hot unit one place for each batch meets the others.
+    """
+    deal = F.when(F.col("copy") | F.col("unit").isNull(), F.xxhash64("row", "pos")).otherwise(F.col("unit"))
+    ordered = units.repartition(deal).sortWithinPartitions("unit", "doc_id", "row", "pos")
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute
+
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            copy, known = b.column(7).to_numpy(zero_copy_only=False), b.column(5).is_valid().to_numpy(zero_copy_only=False)
+            main = np.flatnonzero(known & ~copy)
+            unit = b.column(5).take(pa.array(main)).to_numpy()
+            new = np.ones(len(unit), bool)
+            new[1:] = unit[1:] != unit[:-1]
+            if len(unit):
+                new[0] = last is None or unit[0] != last
+                last = unit[-1]
+            first = np.zeros(b.num_rows, bool)
+            first[main] = new
+            keys = pa.compute.if_else(pa.array(first), b.column(6), pa.scalar(None, b.column(6).type))
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], keys, pa.array(first, mask=~known)], [*b.schema.names[:7], "first"])
+
+    return ordered.mapInArrow(run, MARKED)
+
+
+# --- candidates
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """(key, id, n, mark) of units (id, n, keys). mark 0: by its key. A key that more than SMALL units at hand hold is hot:
+    one of them stands for it, mark -1; the others, mark 1, need no further look and are dealt out by themselves."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(2)
+            size = np.diff(lists.offsets.to_numpy())
+            key, owner = lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), size)
+            if not len(key):
+                continue
+            _, one, number, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            mark = (count > SMALL)[number].astype(np.int32)
+            mark[one[count > SMALL]] = -1
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(at), b.column(1).take(at), pa.array(mark)], ["key", "id", "n", "mark"])
+
+    return rows.select("id", "n", "keys").mapInArrow(run, "key long, id long, n int, mark int")
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, a, b) of units (id, n, keys): each pair a < b of a group of up to SMALL units under one key whose numbers of
+    shingles n allow the similarity; of larger groups every member as a, without b.
+
+    Rows pass one shuffle; a task holds no more than SMALL rows of a group besides a batch.
+    """
+    deal = F.when(F.col("mark") > 0, F.xxhash64("key", "id")).otherwise(F.col("key"))
+    ordered = _spread(rows).repartition(deal).sortWithinPartitions("key", "id")
 
+    def table(key, a, b=None):
+        import pyarrow as pa
 
-def segment_sums(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each run values[start : start + size], which depends on the order; runs don't overlap."""
-    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    inner = (at - np.repeat(start, size)).astype(np.uint64)
-    terms = mix(values[at] ^ mix(inner + np.uint64(0x632BE59BD9B4E019)))
-    return mix(np.add.reduceat(terms, np.cumsum(size) - size) + size.astype(np.uint64))
+        none = pa.nulls(len(key), pa.int64()) if b is None else pa.array(b)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), none], ["key", "a", "b"])
+
+    def whole(key, id_, n, hot) -> Iterator:
+        """What whole groups give."""
+        if not len(key):
+            return
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(edge, len(key)))
+        large = (count > SMALL) | np.logical_or.reduceat(hot, edge)
+        in_large = np.repeat(large, count)
+        if large.any():
+            yield table(key[in_large], id_[in_large])
+        key, id_, n = key[~in_large], id_[~in_large], n[~in_large]
+        for step in range(1, SMALL):
+            good = np.flatnonzero(key[step:] == key[:-step])
+            if not len(good):
+                return
+            x, y = n[good], n[good + step]
+            good = good[(100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (id_[good] < id_[good + step])]
+            yield table(key[good], id_[good], id_[good + step])
+
+    def run(batches):
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool)]
+        open_large = None  # a group that is known to be large and goes on
+        for b in batches:
+            key, id_, n, mark = (b.column(i).to_numpy() for i in range(4))
+            spread = mark > 0
+            if spread.any():
+                yield table(key[spread], id_[spread])
+                key, id_, n, mark = key[~spread], id_[~spread], n[~spread], mark[~spread]
+            now = [np.concatenate(x) for x in zip(held, (key, id_, n.astype(np.int64), mark < 0), strict=True)]
+            if not len(now[0]):
+                continue
+            if open_large is not None:
+                more = now[0] == open_large
+                yield table(now[0][more], now[1][more])
+                now = [x[~more] for x in now]
+                if not len(now[0]):
+                    held = now
+                    continue
+            last = np.searchsorted(now[0], now[0][-1])
+            yield from whole(*(x[:last] for x in now))
+            held, open_large = [x[last:] for x in now], None
+            if len(held[0]) > SMALL or held[3].any():
+                open_large = int(held[0][0])
+                yield table(held[0], held[1])
+                held = [x[:0] for x in held]
+        yield from whole(*held)
+
+    return ordered.mapInArrow(run, "key long, a long, b long")
+
+
+# --- confirmation
+
+
+def verify(pairs: DataFrame, content: DataFrame, percent: int, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """The pairs (a, b) whose texts in content (id, text) have shingle sets with an intersection of at least `percent` %
+    of their union. The texts of ids that many pairs have as `a` are sent to a task for each HUB of these."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kept: dict[bytes, np.ndarray] = {}
+
+        def of(text: bytes) -> np.ndarray:
+            found = kept.get(text)
+            if found is None:
+                if len(kept) >= KEPT:
+                    kept.pop(next(iter(kept)))
+                found = kept[text] = shingles(text)
+            return found
+
+        for b in batches:
+            good = []
+            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = of(s), of(t)
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    good.append(False)
+                    continue
+                both = np.sort(np.concatenate([x, y]))
+                same = int(np.count_nonzero(both[1:] == both[:-1]))
+                good.append(100 * same >= percent * (len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
+    dealt = pairs.join(hubs, "a", "left").select("a", "b", part.alias("part"))
+    texts = content.join(hubs, content["id"] == hubs["a"], "left").select(F.col("id").alias("a"), F.col("text").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    right = content.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    texts = texts.withColumn("part", F.col("part").cast("long"))
+    joined = dealt.withColumn("part", F.col("part").cast("long")).join(texts, ["a", "part"]).join(right, "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def sets_of(content: DataFrame, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(id, set) of content (id, text)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                sets = [pack_set(shingles(t)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+
+    return content.mapInArrow(run, "id long, set binary")
+
+
+def wanted(docs: DataFrame, ids: DataFrame, pick: Callable) -> DataFrame:
+    """CONTENT of the ids, each once. pick(maybe) maps batches of docs to (id, text) of those for which maybe(numbers) holds."""
+    map_ = docs.sparkSession.sparkContext.broadcast(membership(ids))  # MOST_BITS at most
+    found = docs.mapInArrow(lambda batches: pick(batches, lambda numbers: maybe_in(map_.value, numbers)), CONTENT)
+    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 class Fresh:
-    """Which of some numbers are asked for and weren't met before in this task, as far as a bounded memory tells."""
+    """Which of some numbers weren't met before in this task, as far as a bounded memory tells."""
 
-    def __init__(self, map_: np.ndarray, most: int = 500_000):
-        self.map, self.most, self.met = map_, most, set()
+    def __init__(self, most: int = 200_000):
+        self.most, self.met = most, set()
 
-    def __call__(self, numbers: np.ndarray) -> list[int]:
+    def __call__(self, at: np.ndarray, numbers: np.ndarray) -> list[int]:
         out = []
-        for i in np.flatnonzero(maybe_in(self.map, numbers)).tolist():
-            n = int(numbers[i])
+        for i, n in zip(at.tolist(), numbers[at].tolist(), strict=True):
             if n not in self.met:
                 if len(self.met) >= self.most:
                     self.met.clear()
@@ -52,33 +277,84 @@ class Fresh:
         return out
 
 
-def removals(units: DataFrame, sets_of: Callable, percent: int, limit: int = 12) -> DataFrame:
-    """(row, pos, unit, component): the places of `units` that are not the first of their component.
+def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], percent: int, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(id, component) of those of the units (id, n, keys) that similar ones join; component is the smallest id.
 
-    sets_of(map) gives (id, set) of the units whose number may be in a membership map.
+    content_of(ids) gives CONTENT. First each unit is confirmed against one other of its groups: the smallest of the
+    small ones, one hub of each large one. Pairs within a component then need no check. Other pairs of small groups
+    are confirmed; large groups of more than one component go through an exact join by rarest shingles. The result
+    is a table in the shared folder.
     """
-    first = F.struct("doc_id", "row", "pos")
-    distinct = cut(units.groupBy("unit").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "distinct")
-    keyed = distinct.select(F.explode("bands").alias("key"), F.col("unit").alias("id"))
-
-    def sets_for(ends: DataFrame) -> DataFrame:
-        found = sets_of(units.sparkSession.sparkContext.broadcast(membership(ends)))  # MAP_BITS at most
-        return cut(found.join(ends, "id", "left_semi").dropDuplicates(["id"]), "sets")
-
-    def confirm(some: DataFrame) -> DataFrame:
-        return connected_components(verify(some, sets_for(ends_of(some)), percent))
-
-    def settle(ids: DataFrame, known: DataFrame) -> DataFrame:
-        return similar_pairs(sets_for(ids), percent, known, verify)
-
-    pairs = candidate_pairs(keyed, confirm, settle, limit)
-    sets = sets_for(ends_of(pairs))
-    members = link(pairs, sets, percent)
-    drop(sets)
-    # a keeper for each unit that has company: the first place of its component
-    placed = distinct.select("unit", "first", "n").join(members.withColumnRenamed("id", "unit"), "unit", "left").where("n > 1 or component is not null")
-    placed = placed.select("unit", "first", F.coalesce("component", "unit").alias("component"))
-    keeper = placed.groupBy("component").agg(F.min("first").alias("keeper"))
-    company = placed.join(keeper, "component").select("unit", "component", "keeper")
-    hit = units.select("row", "doc_id", "pos", "size", "unit").join(company, "unit")
-    return hit.where((F.col("row") != F.col("keeper.row")) | (F.col("pos") != F.col("keeper.pos"))).select("row", "pos", "size", "unit", "component")
+    written: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        written.append(cut(df, name))
+        return written[-1]
+
+    groups = kept(candidates(units, percent), "groups")
+    ids = kept(groups.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct(), "ends")
+    if ids.isEmpty():
+        for df in written:
+            drop(df)
+        return units.sparkSession.createDataFrame([], "id long, component long")
+    content = kept(content_of(ids), "content")
+    small = groups.where("b is not null").select("a", "b")
+    large = groups.where("b is null").select("key", F.col("a").alias("id"))
+    turn = kept(small.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars(large).distinct()), "turn")
+    members = kept(connected_components(verify(turn, content, percent, shingles)), "members")
+
+    one, two = (members.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    apart = small.distinct().join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    rest = apart.select("a", "b").join(turn, ["a", "b"], "left_anti")
+    c = F.coalesce("component", "id")
+    several = large.join(members, "id", "left").groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo <> hi")
+    left = kept(large.join(several, "key", "left_semi").select("id").distinct(), "open")
+    if not left.isEmpty():
+        sets = kept(sets_of(content.join(left, "id", "left_semi"), shingles), "sets")
+        settled = similar_pairs(sets, percent, members, lambda pairs: verify(pairs, content, percent, shingles))
+        written.append(settled)
+        rest = rest.union(settled)
+    more = kept(verify(rest.distinct(), content, percent, shingles), "more")
+    out = members
+    if not more.isEmpty():
+        out = cut(connected_components(members.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "members")
+    for df in written:
+        if df is not out:
+            drop(df)
+    return out
+
+
+def removals(marked: DataFrame, members: DataFrame) -> DataFrame:
+    """(row, pos, size): the places of MARKED that are not the first of their component, by doc_id (null first), row and pos."""
+    firsts = marked.where("first").select("unit", "row", "doc_id", "pos", "size")
+    placed = firsts.join(members.withColumnRenamed("id", "unit"), "unit").withColumn("at", F.struct("doc_id", "row", "pos"))
+    keeper = placed.groupBy("component").agg(F.min("at").alias("keeper"))
+    similar = placed.join(keeper, "component").where("not (at <=> keeper)").select("row", "pos", "size")
+    return marked.where("not first").select("row", "pos", "size").union(similar)
+
+
+def by_row(marked: DataFrame, gone: DataFrame) -> DataFrame:
+    """(row, doc_id, n_units, gone) of every row, from its head (a place without unit whose size is the number of units):
+    `gone` are its places (pos, size) that go, in order."""
+    heads = marked.where("unit is null").select("row", "doc_id", F.col("size").cast("long").alias("n_units"))
+    grouped = gone.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("gone"))
+    none = F.array().cast("array<struct<pos:int,size:int>>")
+    return heads.join(grouped, "row", "left").withColumn("gone", F.coalesce("gone", none))
+
+
+def unit_batch(row, doc_id, pos, size, n, unit, keys, heads):
+    """UNITS of one batch of texts. heads: (row, doc_id, number of units) of each text, whose own place has no unit."""
+    import pyarrow as pa
+
+    doc, head = (x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in (doc_id, heads[1]))
+    rank = np.array(doc.fill_null(np.iinfo(np.int64).min))
+    copy = later(rank, row, pos, unit)
+    first, texts = len(unit), len(heads[0])
+    columns = [
+        np.concatenate([row, heads[0]]), pa.concat_arrays([doc, head]), np.concatenate([pos, np.full(texts, -1)]).astype(np.int32),
+        np.concatenate([size, heads[2]]).astype(np.int32), np.concatenate([n, np.zeros(texts)]).astype(np.int32),
+        pa.array(np.concatenate([unit, np.zeros(texts, np.int64)]), mask=np.arange(first + texts) >= first),
+        long_lists(np.concatenate([keys, np.zeros((texts, keys.shape[1]), np.int64)]), np.concatenate([~copy, np.zeros(texts, bool)])),
+        np.concatenate([copy, np.zeros(texts, bool)]),
+    ]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["row", "doc_id", "pos", "size", "n", "unit", "keys", "copy"])

@@ -6,9 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pack_set
-from .fuzzy import SETS, UNITS, Fresh, removals, seeds
-from .near_dedup import mix
+from .common import cut
+from .fuzzy import UNITS, Fresh, by_row, cluster, first_places, mix, removals, seeds, unit_batch, wanted
 
 #: Characters of a shingle: lines of the same language share few runs of this length by chance.
 SHINGLE = 8
@@ -31,12 +30,14 @@ def _shingles(code: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def line_set(line: str) -> np.ndarray:
-    """Sorted distinct shingle hashes of a line; of the whole line if it is shorter than a shingle."""
+def _codes(line: str) -> np.ndarray:
     code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(code) < SHINGLE:
-        code = np.concatenate([code, np.full(SHINGLE - len(code), 0x110000, np.uint32)])
-    return np.unique(_shingles(code))
+    return code if len(code) >= SHINGLE else np.concatenate([code, np.full(SHINGLE - len(code), 0x110000, np.uint32)])
+
+
+def line_set(line: bytes) -> np.ndarray:
+    """Sorted distinct shingle hashes of a line in UTF-8; of the whole line if it is shorter than a shingle."""
+    return np.unique(_shingles(_codes(line.decode("utf-8", "surrogatepass"))))
 
 
 def _number(line: str) -> int:
@@ -49,10 +50,9 @@ _A = (seeds(BANDS * ROWS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (seeds(BANDS * ROWS) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """Band keys of each line, all lines at once."""
-    code = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in lines]
-    code = [c if len(c) >= SHINGLE else np.concatenate([c, np.full(SHINGLE - len(c), 0x110000, np.uint32)]) for c in code]
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of shingles, band keys) of each line, all lines at once; equal shingles of a line count each."""
+    code = [_codes(x) for x in lines]
     size = np.array([len(c) for c in code], np.int64)
     end = np.cumsum(size)
     whole = _shingles(np.concatenate(code))
@@ -70,94 +70,88 @@ def signatures(lines: list[str]) -> np.ndarray:
             h *= np.uint32(0x2C1B3C6D)
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h, start))
         out[:, band] = key
-    return out.view(np.int64)
+    return size - SHINGLE + 1, out.view(np.int64)
 
 
 def _units(rows: DataFrame) -> DataFrame:
-    """UNITS of the non-blank lines of rows (row, doc_id, text)."""
+    """UNITS of the non-blank lines of rows (row, doc_id, text), and a head for each row. n is 0: lines repeat shingles,
+    so their number tells no bound."""
 
     def run(batches):
-        import pyarrow as pa
-
-        def batch(held):
-            row, doc, pos, lines = zip(*held, strict=True)
-            bands = signatures(list(lines)) if lines else np.zeros((0, BANDS), np.int64)
-            flat = pa.array(bands.reshape(-1))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), flat)
-            cols = [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(list(map(len, lines)), pa.int32()), pa.array(list(map(_number, lines)), pa.int64()), keys]
-            return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "pos", "size", "unit", "bands"])
-
         for b in batches:
-            held, size = [], 0
-            for row, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if not b.num_rows:
+                continue
+            row, doc, pos, size, unit, keys, counts, held, chars = [], [], [], [], [], [], [], [], 0
+            for r, d, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                before = len(row)
                 for i, line in enumerate(text.split("\n")):
                     if line.strip(BLANK):
-                        held.append((row, doc, i, line))
-                        size += len(line)
-                        if size >= CHUNK:
-                            yield batch(held)
-                            held, size = [], 0
+                        row.append(r)
+                        doc.append(d)
+                        pos.append(i)
+                        size.append(len(line))
+                        unit.append(_number(line))
+                        held.append(line)
+                        chars += len(line)
+                counts.append(len(row) - before)
+                if chars >= CHUNK:
+                    keys.append(signatures(held)[1])
+                    held, chars = [], 0
             if held:
-                yield batch(held)
+                keys.append(signatures(held)[1])
+            all_keys = np.concatenate(keys) if keys else np.zeros((0, BANDS), np.int64)
+            numbers = [np.array(x, np.int64) for x in (row, pos, size, unit)]
+            heads = (b.column(0).to_numpy(), b.column(1), np.array(counts, np.int64))
+            yield unit_batch(numbers[0], doc, numbers[1], numbers[2], np.zeros(len(row)), numbers[3], all_keys, heads)
 
     return rows.mapInArrow(run, UNITS)
 
 
-def _sets(rows: DataFrame, shared) -> DataFrame:
-    """SETS of the lines that a broadcast membership map may hold."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        fresh = Fresh(shared.value)
-        for b in batches:
-            for k in range(0, b.num_rows, 200):
-                lines = [x for t in b.slice(k, 200).column(0).to_pylist() for x in t.split("\n") if x.strip(BLANK)]
-                numbers = np.fromiter(map(_number, lines), np.int64, len(lines))
-                at = fresh(numbers)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[at]), pa.array([pack_set(line_set(lines[i])) for i in at], pa.binary())], ["id", "set"])
+def _content(batches, maybe):
+    """(id, text) of batches of texts: the lines whose number may be wanted."""
+    import pyarrow as pa
 
-    return rows.select("text").mapInArrow(run, SETS)
+    fresh = Fresh()
+    for b in batches:
+        lines = [x for t in b.column(0).to_pylist() for x in t.split("\n") if x.strip(BLANK)]
+        number = np.fromiter(map(_number, lines), np.int64, len(lines))
+        at = fresh(np.flatnonzero(maybe(number)), number)
+        yield pa.RecordBatch.from_arrays([pa.array(number[at]), pa.array([lines[i].encode("utf-8", "surrogatepass") for i in at], pa.binary())], ["id", "text"])
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+def repeated_lines(rows: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(marked, gone) of rows (row, doc_id, text): the lines with their first places, and (row, pos, size) of those
+    that are equal or similar to an earlier one. Lines are numbered by 64-bit hashes."""
+    marked = cut(first_places(_units(rows)), "lines")
+    texts = rows.select("text")
+    members = cluster(marked.where("first").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(texts, ids, _content), percent, line_set)
+    return marked, removals(marked, members)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(lines, repeated): every non-blank line as UNITS, and those (row, pos, size, unit, component) that are
-    equal or similar to an earlier one.
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """(doc_id, n_lines, n_removed, removed) for each row of docs: how many of its non-blank lines go, and which (numbers
+    of \\n-split lines, from 0).
 
     Lines are similar if their sets of 8-character shingles have an intersection of at least `percent` %
     of their union, and belong together if similar lines lead from one to the other. The first place of
-    a component, by doc_id (null first), row and line, stays. Blank lines belong to nothing; a null text
-    has none. Repeated rows are texts of their own.
+    a component, by doc_id (null first), row and line, stays. Blank lines belong to nothing; a null or empty
+    text has none and loses none. Repeated rows are texts of their own. An empty table gives no rows; other
+    columns don't pass. Long texts are hashed whole, CHUNK characters or one text at a time.
     """
-    rows = _rows(docs, id_col, text_col)
-    lines = cut(_units(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")), "lines")
-    return lines, removals(lines, lambda shared: _sets(rows, shared), percent)
-
-
-def line_report(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed) for each row of docs with a non-blank line: how many of these
-    lines go, and which (numbers of \\n-split lines, from 0)."""
-    lines, repeated = repeated_lines(docs, **how)
-    total = lines.groupBy("row", "doc_id").agg(F.count("*").alias("n_lines"))
-    gone = repeated.groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
-    out = total.join(gone, "row", "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    out = by_row(*repeated_lines(rows, percent))
+    return out.select("doc_id", F.col("n_units").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.col("gone.pos").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """docs with the repeated lines taken out of the text; all rows and columns stay, a null text stays null."""
+    """docs with the repeated lines taken out of the text; all rows and columns, whatever their names, stay, a null text
+    stays null. Which lines go: as in line_report()."""
     kept = docs.columns
     numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc")), "documents")
-    rows = numbered.select("row", F.col(f"doc.{id_col}").cast("long").alias("doc_id"), F.coalesce(F.col(f"doc.{text_col}"), F.lit("")).alias("text"))
-    lines = cut(_units(rows), "lines")
-    repeated = removals(lines, lambda shared: _sets(rows, shared), percent)
-    gone = repeated.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
-    text = F.col(f"doc.{text_col}")
+    text = F.col(f"doc.`{text_col}`")
+    rows = numbered.select("row", F.col(f"doc.`{id_col}`").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    _, gone = repeated_lines(rows, percent)
+    gone = gone.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
     left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i))
     text = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
     return numbered.join(gone, "row", "left").select(*[(text if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in kept])

@@ -1,21 +1,18 @@
 """Mixing sources to target weights by fixed-length blocks.
 
 The words of each source, in the order of its documents, are packed into blocks of equal length, shorter
-ones where few words are to be drawn. Each
-output shard draws how many of its slots go to each source; slots are numbered within their source
-and mapped to blocks by a pseudorandom permutation for each pass over the source; blocks join by index.
+ones where few words are to be drawn. The slots of a source are drawn over the output shards, multinomially
+and all shards alike, so each shard's counts of the sources are; slots are numbered within their source and
+mapped to blocks by a pseudorandom permutation for each pass over the source; blocks join by index.
 
-Draws are multinomial, given that all shards together meet each source's number of slots: the slots of
-a range of shards are split between its halves by hypergeometric draws whose seed is the range. So any
-shard finds its counts, and the numbers of its first slots, by itself, at any number of shards.
+Sources are rows of a table all the way, however many there are: a source's draws are made from its number, first
+over ranges of shards, then over the shards of a range.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, add_offsets, cut
@@ -23,14 +20,12 @@ from .common import WORD, add_offsets, cut
 #: Words of a block, and slots that a source with a smaller target gets at least, by shorter blocks: these bound what
 #: rounding to whole slots and the shorter last block leave between a source's target and what is taken.
 BLOCK, LEAST_SLOTS = 64, 32
-#: Slots of an output shard.
-SHARD = 4096
-#: Slots that are split by draws at once; ranges of this size get their even share of each source.
-RANGE = 1 << 28
+#: Slots of an output shard on average, and shards of a range.
+SHARD, RANGE = 4096, 4096
 #: Weights of the sources in order, repeating; share of all words that is drawn; most passes over a source.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
-#: The driver and every task hold three numbers for each source; more sources than this are refused.
-MOST_SOURCES = 1_000_000
+#: Rows that a task of draws makes at once.
+ROWS = 1 << 16
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
@@ -38,23 +33,18 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, pa
 
     Sources are numbered by code point, null last. What is shared goes by weight, but no target is
     above `passes` times its source's size: sources sorted by that bound over their weight are filled
-    up to a common level, those at their bound first.
+    up to a common level, those at their bound first. The sums over earlier sources go by ranges.
     """
     total = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    numbered = add_offsets(total.withColumns({"last": F.col("source").isNull(), "one": F.lit(1)}), ["last", "source"], "one", out="source_no")
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("source_no") % len(weights))
-    out = total.withColumn("source_no", number).withColumn("weight", weight)
-    out = out.withColumn("most", F.lit(float(passes)) * F.col("source_size"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), "source_no")
-    everything = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    out = out.withColumn("level", level)
-    reached = F.min(F.when(F.col("most") / F.col("weight") > F.col("level"), F.struct(F.col("most") / F.col("weight"), "source_no", "level"))).over(everything)
-    out = out.withColumn("at", reached["level"])
-    return out.select("source", "source_no", "source_size", F.least("most", F.coalesce(F.col("at") * F.col("weight"), "most")).alias("target"))
+    out = numbered.withColumns({"weight": weight, "most": F.lit(float(passes)) * F.col("source_size")}).withColumn("ratio", F.col("most") / F.col("weight"))
+    out = add_offsets(out.drop("last", "one"), ["ratio", "source_no"], ["most", "weight"], out=["most_before", "weight_before"])
+    words, weight_sum = out.agg(F.sum("source_size"), F.sum("weight")).first()
+    out = out.withColumn("level", (share * (words or 0) - F.col("most_before")) / ((weight_sum or 0.0) - F.col("weight_before")))
+    reached = out.where("ratio > level").agg(F.min(F.struct("ratio", "source_no", "level"))).first()[0]  # one row
+    target = F.least(F.col("most"), reached["level"] * F.col("weight")) if reached else F.col("most")
+    return out.select("source", F.col("source_no").cast("long").alias("source_no"), "source_size", target.alias("target"))
 
 
 def permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -75,99 +65,93 @@ def permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def split(totals: np.ndarray, size: int, seed: list[int]) -> np.ndarray:
-    """How many of `size` slots, drawn without replacement from all, go to each source."""
+def cuts(block: int = BLOCK) -> dict[str, Column]:
+    """Words of a block, blocks and slots of each source, one after another: the slots' words come to the target on average."""
+    size, length = F.col("source_size"), F.col("length")
+    up = lambda x, y: F.ceil(x / y)
+    least = F.greatest(F.least(F.floor(F.col("target") / LEAST_SLOTS), F.lit(block)), F.lit(1))
+    even = F.greatest(up(size, F.greatest(up(size, least), F.lit(1))), F.lit(1))  # the same number of blocks, as equal as can be
+    slots = F.least(F.rint(F.col("target") * F.col("blocks") / F.greatest(size, F.lit(1))).cast("long"), PASSES * F.col("blocks"))
+    return {"length": even.cast("long"), "blocks": up(size, length).cast("long"), "slots": slots}
+
+
+def drawn(seed: list[int], n: int, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, count) of the places that get any of n slots, drawn multinomially over equal places."""
     rng = np.random.default_rng(seed)
-    out, left, rest = np.zeros_like(totals), size, int(totals.sum())
-    for s in np.flatnonzero(totals):
-        t = int(totals[s])
-        out[s] = rng.hypergeometric(t, rest - t, left) if left and rest > t else min(t, left)
-        left, rest = left - int(out[s]), rest - t
-    return out
-
-
-def cuts(size: np.ndarray, target: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words of a block, blocks, slots) of each source: the slots' words come to the target on average."""
-    length = np.clip(np.floor(target / LEAST_SLOTS).astype(np.int64), 1, block)
-    length = np.maximum(1, -(-size // np.maximum(1, -(-size // length))))  # the same number of blocks, as equal as can be
-    blocks = -(-size // length)
-    slots = np.rint(target * blocks / np.maximum(size, 1)).astype(np.int64)
-    return length, blocks, np.minimum(slots, PASSES * blocks)
-
-
-@dataclass
-class Draw:
-    """Slots of each source, and what a shard makes of them."""
-
-    slots: np.ndarray
-    blocks: np.ndarray
-    seed: int
-
-    def __post_init__(self):
-        self.total = int(self.slots.sum())
-        self.ranges = max(1, -(-self.total // RANGE))
-        self.shards = max(1, -(-(self.total // self.ranges) // SHARD))
-
-    def counts(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first slot, slots) of each source in a shard."""
-        r, k = divmod(number, self.shards)
-        start = (self.slots * r) // self.ranges
-        totals = (self.slots * (r + 1)) // self.ranges - start
-        lo, hi = 0, self.shards
-        edge = lambda i, n=int(totals.sum()): n * i // self.shards
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            left = split(totals, edge(mid) - edge(lo), [self.seed, r, lo, hi])
-            if k < mid:
-                hi, totals = mid, left
-            else:
-                lo, start, totals = mid, start + left, totals - left
-        return start, totals
-
-    def shard(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(source_no, pass, block) of each slot of a shard, in a pseudorandom order."""
-        start, n = self.counts(number)
-        source = np.repeat(np.arange(len(n)), n)
-        slot = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + start[source]
-        turn, at = np.divmod(slot, self.blocks[source])
-        block = permute(at, self.blocks[source], (np.uint64(self.seed) << np.uint64(40)) + (source.astype(np.uint64) << np.uint64(8)) + turn.astype(np.uint64))
-        order = np.random.default_rng([self.seed, number, 1]).permutation(len(source))
-        return source[order], turn[order], block[order]
+    if n < places:
+        return np.unique(rng.integers(0, places, n), return_counts=True)
+    count = rng.multinomial(n, np.full(places, 1 / places))
+    at = np.flatnonzero(count)
+    return at, count[at]
+
+
+def _draws(rows: DataFrame, seed: int, level: int) -> DataFrame:
+    """(source_no, blocks, place, first, n): the slots `n` from number `first` on of rows, each over its `places` places."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["source_no", "blocks", "place", "first", "n"]
+        for b in batches:
+            for source, blocks, place, first, n, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at, count = drawn([seed, level, source, place], n, places)
+                start = first + np.cumsum(count) - count
+                for k in range(0, len(at), ROWS):
+                    own = [at[k : k + ROWS] + place * RANGE, start[k : k + ROWS], count[k : k + ROWS]]
+                    fixed = [np.full(len(own[0]), source), np.full(len(own[0]), blocks)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in fixed + own], names)
+
+    kinds = "source_no long, blocks long, place long, first long, n long"
+    return rows.select("source_no", "blocks", "place", "first", "n", "places").mapInArrow(run, kinds)
+
+
+def _slots(rows: DataFrame, seed: int) -> DataFrame:
+    """(shard, source_no, turn, block) of each slot of rows (source_no, blocks, place, first, n)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            source, blocks, shard, first, n = (b.column(i).to_numpy() for i in range(5))
+            ends = np.cumsum(n)
+            lo = 0
+            while lo < len(n):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + ROWS, "right")))
+                at = np.repeat(np.arange(lo, hi), n[lo:hi])
+                slot = np.arange(len(at)) - np.repeat(ends[lo:hi] - n[lo:hi] - (ends[lo - 1] if lo else 0), n[lo:hi]) + first[at]
+                turn, place = np.divmod(slot, blocks[at])
+                key = (np.uint64(seed) << np.uint64(56)) + (source[at].astype(np.uint64) << np.uint64(8)) + turn.astype(np.uint64)
+                columns = [shard[at], source[at], turn, permute(place, blocks[at], key)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "source_no", "turn", "block"])
+                lo = hi
+
+    return rows.mapInArrow(run, "shard long, source_no long, turn long, block long")
 
 
 class Mix:
-    """A drawn mix of documents (row, source, size, ...): its sources, its slots and the documents' pieces."""
+    """A drawn mix of documents (source, size, ...): its sources, its slots and the documents' pieces."""
 
     def __init__(self, sizes: DataFrame, order: list[str], block: int = BLOCK, seed: int = 7):
         self.spark: SparkSession = sizes.sparkSession
-        sources = targets(sizes).orderBy("source_no").limit(MOST_SOURCES + 1).collect()
-        if len(sources) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources")
-        size, target = np.array([r["source_size"] for r in sources], np.int64), np.array([r["target"] for r in sources], float)
-        length, blocks, slots = cuts(size, target, block)
-        schema = "source string, source_no int, source_size long, target double, length long"
-        rows = [(*r, n) for r, n in zip(sources, length.tolist(), strict=True)]
-        self.sources = F.broadcast(self.spark.createDataFrame(rows, schema).coalesce(1))  # MOST_SOURCES rows at most
-        self.draw = Draw(slots, blocks, seed)
-        numbered = sizes.join(self.sources.withColumnRenamed("source", "_s"), sizes["source"].eqNullSafe(F.col("_s"))).drop("_s")
-        self.documents = numbered
-        self.placed = add_offsets(numbered.where("size > 0"), order, "size", by=["source_no"])
+        self.seed = seed
+        sources = targets(sizes)
+        for name, column in cuts(block).items():
+            sources = sources.withColumn(name, column)
+        self.sources = cut(sources, "sources")
+        named = self.sources.withColumnRenamed("source", "_s").drop("slots", "blocks")
+        self.documents = sizes.join(named, sizes["source"].eqNullSafe(F.col("_s"))).drop("_s")
+        self.placed = add_offsets(self.documents.where("size > 0"), order, "size", by=["source_no"])
 
     def slots(self) -> DataFrame:
-        """(shard, slot, source_no, turn, block): every slot of the mix."""
-        draw, shards = self.draw, self.draw.ranges * self.draw.shards if self.draw.total else 0
-
-        def run(batches):
-            import pyarrow as pa
-
-            for b in batches:
-                for number in b.column(0).to_pylist():
-                    source, turn, block = draw.shard(number)
-                    cols = [np.full(len(source), number), np.arange(len(source)), source, turn, block]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["shard", "slot", "source_no", "turn", "block"])
-
-        n = max(1, min(shards, self.spark.sparkContext.defaultParallelism * 4 if shards < 10_000 else shards // 64))
-        return self.spark.range(0, shards, 1, n).mapInArrow(run, "shard long, slot long, source_no long, turn long, block long")
+        """(shard, source_no, turn, block): every slot of the mix."""
+        total = self.sources.agg(F.sum("slots")).first()[0] or 0
+        shards = max(1, total // SHARD)
+        ranges = -(-shards // RANGE)
+        some = self.sources.where("slots > 0").select("source_no", "blocks", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("first"), F.col("slots").alias("n"))
+        if ranges > 1:
+            some = _draws(some.withColumn("places", F.lit(ranges)), self.seed, 0).repartition("source_no", "place")
+        each = _draws(some.withColumn("places", F.lit(RANGE if ranges > 1 else shards)), self.seed, 1)
+        return _slots(each.repartition("source_no", "place"), self.seed)
 
     def pieces(self) -> DataFrame:
         """The placed documents with one row for each block they reach: `block`, and `begin` and `stop`, their
@@ -181,7 +165,7 @@ class Mix:
     def picked(self) -> DataFrame:
         """pieces() with `picks`, the number of slots that took their block."""
         taken = self.slots().groupBy("source_no", "block").agg(F.count("*").alias("picks"))
-        # a draw is planned from a short range of numbers: without the hint it would be taken for small and be broadcast
+        # the draws grow from a row for each source: without the hint they would be taken for small and be broadcast
         return self.pieces().join(taken.hint("merge"), ["source_no", "block"])
 
 
@@ -194,9 +178,11 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mix takes from it, repeats counted, at most twice its size.
 
     A null or empty text has no words; a null source is the last source; a table without words gives
-    targets of 0. Repeated ids are rows of their own, packed after each other.
+    targets of 0. Repeated ids are rows of their own, packed after each other. An empty table gives no rows;
+    other columns don't pass. A very long text reaches many blocks, a row for each.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(f"`{text_col}`").alias("size"), F.xxhash64(text_col).alias("tie"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(f"`{text_col}`").alias("size"), F.xxhash64(text).alias("tie"))
     mix = Mix(cut(rows, "sizes"), ["doc_id", "tie"])
     keys = ["doc_id", "source_no", "start", "size", "source_size", "target"]
     # every placed document reaches a block, so only the count of picks may be missing
@@ -208,12 +194,13 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", order_col: str = "doc_id", chars_col: str = "n_chars") -> DataFrame:
-    """The mix as rows with the columns of docs: for each pass over a document, the stretches of its text that
-    taken blocks cover, each a row with the text from its first to its last word (the whole text if all is taken)."""
+    """The mix as rows with the columns of docs, whatever their names: for each pass over a document, the stretches of its
+    text that taken blocks cover, each a row with the text from its first to its last word (the whole text if all is
+    taken). Nulls, repeats and empty tables: as in mixed_sizes(); rows without words give none."""
     kept = docs.columns
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"))
     rows = cut(rows, "documents")
-    sizes = rows.select("row", F.col(f"doc.{source_col}").alias("source"), F.col(f"doc.{order_col}").alias("by"), word_count(f"doc.{text_col}").alias("size"))
+    sizes = rows.select("row", F.col(f"doc.`{source_col}`").alias("source"), F.col(f"doc.`{order_col}`").alias("by"), word_count(f"doc.`{text_col}`").alias("size"))
     mix = Mix(cut(sizes, "sizes"), ["by", "row"])
     # consecutive blocks with a pick for the pass are one stretch
     each = mix.picked().select("row", "size", "block", "begin", "stop", F.explode(F.sequence(F.lit(1), F.col("picks"))).alias("turn"))
@@ -254,5 +241,5 @@ def _stretch(rows: DataFrame, text_col: str) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    flat = rows.select(F.col(f"doc.{text_col}").alias("t"), "r.begin", "r.stop", "r.size", "doc")
+    flat = rows.select(F.col(f"doc.`{text_col}`").alias("t"), "r.begin", "r.stop", "r.size", "doc")
     return flat.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("part", T.StringType())]))

@@ -1,48 +1,36 @@
 """Near duplicates of documents by a chosen-path similarity join.
 
-Documents are sets of word shingles; equal sets are one representative. Several independent trees
-branch the representatives by minwise tokens: a path's hash picks which minwise value of a document
-extends it, and now and then a second one, so that for a pair at the threshold about one common
-child is expected at each node. Small nodes are compared exhaustively; large ones whose documents one
-confirmed star joins are done; the documents of others go through an exact join by their rarest
-shingles. Candidates are then confirmed on the full sets, a spanning part of them at a time, and documents are grouped by
-connected components.
+Documents are sets of word shingles; texts of equal words are one unit. Several independent trees branch
+the units by minwise tokens: a path's hash picks which minwise value of a document extends it, and now
+and then a second one, so that for a pair at the threshold about one common child is expected at each
+node. Small nodes are compared exhaustively; the members of large ones are confirmed against a hub, and
+where that leaves several components, by an exact join on their rarest shingles. Every link is
+confirmed on full sets, and documents are grouped by connected components.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import candidate_pairs, connected_components, cut, drop, ends_of, maybe_in, membership, pack_set, unpack_set
-from .prefix_join import similar_pairs
+from .common import connected_components, cut
+from .fuzzy import UNITS, Fresh, cluster, first_places, later, mix, wanted
 
 #: Minwise values of a document from which paths choose.
 VALUES = 128
 #: Levels of a tree.
-FIRST = 4
+LEVELS = 4
 #: Independent trees. A pair at similarity 0.8 shares a node after 4 levels of one tree with probability
 #: 0.58, so 10 trees miss it with probability 2e-4, and one at 0.85 with probability 4e-7.
 TREES = 10
-#: Nodes of up to this many representatives are compared exhaustively.
-SMALL = 12
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
-
-
 class Words:
     """64-bit hashes of words; a bounded number of them is kept."""
 
@@ -68,17 +56,28 @@ def kept_words() -> Words:
     return Words()
 
 
-def shingles(text: str, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `size` words, lower case for A-Z; of the whole if it has fewer."""
-    words = text.encode().translate(_FOLD).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = kept_words().hashes(words)
+def fold(text: str) -> bytes:
+    """The words of a text, lower case for A-Z, with one blank between them."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").translate(_FOLD).split())
+
+
+def word_hashes(folded: bytes) -> np.ndarray:
+    words = folded.split()
+    return kept_words().hashes(words) if words else np.zeros(0, np.uint64)
+
+
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` words from each position on, of the whole if there are fewer."""
     k = min(size, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
+    out = np.full(len(h) - k + 1 if k else 0, k, np.uint64)
     for i in range(k):
         out = mix(out + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    return out
+
+
+def shingles(folded: bytes, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `size` words of a folded text."""
+    return np.unique(runs(word_hashes(folded), size))
 
 
 @lru_cache(maxsize=1)
@@ -118,122 +117,65 @@ def grow(path: np.ndarray, owner: np.ndarray, sketch: np.ndarray, levels: int) -
     return path, owner
 
 
-def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, key, sketch) of each document; key is a 128-bit hash of its set, null without words."""
-
-    def run(batches):
-        import pyarrow as pa
-        import xxhash
-
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                sets = [shingles(t.as_py(), size) for t in part.column(1)]
-                n = [len(s) for s in sets]
-                key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                sketch = [minwise(s, VALUES).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n", "key", "sketch"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, sketch binary")
+def nodes(sketch: np.ndarray, trees: int) -> list[np.ndarray]:
+    """The nodes that each row of minwise values reaches after LEVELS levels of every tree."""
+    rows = len(sketch)
+    path, owner = grow(np.tile(mix(np.arange(1, trees + 1, dtype=np.uint64)), rows), np.repeat(np.arange(rows), trees), sketch, LEVELS)
+    order = np.argsort(owner, kind="stable")
+    return np.split(path[order].view(np.int64), np.cumsum(np.bincount(owner, minlength=rows))[:-1])
 
 
-def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(doc_id, key, set) of the documents whose id may be among `wanted` (one column); few others, and no text,
-    leave the tasks."""
-    shared = docs.sparkSession.sparkContext.broadcast(membership(wanted))  # MAP_BITS at most
+def _units(rows: DataFrame, size: int, trees: int) -> DataFrame:
+    """UNITS of rows (row, doc_id, text): one for each document with words; without words or id a place without unit."""
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute
         import xxhash
 
+        names = ["row", "doc_id", "pos", "size", "n", "unit", "keys", "copy"]
         for b in batches:
-            known = b.filter(pa.compute.is_valid(b.column(0)))
-            known = known.filter(pa.array(maybe_in(shared.value, known.column(0).to_numpy())))
-            for k in range(0, known.num_rows, 500):
-                part = known.slice(k, 500)
-                sets = [shingles(t.as_py(), size) for t in part.column(1)]
-                key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.binary()), pa.array([pack_set(s) for s in sets], pa.binary())], ["doc_id", "key", "set"])
-
-    return docs.mapInArrow(run, "doc_id long, key binary, set binary")
-
-
-def _paths(sketches: DataFrame, trees: int) -> DataFrame:
-    """(key, id): the nodes of each representative after the first levels of every tree."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        roots = mix(np.arange(1, trees + 1, dtype=np.uint64))
-        for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                ids = part.column(0).to_numpy()
-                sketch = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(len(ids), -1)
-                path, owner = grow(np.tile(roots, len(ids)), np.repeat(np.arange(len(ids)), trees), sketch, FIRST)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(ids[owner])], ["key", "id"])
-
-    return sketches.select("id", "sketch").mapInArrow(run, "key long, id long")
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets (id, set) have an intersection of at least `percent` % of their union."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = unpack_set(x.as_buffer()), unpack_set(y.as_buffer())
-                both = np.sort(np.concatenate([x, y]))
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * same >= percent * (len(x) + len(y) - same))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
-
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs whose minwise values agree so seldom that a similarity of `percent` % is out of the question:
-    five standard deviations below, one in millions of the pairs at the threshold."""
-    p = percent / 100
-    least = VALUES * p - 5 * (VALUES * p * (1 - p)) ** 0.5
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(b.num_rows, -1) for i in (2, 3))
-            keep = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
-
-    left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
-    right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def link(pairs: DataFrame, sets: DataFrame, percent: int, sketches: DataFrame | None = None) -> DataFrame:
-    """(id, component) of the graph of those pairs that are similar enough.
-
-    Pairs are confirmed in two turns: first, for each id, the one with its smallest partner; then all
-    that join different components after that. Pairs within a component need no check, so large groups
-    of copies cost about one check for each member.
-    """
-    turn = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = cut(verify(turn, sets, percent), "found")
-    members = cut(connected_components(found), "members")
-    rest = pairs.join(members.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-    rest = rest.join(members.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(turn, ["a", "b"], "left_anti")
-    if sketches is not None:
-        rest = alike(rest, sketches, percent)
-    more = verify(rest, sets, percent)
-    return cut(connected_components(members.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "members")
+            k = b.num_rows
+            if not k:
+                continue
+            row, doc = b.column(0).to_numpy(), np.array(b.column(1).fill_null(np.iinfo(np.int64).min))
+            has_id = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            unit, n, sketch = np.zeros(k, np.int64), np.zeros(k, np.int32), np.zeros((k, VALUES), np.uint32)
+            for i, t in enumerate(b.column(2)):
+                words = fold(t.as_py())
+                if words:
+                    s = shingles(words, size)
+                    unit[i], n[i] = xxhash.xxh3_64_intdigest(words) - (1 << 63), len(s)
+                    sketch[i] = minwise(s, VALUES)
+            known = has_id & (n > 0)
+            zero = np.zeros(k, np.int64)
+            copy = np.zeros(k, bool)
+            at = np.flatnonzero(known)
+            copy[at] = later(doc[at], row[at], zero[at], unit[at])
+            keyed = np.flatnonzero(known & ~copy)
+            found = nodes(sketch[keyed], trees) if len(keyed) else []
+            offsets = np.zeros(k + 1, np.int32)
+            offsets[keyed + 1] = [len(x) for x in found]
+            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+            without = np.ones(k + 1, bool)
+            without[keyed], without[k] = False, False
+            keys = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32), mask=without), flat)
+            columns = [b.column(0), b.column(1), pa.array(zero.astype(np.int32)), pa.array(np.ones(k, np.int32)), pa.array(n), pa.array(unit, mask=~known), keys, pa.array(copy)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(run, UNITS)
+
+
+def _content(batches, maybe):
+    """(id, text) of batches of texts: the folded words of those whose number may be wanted."""
+    import pyarrow as pa
+    import xxhash
+
+    fresh = Fresh()
+    for b in batches:
+        words = [fold(t.as_py()) for t in b.column(0)]
+        number = np.array([xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words], np.int64)
+        at = fresh(np.flatnonzero(maybe(number)), number)
+        yield pa.RecordBatch.from_arrays([pa.array(number[at]), pa.array([words[i] for i in at], pa.binary())], ["id", "text"])
 
 
 def near_duplicates(
@@ -246,56 +188,35 @@ def near_duplicates(
     the smallest id that links lead to, kept tells whether it is the row's own. Rows without words or
     with a null text have an empty set and are linked with nothing. Rows that share an id are one
     document with several texts: what links one links all, and each row is kept or not alike. Rows
-    with a null id get a null component and are kept.
+    with a null id get a null component and are kept. An empty table gives no rows; other columns don't
+    pass. Very long texts are taken whole: a task holds the shingles of one text at a time.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketched = cut(_sketches(rows, size), "sketches")
-    seen = cut(sketched.select("doc_id", "n", "key"), "seen")
-    named = seen.where("doc_id is not null and key is not null")
-    # one row for each distinct set, under its smallest id
-    distinct = sketched.where("doc_id is not null and key is not null").groupBy("key")
-    reps = cut(distinct.agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch")), "reps")
-    drop(sketched)
-    least, sketches = reps.select("key", "id", "copies"), reps.select("id", "sketch")
-    paths = cut(_paths(sketches, trees), "paths")
-
-    def sets_of(ends: DataFrame) -> DataFrame:
-        keys = reps.select(F.col("id").alias("doc_id"), "key").join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        found = _sets(rows, size, ends).join(keys, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-        return cut(found.select(F.col("doc_id").alias("id"), "set"), "sets")
-
-    def confirm(some: DataFrame) -> DataFrame:
-        return connected_components(verify(some, sets_of(ends_of(some)), percent))
-
-    def settle(ids: DataFrame, known: DataFrame) -> DataFrame:
-        return similar_pairs(sets_of(ids), percent, known, verify)
-
-    pairs = candidate_pairs(paths, confirm, settle, SMALL)
-    drop(paths)
-    sizes = reps.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a")
-    pairs = pairs.join(sizes.select(F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b")
-    pairs = cut(pairs.where(f"100 * ahi >= {percent} * blo and 100 * bhi >= {percent} * alo").select("a", "b"), "pairs")
-
-    sets = sets_of(ends_of(pairs))
-    members = link(pairs, sets, percent, sketches)
-
-    own = named.join(least, "key").where("copies > 1 or doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-    # ids with one set need no more than their representative's component; several sets of one id are joined by links
-    several = named.groupBy("doc_id").agg(F.count_distinct("key").alias("k")).where("k > 1").select("doc_id")
-    if several.isEmpty():
-        home = named.select("doc_id", "key").join(least.select("key", "id"), "key").join(members, "id", "left")
-        home = home.groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component"))
-    else:
-        links = own.union(members.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        home = connected_components(links).select(F.col("id").alias("doc_id"), "component")
-    out = seen.select("doc_id", "n").join(home, "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    units = _units(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), size, trees)
+    marked = cut(first_places(units), "documents")
+    members = cluster(
+        marked.where("first").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(rows.select("text"), ids, _content), percent, partial(shingles, size=size)
+    )
+    # the smallest id of each unit, then of each component
+    home = marked.where("first").select("unit", "doc_id").join(members.withColumnRenamed("id", "unit"), "unit", "left")
+    least = home.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    home = home.join(least, "component", "left").select("unit", F.coalesce("least", "doc_id").alias("component_id"))
+    out = marked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "unit").join(home, "unit", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    repeated = marked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    if not repeated.isEmpty():  # all rows of such an id belong together
+        out = cut(out, "placed")
+        of_id = out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+        links = out.join(of_id, "doc_id").select(F.col("component_id").alias("a"), F.col("of_id").alias("b")).where("a <> b")
+        joined = connected_components(links).select(F.col("id").alias("component_id"), F.col("component").alias("joined"))
+        out = out.join(of_id, "doc_id", "left").withColumn("component_id", F.coalesce("of_id", "component_id")).join(joined, "component_id", "left")
+        out = out.select("doc_id", "n_shingles", F.coalesce("joined", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with their columns; of repeated rows of one id all stay."""
-    gone = near_duplicates(docs, id_col, text_col, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of docs that near_duplicates() keeps, with their columns, whatever their names; of repeated rows of one id
+    all stay. Nulls, empty texts and empty tables: as there."""
+    kept = docs.columns
+    gone = near_duplicates(docs, id_col, text_col, **how).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    return rows.join(gone, F.col(f"row.`{id_col}`").cast("long") == F.col("gone"), "left_anti").select("row.*")

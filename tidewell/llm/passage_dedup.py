@@ -1,27 +1,29 @@
 """Paragraph MinHash banding.
 
-Paragraphs are runs of words between content-defined breaks, so that a passage set into another text,
-with or without line breaks, is cut into the same paragraphs there. Each has minwise values of its
-five-word shingles as bands of one value: by chance, paragraphs hardly share a shingle, so single
-values give the highest recall for their number without many false candidates.
+Paragraphs are the lines of a text and, as a passage may be set into other text with or without line
+breaks, also windows of words that begin at content-defined places: the same ones wherever the passage
+stands. Each has minwise values of its five-word shingles as bands of one value: by chance, paragraphs
+hardly share a shingle, so single values give the highest recall for their number without many false
+candidates.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pack_set
-from .fuzzy import SETS, UNITS, Fresh, removals, seeds, segment_sums
-from .line_dedup import _rows
-from .near_dedup import _FOLD, kept_words, mix
+from .common import cut
+from .fuzzy import UNITS, Fresh, by_row, cluster, first_places, mix, removals, seeds, unit_batch, wanted
+from .near_dedup import _FOLD, kept_words, runs, shingles
 
-#: A break stands before a word pair whose hash is the least among this many to either side: every
-#: 2 REACH + 1 words on average, never within REACH words of another.
-REACH = 6
-#: Paragraphs of fewer words are not compared.
-LEAST = 8
+#: Words of a window. A window begins before a word pair whose hash is the least among REACH to either side: every
+#: 2 REACH + 1 words on average, never within REACH words of another. Nearly every passage of over 50 words has one.
+WINDOW, REACH = 20, 8
+#: Lines of fewer words are no paragraphs: what repeats of them is the line deduplication's.
+LEAST = 20
 SHINGLE = 5
 #: Bands of one minwise value: at similarity 0.8 a pair collides with probability 0.992, at 0.9 with 0.999.
 BANDS = 3
@@ -29,112 +31,134 @@ _SEEDS = seeds(BANDS)
 _U = np.uint64
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    return kept_words().hashes(words) if words else np.zeros(0, np.uint64)
+def split(text: str) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text, lower case for A-Z, and the number of the \\n-split line of each."""
+    lines = [x.split() for x in text.encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n")]
+    return [w for x in lines for w in x], np.repeat(np.arange(len(lines)), [len(x) for x in lines])
 
 
-def breaks(h: np.ndarray) -> np.ndarray:
-    """Starts of the paragraphs of a text's word hashes."""
+def places(h: np.ndarray) -> np.ndarray:
+    """Starts of the windows in a text's word hashes."""
     n = len(h)
-    if n < 2 * REACH:
-        return np.zeros(min(n, 1), np.int64)
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
     g = mix(h + _U(3) * np.append(h[1:], _U(0)))
     pad = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
     view = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, g, pad]), 2 * REACH + 1)
     least = g == view.min(axis=1)
     least &= view[:, :REACH].min(axis=1) != g  # of equal ones the first
     at = np.flatnonzero(least)
-    return np.concatenate([[0], at[at > 0]])
+    return at[at + WINDOW <= n]
+
+
+def paragraphs(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of the lines and windows that are compared; one that is both comes once."""
+    edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+    size = np.diff(np.append(edge, len(line)))
+    windows = places(h)
+    start = np.concatenate([edge[size >= LEAST], windows])
+    size = np.concatenate([size[size >= LEAST], np.full(len(windows), WINDOW)])
+    if not len(start):
+        return start, size
+    both = np.unique(np.stack([start, size], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each size, one after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def windows(h: np.ndarray) -> np.ndarray:
-    """A hash of the SHINGLE words from each position on."""
-    n = len(h) - SHINGLE + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for k in range(SHINGLE if n > 0 else 0):
-        out = mix(out + h[k : k + n])
-    return out
+def numbers(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words of each paragraph, in their order."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    at, edge = _flat(start, size), np.cumsum(size) - size
+    inner = (at - np.repeat(start, size)).astype(np.uint64)
+    terms = mix(h[at] ^ mix(inner + _U(0x632BE59BD9B4E019)))
+    return mix(np.add.reduceat(terms, edge) + size.astype(np.uint64)).view(np.int64)
 
 
-def paragraphs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, unit, bands) of the paragraphs that are compared."""
-    start = breaks(h)
-    size = np.diff(np.append(start, len(h)))
-    start, size = start[size >= LEAST], size[size >= LEAST]
+def bands(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     if not len(start):
-        return start, size, np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
-    w = windows(h)
+        return np.zeros((0, BANDS), np.int64)
     n = size - SHINGLE + 1
-    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    own, edge = w[at], np.cumsum(n) - n
-    bands = np.stack([mix(np.minimum.reduceat(mix(own ^ s), edge) + s) for s in _SEEDS], axis=1)
-    return start, size, segment_sums(h, start, size).view(np.int64), bands.view(np.int64)
+    own, edge = runs(h, SHINGLE)[_flat(start, n)], np.cumsum(n) - n
+    return np.stack([mix(np.minimum.reduceat(mix(own ^ s), edge) + s) for s in _SEEDS], axis=1).view(np.int64)
 
 
 def _units(rows: DataFrame) -> DataFrame:
-    """UNITS of rows (row, doc_id, text): pos and size count words."""
+    """UNITS of rows (row, doc_id, text), where pos and size count words, and a head for each row."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["row", "doc_id", "pos", "size", "unit", "bands"]
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
-                found = [paragraphs(word_hashes(t.as_py())) for t in part.column(2)]
-                n = np.array([len(f[0]) for f in found], np.int64)
-                at = pa.array(np.repeat(np.arange(part.num_rows), n))
-                start, size, unit, bands = (np.concatenate(x) for x in zip(*found, strict=True))
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1)))
-                cols = [part.column(0).take(at), part.column(1).take(at), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(unit), keys]
-                yield pa.RecordBatch.from_arrays(cols, names)
+            if not b.num_rows:
+                continue
+            found = []
+            for t in b.column(2):
+                words, line = split(t.as_py())
+                h = kept_words().hashes(words) if words else np.zeros(0, np.uint64)
+                start, size = paragraphs(h, line)
+                found.append((start, size, numbers(h, start, size), bands(h, start, size)))
+            count = np.array([len(f[0]) for f in found], np.int64)
+            at = np.repeat(np.arange(b.num_rows), count)
+            start, size, unit, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+            row = b.column(0).to_numpy()
+            yield unit_batch(row[at], b.column(1).take(pa.array(at)), start, size, np.zeros(len(at)), unit, keys, (row, b.column(1), count))
 
     return rows.mapInArrow(run, UNITS)
 
 
-def _sets(rows: DataFrame, shared) -> DataFrame:
-    """SETS of the paragraphs that a broadcast membership map may hold."""
+def _content(batches, maybe):
+    """(id, text) of batches of texts: the paragraphs whose number may be wanted."""
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
+    fresh = Fresh()
+    for b in batches:
+        ids, texts = [], []
+        for t in b.column(0):
+            words, line = split(t.as_py())
+            h = kept_words().hashes(words) if words else np.zeros(0, np.uint64)
+            start, size = paragraphs(h, line)
+            number = numbers(h, start, size)
+            for i in fresh(np.flatnonzero(maybe(number)), number):
+                ids.append(int(number[i]))
+                texts.append(b" ".join(words[start[i] : start[i] + size[i]]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["id", "text"])
 
-        fresh = Fresh(shared.value)
-        for b in batches:
-            for k in range(0, b.num_rows, 200):
-                ids, sets = [], []
-                for text in b.slice(k, 200).column(0).to_pylist():
-                    h = word_hashes(text)
-                    start, size, unit, _ = paragraphs(h)
-                    at = fresh(unit)
-                    w = windows(h) if at else None
-                    ids += [int(unit[i]) for i in at]
-                    sets += [pack_set(np.unique(w[start[i] : start[i] + size[i] - SHINGLE + 1])) for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return rows.select("text").mapInArrow(run, SETS)
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(marked, gone): all compared paragraphs with their first places, and (row, pos, size) of those that are equal or
+    similar to an earlier one. Paragraphs are numbered by 64-bit hashes."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    marked = cut(first_places(_units(rows)), "paragraphs")
+    texts = rows.select("text")
+    members = cluster(marked.where("first").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(texts, ids, _content), percent, partial(shingles, size=SHINGLE))
+    return marked, removals(marked, members)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(paragraphs, repeated): UNITS of all compared paragraphs, and those (row, pos, size, unit, component) that
-    are equal or similar to an earlier one.
+def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """(doc_id, n_paragraphs, n_removed, removed_words, removed) for each row of docs: how many of its paragraphs
+    repeat, and the words (start, end) that go with them.
 
     Paragraphs are similar if their sets of five-word shingles (lower case for A-Z) have an intersection of at
     least `percent` % of their union, and belong together if similar ones lead from one to the other. The
-    first place of a component, by doc_id (null first), row and word, stays. Paragraphs of under LEAST words
-    are left alone; a null text has none. Repeated rows are texts of their own.
+    first place of a component, by doc_id (null first), row and word, stays. Lines and texts of fewer than
+    LEAST words are left alone; a null or empty text has no paragraphs. Repeated rows are texts of their own.
+    An empty table gives no rows; other columns don't pass. Texts are hashed whole, one at a time.
     """
-    rows = _rows(docs, id_col, text_col)
-    units = cut(_units(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")), "paragraphs")
-    return units, removals(units, lambda shared: _sets(rows, shared), percent)
-
-
-def passage_report(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, n_paragraphs, n_removed, removed_words, removed) for each row of docs with a compared paragraph:
-    what goes of it; `removed` are (pos, size, component), in words."""
-    units, repeated = repeated_passages(docs, **how)
-    total = units.groupBy("row", "doc_id").agg(F.count("*").alias("n_paragraphs"))
-    gone = repeated.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "size", "component"))).alias("removed"))
-    out = total.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<pos:int,size:int,component:bigint>>")))
-    words = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["size"])
-    return out.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), words.alias("removed_words"), "removed")
+    out = by_row(*repeated_passages(docs, id_col, text_col, percent))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    # paragraphs in the order of their starts; each either goes on with the open stretch or begins another
+    merged = F.aggregate(
+        "gone", F.struct(none.alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end")),
+        lambda s, x: F.when(x["pos"] <= s["end"], F.struct(s["done"].alias("done"), s["start"].alias("start"), F.greatest(s["end"], x["pos"] + x["size"]).alias("end"))).otherwise(
+            F.struct(F.when(s["end"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).alias("done"), x["pos"].alias("start"), (x["pos"] + x["size"]).alias("end"))
+        ),
+        lambda s: F.when(s["end"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
+    )
+    out = out.withColumn("removed", merged)
+    words = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return out.select("doc_id", F.col("n_units").alias("n_paragraphs"), F.size("gone").cast("long").alias("n_removed"), words.alias("removed_words"), "removed")

@@ -9,6 +9,8 @@ dealt over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,11 +137,11 @@ def _large_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(sets.select("id", "set"), "id").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
 
 
-def similar_pairs(sets: DataFrame, percent: int, known: DataFrame, verify) -> DataFrame:
+def similar_pairs(sets: DataFrame, percent: int, known: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pairs (a < b) that with the components `known` (id, component) join all ids of `sets` (id, set) that similar pairs
     join: those that are similar and of different components, and some more candidates.
 
-    verify(pairs, sets, percent) keeps the similar ones of some pairs. The result is a table in the shared folder.
+    verify(pairs) keeps the similar ones of some pairs. The result is a table in the shared folder.
     """
     with_component = lambda rows, c: rows.drop("component").join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
     nodes = cut(_prefixes(with_component(sets, known), percent), "prefixes")
@@ -154,7 +156,7 @@ def similar_pairs(sets: DataFrame, percent: int, known: DataFrame, verify) -> Da
     large = cut(several.where(F.col("group") > SMALL).select("key", "id", "component").distinct(), "hot")
     written = [several, large]
     if not large.isEmpty():
-        near = cut(verify(stars(large, F.xxhash64("id"), PIVOTS).distinct(), sets, percent), "near")
+        near = cut(verify(stars(large.select("key", "id"), PIVOTS).distinct()), "near")
         all_known = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
         joined = cut(connected_components(all_known.union(near)), "joined")
         now = cut(with_component(large, joined), "hot")
@@ -163,7 +165,7 @@ def similar_pairs(sets: DataFrame, percent: int, known: DataFrame, verify) -> Da
         if not left.isEmpty():
             out = out.union(_large_pairs(left, sets, percent))
         written += [near, joined, now, left]
-    pairs = cut(out.where("a < b").distinct(), "similar")
+    pairs = cut(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "similar")
     for df in written:
         drop(df)
     return pairs

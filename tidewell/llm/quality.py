@@ -112,7 +112,9 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "bullet_line_ratio": per("n_bullet_lines", "n_lines"), "repeat_word_ratio": per("n_repeat_words", "n_words"),
     }
     out = out.withColumns(ratios)
-    return out.select("row", F.struct(*[c for c in out.columns if c != "row"]).alias("q"))
+    # what a generator makes is no alias: a filter on it stays above, where else its measures would be worked out anew in
+    # each of its terms, with the texts split again in each
+    return out.select("row", F.explode(F.array(F.struct(*[c for c in out.columns if c != "row"]))).alias("q"))
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -134,7 +136,8 @@ def quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows. kept: the base check
     and every rule hold. A null or empty text has no words and fails. Repeated rows are judged alike,
-    each by itself; windows longer than the text don't exist.
+    each by itself; windows longer than the text don't exist. An empty table gives no rows. Very long texts
+    are judged whole: a task holds the words of one text.
     """
     out = measures(docs, text_col)
     failed = (F.col("q.n_words") < 20) | (100 * F.col("q.n_repeat_words") > 30 * F.col("q.n_words"))
@@ -142,5 +145,5 @@ def quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
+    """The rows of docs that are kept, with their columns, whatever their names. Nulls, repeats, empty tables: as in quality()."""
     return quality(docs, text_col, rules).where("kept").select("row.*")

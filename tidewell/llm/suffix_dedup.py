@@ -2,9 +2,11 @@
 
 Where repeats can lie is found first. Every 100-byte string has one anchor, the least of its 32-byte
 strings by hash; equal strings have equal anchors at equal places. The 100-byte strings of one anchor
-form an extent. Extents are dealt out by anchor: an extent that is equal to an earlier one goes as a
-whole; an anchor that stands in different extents (at the edges of copies and passages) is settled by
-a suffix array over these extents. Anchors of one extent need nothing more.
+form an extent. Extents are dealt out by anchor: an extent whose 128 bits of hash (anchor and content)
+stand at an earlier place goes as a whole. An anchor that stands in different extents (at the edges of
+copies and passages) has these cut into windows of up to STARTS strings around a common core; windows are
+dealt out by the core, so that hot anchors spread, and those of a core with several contents are settled by
+a suffix array. Anchors of one extent and cores of one window need nothing more.
 
 The suffix array is built by grouping: suffixes are grouped by their Lyndon prefix, groups are worked
 from the greatest down, each extending the prefixes of the suffixes that its members' previous-smaller
@@ -16,15 +18,17 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .near_dedup import mix
+from .fuzzy import later, mix
 
 #: Bytes of a string that is looked for, and of an anchor.
 LENGTH, ANCHOR = 100, 32
-#: Bytes of extents that one suffix array covers, unless one anchor has more.
+#: Strings that a window holds at most; they share a core of LENGTH - STARTS + 1 bytes.
+STARTS = 17
+#: Bytes of windows that one suffix array covers. A core with more is cut into windows of fewer strings.
 SHARD = 1 << 16
 _SPAN = LENGTH - ANCHOR + 1
 _U = np.uint64
@@ -176,84 +180,124 @@ def extents(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return anchor[at[first]].view(np.int64), key.view(np.int64), first, last, at[first]
 
 
-EXTENT = "h long, e long, doc_id long, row long, first int, last int"
-GONE = "row long, doc_id long, start int, end int"
+EXTENT = "h long, e long, doc_id long, tie long, first int, last int, anchor int, copy boolean"
+#: A place is a text's (doc_id, tie) and an offset: tie is a hash of the text, so that places don't depend on how rows are
+#: read. Null ids count as NO_ID with a tie of their own.
+GONE = "doc_id long, tie long, start int, end int"
+NO_ID = -(1 << 63)
 
 
 def _extents(rows: DataFrame) -> DataFrame:
+    """EXTENT of rows (doc_id, tie, text). Those that an earlier one in the same batch equals are known as `copy`."""
+
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
-                found = [extents(np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8)) for t in part.column(2)]
-                n = np.array([len(f[0]) for f in found], np.int64)
-                at = pa.array(np.repeat(np.arange(part.num_rows), n))
-                h, e, first, last, _ = (np.concatenate(x) for x in zip(*found, strict=True))
-                cols = [pa.array(h), pa.array(e), part.column(1).take(at), part.column(0).take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, ["h", "e", "doc_id", "row", "first", "last"])
+            if not b.num_rows:
+                continue
+            found = [extents(np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8)) for t in b.column(2)]
+            size = np.array([len(f[0]) for f in found], np.int64)
+            doc, tie = (np.repeat(b.column(i).to_numpy(), size) for i in (0, 1))
+            h, e, first, last, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+            copy = later(doc, tie, first, h, e)
+            if copy.any():  # the same place of a row that comes twice is no earlier one
+                order = np.lexsort((first, tie, doc))
+                same = np.zeros(len(order), bool)
+                same[1:] = (doc[order[1:]] == doc[order[:-1]]) & (tie[order[1:]] == tie[order[:-1]]) & (first[order[1:]] == first[order[:-1]])
+                copy[order[same]] = False
+            columns = [h, e, doc, tie, first.astype(np.int32), last.astype(np.int32), anchor.astype(np.int32), copy]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "e", "doc_id", "tie", "first", "last", "anchor", "copy"])
 
     return rows.mapInArrow(run, EXTENT)
 
 
 def _sorted_out(ordered: DataFrame) -> DataFrame:
-    """From extents in the order (h, e, doc_id, row, first): the copies of an earlier extent (`copy`), and one of each
+    """From EXTENT in the order (h, e, doc_id, tie, first): the copies of an earlier extent (`copy`), and one of each
     different content of an anchor that has several (not `copy`). Holds one extent from batch to batch."""
+    names = ["doc_id", "tie", "first", "last", "anchor", "copy"]
 
     def run(batches):
         import pyarrow as pa
 
-        held = None  # the last anchor and content, and its first extent while it is the anchor's only one
-        for b in batches:
-            h, e = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(h):
+        held = None  # the last anchor, content and its first place, and its extent while it is the anchor's only one
+        for whole in batches:
+            known = whole.column(7).to_numpy(zero_copy_only=False)
+            if known.any():
+                yield pa.RecordBatch.from_arrays(whole.filter(whole.column(7)).columns[2:], names)
+            b = whole.filter(pa.array(~known))
+            if not b.num_rows:
                 continue
+            h, e, doc, tie, first = (b.column(i).to_numpy() for i in range(5))
             new_h = np.concatenate([[held is None or held[0] != h[0]], h[1:] != h[:-1]])
             new_e = new_h | np.concatenate([[held is None or held[1] != e[0]], e[1:] != e[:-1]])
+            # the place of the first extent of equal content: a row that comes twice is no copy of itself
+            start = np.maximum.accumulate(np.where(new_e, np.arange(len(h)), -1))
+            origin = [np.where(start >= 0, x[start], held[2][i] if held else 0) for i, x in enumerate((doc, tie, first))]
+            itself = (origin[0] == doc) & (origin[1] == tie) & (origin[2] == first)
             number = np.cumsum(new_h)
             kinds = np.bincount(number, weights=new_e & ~new_h, minlength=int(number[-1]) + 1)
             several = kinds[number] > 0
-            if held is not None and held[2] is not None and not new_h[0] and kinds[0] > 0:
-                yield held[2]
-            carried = held is not None and held[2] is None  # the open anchor has several already
-            show = ~new_e | several
-            if carried:
+            if held is not None and held[3] is not None and not new_h[0] and kinds[0] > 0:
+                yield held[3]
+            show = several & new_e
+            if held is not None and held[3] is None:  # the open anchor has several already
                 show |= (number == 0) & new_e
-            copy = pa.array(~new_e)
-            table = pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), b.column(5), copy], ["h", "doc_id", "row", "first", "last", "copy"])
+            show |= ~itself
+            table = pa.RecordBatch.from_arrays([*b.columns[2:7], pa.array(~new_e)], names)
             yield table.filter(pa.array(show))
             k = int(number[-1])
             if k == 0:
-                alone = held[2] if held is not None and kinds[0] == 0 else None
+                alone = held[3] if held is not None and kinds[0] == 0 else None
             elif kinds[k] == 0:
                 alone = table.slice(int(np.flatnonzero(new_h)[-1]), 1)
             else:
                 alone = None
-            held = (h[-1], e[-1], alone)
+            held = (h[-1], e[-1], tuple(int(x[-1]) for x in origin), alone)
 
-    return ordered.mapInArrow(run, "h long, doc_id long, row long, first int, last int, copy boolean")
+    return ordered.mapInArrow(run, "doc_id long, tie long, first int, last int, anchor int, copy boolean")
 
 
-def _content(rows: DataFrame, several: DataFrame) -> DataFrame:
-    """The extents with their bytes."""
-    at = several.groupBy("row").agg(F.collect_list(F.struct("h", "first", "last")).alias("at"))
+def windows(data: bytes, first: int, last: int, anchor: int, starts: int) -> list[tuple[int, int, int, int]]:
+    """(core, from, to, lead) of the strings that begin at first to last: those that begin at the same multiple of `starts`
+    before the anchor share a window; its core is known by that multiple and the bytes that all of them hold, which
+    begin `lead` bytes after the window."""
+    import xxhash
+
+    out = []
+    for slot in range((anchor - last) // starts, (anchor - first) // starts + 1):
+        to, at = anchor - slot * starts, anchor - slot * starts - starts + 1
+        a, z = max(first, at), min(last, to)
+        core = xxhash.xxh3_64_intdigest(data[to : at + LENGTH], seed=slot % (1 << 32)) - (1 << 63)
+        out.append((core, a, z, to - a))
+    return out
+
+
+def _windows(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """(core, e, doc_id, tie, first, lead, data): the windows of the extents, with their bytes; lead is the number of
+    bytes before the core, e a hash of lead and bytes."""
+    at = several.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("at"))
+    names = ["core", "e", "doc_id", "tie", "first", "lead", "data"]
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for b in batches:
             for k in range(0, b.num_rows, 100):
                 out = []
-                for row, doc, text, at in zip(*(c.to_pylist() for c in b.slice(k, 100).columns), strict=True):
+                for doc, tie, text, at in zip(*(c.to_pylist() for c in b.slice(k, 100).columns), strict=True):
                     data = text.encode("utf-8", "surrogatepass")
-                    out += [(x["h"], doc, row, x["first"], data[x["first"] : x["last"] + LENGTH]) for x in at]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "doc_id", "row", "first", "data"])
+                    for x in at:
+                        for core, a, z, lead in windows(data, x["first"], x["last"], x["anchor"], STARTS):
+                            own = data[a : z + LENGTH]
+                            out.append((core, xxhash.xxh3_64_intdigest(own, seed=lead) - (1 << 63), doc, tie, a, lead, own))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    found = rows.join(at, "row").select("row", "doc_id", "text", "at")
-    return found.mapInArrow(run, "h long, doc_id long, row long, first int, data binary")
+    found = rows.join(at, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select("doc_id", "tie", "text", "at")
+    return found.mapInArrow(run, "core long, e long, doc_id long, tie long, first int, lead int, data binary")
 
 
 def repeats(data: list[bytes], rank: np.ndarray) -> list[tuple[int, int, int]]:
@@ -293,46 +337,84 @@ def repeats(data: list[bytes], rank: np.ndarray) -> list[tuple[int, int, int]]:
 _RAISED = bytes(min(i + 1, 255) for i in range(256))
 
 
-def _settle(content: DataFrame) -> DataFrame:
-    """GONE for extents in the order of their anchors: whole anchors up to SHARD bytes share a suffix array."""
+def finer(group: list[tuple], starts: int) -> tuple[list[tuple], list[list[tuple]]]:
+    """(copies, groups): the windows (doc_id, tie, first, lead, data) of one core, too many for a suffix array, as windows of
+    fewer strings: those that an earlier one equals, and the different ones of each core that has several."""
+    cores: dict[int, dict] = defaultdict(dict)
+    copies = []
+    for doc, tie, first, lead, data in sorted(group, key=lambda x: x[:3]):
+        for core, a, z, own_lead in windows(data, 0, len(data) - LENGTH, lead, starts):
+            own = data[a : z + LENGTH]
+            if cores[core].setdefault((own_lead, own), (doc, tie, first + a, own_lead, own)) != (doc, tie, first + a, own_lead, own):
+                copies.append((doc, tie, first + a, first + a + len(own)))
+    return copies, [list(x.values()) for x in cores.values() if len(x) > 1]
+
+
+def _settle(ordered: DataFrame) -> DataFrame:
+    """GONE for windows in the order (core, e, doc_id, tie, first): whole cores up to SHARD bytes share a suffix array."""
 
     def run(batches):
         import pyarrow as pa
 
-        held: list[tuple] = []
-        size, last = 0, None
+        shard: list[tuple] = []
+        done: list[tuple] = []
+        group: list[tuple] = []
+        core = None
 
         def settle():
-            by = sorted(range(len(held)), key=lambda i: (held[i][1] is not None, held[i][1] or 0, held[i][2], held[i][3]))
-            rank = np.zeros(len(held), np.uint64)
-            rank[by] = np.arange(len(held), dtype=np.uint64)
-            out = [(held[i][2], held[i][1], held[i][3] + a, held[i][3] + z + LENGTH) for i, a, z in repeats([x[4] for x in held], rank)]
-            held.clear()
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["row", "doc_id", "start", "end"])
+            by = sorted(range(len(shard)), key=lambda i: shard[i][:3])
+            rank = np.zeros(len(shard), np.uint64)
+            rank[by] = np.arange(len(shard), dtype=np.uint64)
+            for i, a, z in repeats([x[4] for x in shard], rank):
+                done.append((shard[i][0], shard[i][1], shard[i][2] + a, shard[i][2] + z + LENGTH))
+            shard.clear()
+
+        def close(own: list[tuple], starts: int):
+            if len(own) < 2:
+                return
+            if starts > 1 and sum(len(x[4]) for x in own) > SHARD:
+                copies, parts = finer(own, starts // 4 or 1)
+                done.extend(copies)
+                for p in parts:
+                    close(p, starts // 4 or 1)
+                return
+            shard.extend(own)
+            if sum(len(x[4]) for x in shard) >= SHARD:
+                settle()
+
+        def flush():
+            columns = list(zip(*done, strict=True)) if done else [[]] * 4
+            out = [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(out, ["doc_id", "tie", "start", "end"])
 
         for b in batches:
-            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= SHARD and x[0] != last:
-                    yield settle()
-                    size = 0
-                held.append(x)
-                size += len(x[4])
-                last = x[0]
-        if held:
-            yield settle()
-
-    return content.mapInArrow(run, GONE)
-
-
-def repeated_strings(rows: DataFrame, n: int) -> DataFrame:
-    """GONE: byte ranges of rows (row, doc_id, text) covered by strings that start earlier; they may overlap."""
-    ordered = _extents(rows).repartition(n, "h").sortWithinPartitions("h", "e", "doc_id", "row", "first")
+            for c, _, *window in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if c != core:
+                    close(group, STARTS)
+                    group, core = [], c
+                if group and window[3:] == group[-1][3:]:
+                    if tuple(window[:3]) != group[-1][:3]:
+                        done.append((window[0], window[1], window[2], window[2] + len(window[4])))
+                else:
+                    group.append(tuple(window))
+            yield flush()
+        close(group, STARTS)
+        settle()
+        yield flush()
+
+    return ordered.mapInArrow(run, GONE)
+
+
+def repeated_strings(rows: DataFrame) -> DataFrame:
+    """GONE: byte ranges of rows (doc_id, tie, text) covered by strings that start earlier; they may overlap."""
+    deal = F.when(F.col("copy"), F.xxhash64("doc_id", "tie", "first")).otherwise(F.col("h"))
+    ordered = _extents(rows).repartition(deal).sortWithinPartitions("h", "e", "doc_id", "tie", "first")
     sorted_out = cut(_sorted_out(ordered), "extents")
-    copies = sorted_out.where("copy").select("row", "doc_id", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
-    content = _content(rows, sorted_out.where("not copy")).repartition(n, "h").sortWithinPartitions("h")
-    return copies.union(_settle(content))
+    copies = sorted_out.where("copy").select("doc_id", "tie", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
+    several = _windows(rows, sorted_out.where("not copy"))
+    settled = _settle(several.repartition("core").sortWithinPartitions("core", "e", "doc_id", "tie", "first"))
+    return copies.union(settled)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,14 +422,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     remaining bytes.
 
     A byte goes if a 100-byte string that covers it also starts earlier: at a smaller doc_id (null first; rows of
-    equal id in the order they are read) or earlier in the same text. Strings are judged on the input and don't
-    cross texts; texts of under 100 bytes stay whole. A null text has no bytes.
+    equal id in the order of a hash of their texts) or earlier in the same text. Strings are judged on the input
+    and don't cross texts; texts of under 100 bytes stay whole. A null text has no bytes. Of rows that are equal in
+    id and text one is the first. An empty table gives no rows; other columns don't pass. Very long texts are
+    taken whole: a task holds the hashes of one batch of texts.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    gone = repeated_strings(rows, n).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("doc_id"), F.xxhash64(id_.isNull(), text).alias("tie"), id_.alias("id"), text.alias("text"))
+    gone = repeated_strings(rows.select("doc_id", "tie", "text")).groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    # rows that are equal to an earlier one have no extents of their own: all of their strings start earlier
+    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("tie")))
 
     def run(batches):
         import pyarrow as pa
@@ -357,21 +441,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
                 sizes, removed, kept = [], [], []
-                for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    data, runs, left, at = text.encode("utf-8", "surrogatepass"), [], [], 0
+                for text, spans, number in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    data, found, left, at = text.encode("utf-8", "surrogatepass"), [], [], 0
+                    if number > 1:
+                        spans = [{"start": 0, "end": len(data)}] if len(data) >= LENGTH else []
                     for s in spans or []:
-                        if runs and s["start"] <= runs[-1]["end"]:
-                            runs[-1]["end"] = max(runs[-1]["end"], s["end"])
+                        if found and s["start"] <= found[-1]["end"]:
+                            found[-1]["end"] = max(found[-1]["end"], s["end"])
                         else:
-                            runs.append(dict(s))
-                    for s in runs:
+                            found.append(dict(s))
+                    for s in found:
                         left.append(data[at : s["start"]])
                         at = s["end"]
                     sizes.append(len(data))
-                    removed.append(runs)
+                    removed.append(found)
                     kept.append(b"".join([*left, data[at:]]))
-                cols = [part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "removed", "kept"])
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "removed", "kept"])
 
-    joined = rows.join(gone, "row", "left").select("doc_id", "text", "gone")
+    joined = numbered.join(gone, ["doc_id", "tie"], "left").select(F.col("id").alias("doc_id"), "text", "gone", "k")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_path
+from .common import new_path
 from .token_count import byte_alphabet
 
 #: Fixed value: the vocabulary's split of lower-case text into pieces.
@@ -27,8 +27,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Words for which lower case and split are plain: printable Latin letters and signs, composed already.
 PLAIN = r"[!-~\u00a1-\u012f\u0131-\u017f]+"
 
-#: Encoded words kept by a worker at most; beyond it the store starts anew (results don't change).
-STORE = 300_000
+#: Encoded words kept by a worker, besides those of one text; beyond it the store starts anew (results don't change).
+STORE = 400_000
 #: Characters split at once.
 CHUNK = 1_000_000
 #: Ids of a block, unless one document has more.
@@ -57,42 +57,45 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")[:n]
 
 
+class Encoded(dict):
+    """Words and their ids as little-endian unsigned 32-bit bytes; a word that is missing is encoded. Plain Latin words are
+    lower-cased and split here, and their pieces go to the library's model; all others go through its whole chain."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.model, self.split, self.plain = self.library.model, regex.compile(PIECES).findall, regex.compile(PLAIN).fullmatch
+        self.pieces: dict[str, bytes] = {}
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+
+    def piece(self, x: str) -> bytes:
+        y = x if x.isascii() else "".join(map(self.shown.__getitem__, x.encode()))
+        out = self.pieces[x] = np.array([t.id for t in self.model.tokenize(y)], "<u4").tobytes()
+        return out
+
+    def __missing__(self, word: str) -> bytes:
+        if self.plain(word) and "<|" not in word:
+            known = self.pieces.get
+            out = b"".join([known(x) or self.piece(x) for x in self.split(word.lower())])
+        else:
+            out = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
+        self[word] = out
+        return out
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str, end_id: int):
     """A function from a text to its ids with the end id, as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and no token spans it, so each run between spaces or line
-    feeds is encoded once and kept. Plain Latin words are lower-cased and split here, and their
-    pieces go to the library's model; all others go through the library's whole chain.
+    feeds is encoded once and kept; a bounded number of them is.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import regex
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    model, split, plain = library.model, regex.compile(PIECES), regex.compile(PLAIN)
-    store: dict[str, bytes] = {"": b""}
-    pieces: dict[str, bytes] = {}
-    shown = {b: c for c, b in byte_alphabet().items()}
+    store = Encoded(path)
     end = np.array([end_id], "<u4").tobytes()
 
-    def piece(x: str) -> bytes:
-        y = x if x.isascii() else "".join(map(shown.__getitem__, x.encode()))
-        out = pieces[x] = np.array([t.id for t in model.tokenize(y)], "<u4").tobytes()
-        return out
-
-    def learn(words: list[str]) -> None:
-        rest = []
-        for w in words:
-            if plain.fullmatch(w) and "<|" not in w:
-                found = split.findall(w.lower())
-                store[w] = b"".join([pieces.get(x) or piece(x) for x in found])
-            elif w:
-                rest.append(w)
-        if rest:
-            found = library.encode_batch_fast(rest, add_special_tokens=False)
-            store.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, found, strict=True))
-
     def slices(text: str) -> Iterator[str]:
         at = 0
         while len(text) - at > CHUNK:
@@ -106,68 +109,63 @@ def word_encoder(path: str, end_id: int):
     def encode(text: str) -> bytes:
         out = []
         for part in slices(text):
-            words = part.replace("\n", " ").split(" ")
-            new = set(words).difference(store)
-            if len(store) + len(new) > STORE:
+            if len(store) > STORE:
                 store.clear()
-                store[""] = b""
-                new = set(words) - {""}
-            if len(pieces) > STORE:
-                pieces.clear()
-            learn(list(new))
-            out.append(b"".join(map(store.__getitem__, words)))
+            if len(store.pieces) > STORE:
+                store.pieces.clear()
+            out.append(b"".join(map(store.__getitem__, part.replace("\n", " ").split(" "))))
         return b"".join([*out, end])
 
     return encode
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): the ids of each text with the end id, as unsigned 16-bit or 32-bit bytes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def encode_documents(docs: DataFrame, path: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(kind, doc_id, n_tokens, ids): the ids of each text with the end id, as unsigned 16-bit or 32-bit bytes (kind 0), and
+    for each task the count of each id it met, by id, as long bytes (kind 1)."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def run(batches):
         import pyarrow as pa
 
+        names = ["kind", "doc_id", "n_tokens", "ids"]
         encode = word_encoder(path, end_id)
+        total = np.zeros(vocabulary, np.int64)
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                ids = [encode(t.as_py()) for t in part.column(1)]
-                n = [len(x) // 4 for x in ids]
-                narrow = [_narrow(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(narrow, pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-
+                ids = [np.frombuffer(encode(t.as_py()), "<u4") for t in part.column(1)]
+                n = np.array([len(x) for x in ids], np.int64)
+                total += np.bincount(np.concatenate(ids), minlength=vocabulary)
+                narrow = [(x if (x > 0xFFFF).any() else x.astype("<u2")).tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n), pa.array(narrow, pa.binary())], names)
+        last = [pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([int(total.sum())], pa.int64()), pa.array([total.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(last, names)
 
-def _narrow(ids: bytes) -> bytes:
-    """16-bit ids if all fit, else 32-bit; told apart by the count of ids."""
-    v = np.frombuffer(ids, "<u4")
-    return ids if (v > 0xFFFF).any() else v.astype("<u2").tobytes()
+    return rows.mapInArrow(run, "kind int, doc_id long, n_tokens long, ids binary")
 
 
 def _widen(ids: bytes, n: int) -> np.ndarray:
+    """Ids from 16-bit or 32-bit bytes, told apart by their number."""
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype(np.uint32)
 
 
-def frequency_ranks(encoded: DataFrame, vocabulary: int) -> np.ndarray:
-    """Vocabulary ids by falling count over all documents, ties by id. Each task sends a count for
-    each id it has at most; the driver gets one number for each id of the vocabulary."""
+def frequency_ranks(counts: DataFrame, vocabulary: int) -> np.ndarray:
+    """Vocabulary ids by falling count over all documents, ties by id, from the counts (ids) of the tasks. The driver gets
+    one number for each id of the vocabulary."""
 
     def run(batches):
         import pyarrow as pa
 
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for n, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                total += np.bincount(_widen(ids.as_py(), n), minlength=vocabulary)
+            for ids in b.column(0):
+                total += np.frombuffer(ids.as_py(), np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    counts = encoded.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = counts.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # the vocabulary at most
     total = np.zeros(vocabulary, np.int64)
-    for r in counts.toLocalIterator():
-        total[r["id"]] = r["n"]
+    total[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return np.argsort(-total, kind="stable")
 
 
@@ -175,11 +173,16 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, vocabulary:
     """Encode every text and write the token table to `out`, in ascending order of the ids.
 
     A null text is empty and has the end id only. Null ids come first; rows of equal id are ordered
-    by their number of ids and then by these ids. An empty table gives no blocks.
+    by their number of ids and then by these ids. An empty table gives no blocks. Other columns don't
+    pass. A very long text is encoded CHUNK characters at a time and is one block.
     """
     spark = docs.sparkSession
-    encoded = cut(encode_documents(docs, path, end_id, id_col, text_col), "ids")
-    of_rank = frequency_ranks(encoded, vocabulary)
+    held = new_path(spark, "ids")
+    encoded = encode_documents(docs, path, end_id, vocabulary, id_col, text_col)
+    encoded.write.partitionBy("kind").parquet(held)
+    tables = spark.read.schema("doc_id long, n_tokens long, ids binary, kind int").parquet(held)
+    encoded = tables.where("kind = 0").drop("kind")
+    of_rank = frequency_ranks(tables.where("kind = 1"), vocabulary)
     ranks = np.empty(vocabulary, np.uint32)
     ranks[of_rank] = np.arange(vocabulary, dtype=np.uint32)
     shared = spark.sparkContext.broadcast(ranks)  # as long as the vocabulary
