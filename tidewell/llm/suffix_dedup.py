@@ -362,6 +362,8 @@ def _settle(ordered: DataFrame) -> DataFrame:
         core = None
 
         def settle():
+            if not shard:
+                return
             by = sorted(range(len(shard)), key=lambda i: shard[i][:3])
             rank = np.zeros(len(shard), np.uint64)
             rank[by] = np.arange(len(shard), dtype=np.uint64)
