@@ -60,12 +60,16 @@ def long_lists(keys: np.ndarray, valid: np.ndarray | None = None):
 
 def later(doc: np.ndarray, row: np.ndarray, pos: np.ndarray, *unit: np.ndarray) -> np.ndarray:
     """Which places are not the first, by doc, row and pos, of their unit among those at hand."""
-    order = np.lexsort((pos, row, doc, *unit))
+    order = np.argsort(unit[0])
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = unit[0][order[1:]] == unit[0][order[:-1]]
+    some = order[same[1:] | same[:-1]]  # the others are alone
+    order = some[np.lexsort((pos[some], row[some], doc[some], *[u[some] for u in unit]))]
     again = np.ones(len(order), bool)
     for u in unit:
         again[1:] &= u[order[1:]] == u[order[:-1]]
     again[:1] = False
-    out = np.zeros(len(order), bool)
+    out = np.zeros(len(doc), bool)
     out[order] = again
     return out
 

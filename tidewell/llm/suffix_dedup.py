@@ -16,6 +16,8 @@ pointers lead to; then the order is emitted group by group from the smallest suf
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -28,14 +30,14 @@ from .fuzzy import later, mix
 LENGTH, ANCHOR = 100, 32
 #: Strings that a window holds at most; they share a core of LENGTH - STARTS + 1 bytes.
 STARTS = 17
-#: Bytes of windows that one suffix array covers. A core with more is cut into windows of fewer strings.
-SHARD = 1 << 16
+#: Symbols that one suffix array covers. A core with more is cut into windows of fewer strings.
+SHARD = 1 << 15
 _SPAN = LENGTH - ANCHOR + 1
 _U = np.uint64
 
 
-def suffix_array(text: bytes) -> list[int]:
-    """Starts of the suffixes of text in order. Each suffix is moved between groups a bounded number of times
+def suffix_array(text: Sequence[int]) -> list[int]:
+    """Starts of the suffixes of a sequence of symbols in order. Each suffix is moved between groups a bounded number of times
     for each of its Lyndon factors: linear time, no recursion and no renaming."""
     n = len(text)
     buckets = defaultdict(list)
@@ -146,24 +148,33 @@ def suffix_array(text: bytes) -> list[int]:
     return [i - 1 for i in out]
 
 
-def _doubled(data: np.ndarray, upto: int) -> list[np.ndarray]:
-    """Hashes of the 1, 2, 4, ... bytes from each position on, as far as the text reaches."""
-    out = [mix(data.astype(np.uint64) + _U(1))]
-    step = 1
-    while step < upto and len(out[-1]) > step:
-        h = out[-1]
-        out.append(mix(h[:-step] * _U(0x9E3779B97F4A7C15) + h[step:]))
-        step *= 2
-    return out
+#: Fixed values of the hashes: one for each byte, and a base (odd) with its inverse.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, as many as a power of two."""
+    out = []
+    for x in (_BASE, _INVERSE):
+        p = np.full(n, x, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
 def extents(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor's hash, content's hash, first, last string's start, anchor's place) of a text's extents."""
+    """(anchor's hash, content's hash, first, last string's start, anchor's place) of a text's extents. A string's hash is
+    the sum of its bytes' values times powers of the base, from prefix sums."""
     n = len(data) - LENGTH + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 5
-    h = _doubled(data, 64)
-    anchor, wide = h[5], h[6]
+    power, inverse = _powers(1 << max(16, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    anchor = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * inverse[: len(data) - ANCHOR + 1])
     low = (anchor & _U(0xFFFFFFFF00000000)) | np.arange(len(anchor), dtype=np.uint64)
     least, width = low, 1
     while width * 2 <= _SPAN:
@@ -175,12 +186,13 @@ def extents(data: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.append(first[1:], n) - 1
     size = last - first + LENGTH
-    key = mix(wide[first] * _U(0x9E3779B97F4A7C15) + wide[first + (size - 64) // 2])
-    key = mix(key * _U(0xD6E8FEB86659FD93) + wide[first + size - 64] + size.astype(np.uint64))
+    key = mix((sums[first + size] - sums[first]) * inverse[first] + size.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
     return anchor[at[first]].view(np.int64), key.view(np.int64), first, last, at[first]
 
 
-EXTENT = "h long, e long, doc_id long, tie long, first int, last int, anchor int, copy boolean"
+#: An extent's place packs its first string's start and, less than 2^8 each, how far its last string's start and its
+#: anchor lie beyond; places of a text are ordered like these starts.
+EXTENT = "h long, e long, doc_id long, tie long, place long, copy boolean"
 #: A place is a text's (doc_id, tie) and an offset: tie is a hash of the text, so that places don't depend on how rows are
 #: read. Null ids count as NO_ID with a tie of their own.
 GONE = "doc_id long, tie long, start int, end int"
@@ -200,41 +212,41 @@ def _extents(rows: DataFrame) -> DataFrame:
             size = np.array([len(f[0]) for f in found], np.int64)
             doc, tie = (np.repeat(b.column(i).to_numpy(), size) for i in (0, 1))
             h, e, first, last, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
-            copy = later(doc, tie, first, h, e)
+            place = first << 16 | (last - first) << 8 | (anchor - first)
+            copy = later(doc, tie, place, h, e)
             if copy.any():  # the same place of a row that comes twice is no earlier one
-                order = np.lexsort((first, tie, doc))
+                order = np.lexsort((place, tie, doc))
                 same = np.zeros(len(order), bool)
-                same[1:] = (doc[order[1:]] == doc[order[:-1]]) & (tie[order[1:]] == tie[order[:-1]]) & (first[order[1:]] == first[order[:-1]])
+                same[1:] = (doc[order[1:]] == doc[order[:-1]]) & (tie[order[1:]] == tie[order[:-1]]) & (place[order[1:]] == place[order[:-1]])
                 copy[order[same]] = False
-            columns = [h, e, doc, tie, first.astype(np.int32), last.astype(np.int32), anchor.astype(np.int32), copy]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "e", "doc_id", "tie", "first", "last", "anchor", "copy"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, e, doc, tie, place, copy)], ["h", "e", "doc_id", "tie", "place", "copy"])
 
     return rows.mapInArrow(run, EXTENT)
 
 
 def _sorted_out(ordered: DataFrame) -> DataFrame:
-    """From EXTENT in the order (h, e, doc_id, tie, first): the copies of an earlier extent (`copy`), and one of each
+    """From EXTENT in the order (h, e, doc_id, tie, place): the copies of an earlier extent (`copy`), and one of each
     different content of an anchor that has several (not `copy`). Holds one extent from batch to batch."""
-    names = ["doc_id", "tie", "first", "last", "anchor", "copy"]
+    names = ["doc_id", "tie", "place", "copy"]
 
     def run(batches):
         import pyarrow as pa
 
         held = None  # the last anchor, content and its first place, and its extent while it is the anchor's only one
         for whole in batches:
-            known = whole.column(7).to_numpy(zero_copy_only=False)
+            known = whole.column(5).to_numpy(zero_copy_only=False)
             if known.any():
-                yield pa.RecordBatch.from_arrays(whole.filter(whole.column(7)).columns[2:], names)
+                yield pa.RecordBatch.from_arrays(whole.filter(whole.column(5)).columns[2:], names)
             b = whole.filter(pa.array(~known))
             if not b.num_rows:
                 continue
-            h, e, doc, tie, first = (b.column(i).to_numpy() for i in range(5))
+            h, e, doc, tie, place = (b.column(i).to_numpy() for i in range(5))
             new_h = np.concatenate([[held is None or held[0] != h[0]], h[1:] != h[:-1]])
             new_e = new_h | np.concatenate([[held is None or held[1] != e[0]], e[1:] != e[:-1]])
             # the place of the first extent of equal content: a row that comes twice is no copy of itself
             start = np.maximum.accumulate(np.where(new_e, np.arange(len(h)), -1))
-            origin = [np.where(start >= 0, x[start], held[2][i] if held else 0) for i, x in enumerate((doc, tie, first))]
-            itself = (origin[0] == doc) & (origin[1] == tie) & (origin[2] == first)
+            origin = [np.where(start >= 0, x[start], held[2][i] if held else 0) for i, x in enumerate((doc, tie, place))]
+            itself = (origin[0] == doc) & (origin[1] == tie) & (origin[2] == place)
             number = np.cumsum(new_h)
             kinds = np.bincount(number, weights=new_e & ~new_h, minlength=int(number[-1]) + 1)
             several = kinds[number] > 0
@@ -244,7 +256,7 @@ def _sorted_out(ordered: DataFrame) -> DataFrame:
             if held is not None and held[3] is None:  # the open anchor has several already
                 show |= (number == 0) & new_e
             show |= ~itself
-            table = pa.RecordBatch.from_arrays([*b.columns[2:7], pa.array(~new_e)], names)
+            table = pa.RecordBatch.from_arrays([*b.columns[2:5], pa.array(~new_e)], names)
             yield table.filter(pa.array(show))
             k = int(number[-1])
             if k == 0:
@@ -255,7 +267,7 @@ def _sorted_out(ordered: DataFrame) -> DataFrame:
                 alone = None
             held = (h[-1], e[-1], tuple(int(x[-1]) for x in origin), alone)
 
-    return ordered.mapInArrow(run, "doc_id long, tie long, first int, last int, anchor int, copy boolean")
+    return ordered.mapInArrow(run, "doc_id long, tie long, place long, copy boolean")
 
 
 def windows(data: bytes, first: int, last: int, anchor: int, starts: int) -> list[tuple[int, int, int, int]]:
@@ -276,7 +288,7 @@ def windows(data: bytes, first: int, last: int, anchor: int, starts: int) -> lis
 def _windows(rows: DataFrame, several: DataFrame) -> DataFrame:
     """(core, e, doc_id, tie, first, lead, data): the windows of the extents, with their bytes; lead is the number of
     bytes before the core, e a hash of lead and bytes."""
-    at = several.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("at"))
+    at = several.groupBy("doc_id", "tie").agg(F.collect_set("place").alias("at"))
     names = ["core", "e", "doc_id", "tie", "first", "lead", "data"]
 
     def run(batches):
@@ -290,7 +302,8 @@ def _windows(rows: DataFrame, several: DataFrame) -> DataFrame:
                 for doc, tie, text, at in zip(*(c.to_pylist() for c in b.slice(k, 100).columns), strict=True):
                     data = text.encode("utf-8", "surrogatepass")
                     for x in at:
-                        for core, a, z, lead in windows(data, x["first"], x["last"], x["anchor"], STARTS):
+                        first = x >> 16
+                        for core, a, z, lead in windows(data, first, first + (x >> 8 & 255), first + (x & 255), STARTS):
                             own = data[a : z + LENGTH]
                             out.append((core, xxhash.xxh3_64_intdigest(own, seed=lead) - (1 << 63), doc, tie, a, lead, own))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 7
@@ -300,28 +313,30 @@ def _windows(rows: DataFrame, several: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "core long, e long, doc_id long, tie long, first int, lead int, data binary")
 
 
-def repeats(data: list[bytes], rank: np.ndarray) -> list[tuple[int, int, int]]:
-    """(extent, from, to): the ranges of starts within each extent whose 100 bytes stand in an extent of lower
-    rank, or earlier in the same one."""
-    # 0 ends an extent: bytes are raised by one, 255 (never in UTF-8) excepted
-    text = b"\0".join(bytes(x).translate(_RAISED) for x in data) + b"\0"
+def repeats(group: list[tuple[int, bytes]], cores: list[int], starts: int, rank: np.ndarray) -> list[tuple[int, int, int]]:
+    """(window, from, to): the ranges of starts within each window (lead, data) whose strings stand in a window of lower
+    rank, or earlier in the same one. cores: a number for each window's core.
+
+    A string holds its whole core, so the core is one symbol: what is sorted are the bytes around it.
+    """
+    core = LENGTH - starts + 1
+    text: list[int] = []
+    start, n = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+    for k, (lead, data) in enumerate(group):  # 0 ends a window
+        start[k], n[k] = len(text), len(data) - LENGTH + 1
+        text += data[:lead].translate(_RAISED)
+        text.append(256 + cores[k])
+        text += data[lead + core :].translate(_RAISED)
+        text.append(0)
     order = np.array(suffix_array(text), np.int64)
-    size = np.array([len(x) for x in data], np.int64)
-    start = np.cumsum(size + 1) - size - 1
-    own = np.repeat(np.arange(len(data)), size + 1)
+    own = np.repeat(np.arange(len(group)), np.diff(np.append(start, len(text))))
     place = np.arange(len(text)) - start[own]
-    whole = place + LENGTH <= size[own]
-    order = order[whole[order]]
-    if not len(order):
-        return []
-    raw = np.concatenate([np.frombuffer(text, np.uint8), np.zeros(8, np.uint8)])
-    word = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        word |= raw[k : k + len(text)].astype(np.uint64) << _U(8 * k)
+    order = order[(place < n[own])[order]]
+    symbol = np.array(text, np.int64)
     same = np.ones(len(order) - 1, bool)
-    for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-        w = word[order + k]
-        same &= w[1:] == w[:-1]
+    for k in range(starts):  # a string: the bytes before the core, the core, the bytes after it
+        s = symbol[order + k]
+        same &= s[1:] == s[:-1]
     number = np.concatenate([[0], np.cumsum(~same)])
     key = rank[own[order]] * _U(1 << 32) + place[order].astype(np.uint64)
     least = np.minimum.reduceat(key, np.flatnonzero(np.concatenate([[True], ~same])))
@@ -334,6 +349,7 @@ def repeats(data: list[bytes], rank: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(own[late[i]]), int(place[late[i]]), int(place[late[j]])) for i, j in zip(edge, stop, strict=True)]
 
 
+#: Bytes as symbols, raised by one; 255 is in no UTF-8.
 _RAISED = bytes(min(i + 1, 255) for i in range(256))
 
 
@@ -351,38 +367,40 @@ def finer(group: list[tuple], starts: int) -> tuple[list[tuple], list[list[tuple
 
 
 def _settle(ordered: DataFrame) -> DataFrame:
-    """GONE for windows in the order (core, e, doc_id, tie, first): whole cores up to SHARD bytes share a suffix array."""
+    """GONE for windows in the order (core, e, doc_id, tie, first): whole cores up to SHARD symbols share a suffix array."""
 
     def run(batches):
         import pyarrow as pa
 
-        shard: list[tuple] = []
+        shards: dict[int, list] = {}  # by starts: symbols, windows, the number of each one's core
         done: list[tuple] = []
         group: list[tuple] = []
         core = None
 
-        def settle():
-            if not shard:
-                return
-            by = sorted(range(len(shard)), key=lambda i: shard[i][:3])
-            rank = np.zeros(len(shard), np.uint64)
-            rank[by] = np.arange(len(shard), dtype=np.uint64)
-            for i, a, z in repeats([x[4] for x in shard], rank):
-                done.append((shard[i][0], shard[i][1], shard[i][2] + a, shard[i][2] + z + LENGTH))
-            shard.clear()
+        def settle(starts: int):
+            _, held, cores = shards.pop(starts)
+            by = sorted(range(len(held)), key=lambda i: held[i][:3])
+            rank = np.zeros(len(held), np.uint64)
+            rank[by] = np.arange(len(held), dtype=np.uint64)
+            for i, a, z in repeats([x[3:] for x in held], cores, starts, rank):
+                done.append((held[i][0], held[i][1], held[i][2] + a, held[i][2] + z + LENGTH))
 
         def close(own: list[tuple], starts: int):
             if len(own) < 2:
                 return
-            if starts > 1 and sum(len(x[4]) for x in own) > SHARD:
+            size = sum(len(x[4]) for x in own) - len(own) * (LENGTH - starts - 1)
+            if starts > 1 and size > SHARD:
                 copies, parts = finer(own, starts // 4 or 1)
                 done.extend(copies)
                 for p in parts:
                     close(p, starts // 4 or 1)
                 return
-            shard.extend(own)
-            if sum(len(x[4]) for x in shard) >= SHARD:
-                settle()
+            shard = shards.setdefault(starts, [0, [], []])
+            shard[0] += size
+            shard[2] += [shard[2][-1] + 1 if shard[2] else 0] * len(own)
+            shard[1] += own
+            if shard[0] >= SHARD:
+                settle(starts)
 
         def flush():
             columns = list(zip(*done, strict=True)) if done else [[]] * 4
@@ -402,7 +420,8 @@ def _settle(ordered: DataFrame) -> DataFrame:
                     group.append(tuple(window))
             yield flush()
         close(group, STARTS)
-        settle()
+        for starts in list(shards):
+            settle(starts)
         yield flush()
 
     return ordered.mapInArrow(run, GONE)
@@ -410,10 +429,11 @@ def _settle(ordered: DataFrame) -> DataFrame:
 
 def repeated_strings(rows: DataFrame) -> DataFrame:
     """GONE: byte ranges of rows (doc_id, tie, text) covered by strings that start earlier; they may overlap."""
-    deal = F.when(F.col("copy"), F.xxhash64("doc_id", "tie", "first")).otherwise(F.col("h"))
-    ordered = _extents(rows).repartition(deal).sortWithinPartitions("h", "e", "doc_id", "tie", "first")
+    deal = F.when(F.col("copy"), F.xxhash64("doc_id", "tie", "place")).otherwise(F.col("h"))
+    ordered = _extents(rows).repartition(deal).sortWithinPartitions("h", "e", "doc_id", "tie", "place")
     sorted_out = cut(_sorted_out(ordered), "extents")
-    copies = sorted_out.where("copy").select("doc_id", "tie", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
+    start, last = F.expr("cast(shiftright(place, 16) as int)"), F.expr("cast(shiftright(place, 8) & 255 as int)")
+    copies = sorted_out.where("copy").select("doc_id", "tie", start.alias("start"), (start + last + LENGTH).alias("end"))
     several = _windows(rows, sorted_out.where("not copy"))
     settled = _settle(several.repartition("core").sortWithinPartitions("core", "e", "doc_id", "tie", "first"))
     return copies.union(settled)
@@ -443,23 +463,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
                 sizes, removed, kept = [], [], []
-                for text, spans, number in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                    data, found, left, at = text.encode("utf-8", "surrogatepass"), [], [], 0
-                    if number > 1:
-                        spans = [{"start": 0, "end": len(data)}] if len(data) >= LENGTH else []
-                    for s in spans or []:
-                        if found and s["start"] <= found[-1]["end"]:
-                            found[-1]["end"] = max(found[-1]["end"], s["end"])
-                        else:
-                            found.append(dict(s))
-                    for s in found:
-                        left.append(data[at : s["start"]])
-                        at = s["end"]
+                spans = part.column(2)
+                ends = spans.offsets.to_numpy()
+                flat = spans.flatten()
+                starts, stops = (flat.field(i).to_numpy()[: ends[-1] - ends[0]] for i in (0, 1))
+                ends = ends - ends[0]
+                for i, (text, number) in enumerate(zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    data, found = text.encode("utf-8", "surrogatepass"), []
+                    if number > 1 and len(data) >= LENGTH:
+                        found = [[0, len(data)]]
+                    elif number == 1 and ends[i + 1] > ends[i]:
+                        for a, z in zip(starts[ends[i] : ends[i + 1]].tolist(), stops[ends[i] : ends[i + 1]].tolist(), strict=True):
+                            if found and a <= found[-1][1]:
+                                found[-1][1] = max(found[-1][1], z)
+                            else:
+                                found.append([a, z])
                     sizes.append(len(data))
-                    removed.append(found)
-                    kept.append(b"".join([*left, data[at:]]))
+                    removed.append([{"start": a, "end": z} for a, z in found])
+                    edge = [0, *(x for r in found for x in r), len(data)]
+                    kept.append(b"".join([data[a:z] for a, z in zip(edge[::2], edge[1::2], strict=True)]) if found else data)
                 columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "removed", "kept"])
 
-    joined = numbered.join(gone, ["doc_id", "tie"], "left").select(F.col("id").alias("doc_id"), "text", "gone", "k")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    joined = numbered.join(gone, ["doc_id", "tie"], "left").select(F.col("id").alias("doc_id"), "text", F.coalesce("gone", none).alias("gone"), "k")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary")
