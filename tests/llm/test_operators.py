@@ -319,7 +319,7 @@ def test_exact_join_of_sets(spark, monkeypatch, small, block):
     known = spark.createDataFrame([(0, 0), (6, 0)] if (0, 6) in want else [], "id long, component long")
     content = sets.withColumnRenamed("set", "text")
     verify = lambda pairs: fuzzy.verify(pairs, content, 80, unpack_set)
-    pairs = prefix_join.similar_pairs(sets, 80, known, verify)
+    pairs = prefix_join.similar_pairs(sets, content, 80, known, verify, unpack_set)
     got = {(r["id"], r["component"]) for r in connected_components(verify(pairs).union(known.select("id", "component"))).collect()}
     links = spark.createDataFrame(sorted(want), "a long, b long")
     assert want and got == {(r["id"], r["component"]) for r in connected_components(links).collect()}
@@ -341,6 +341,11 @@ def test_units_that_agree_in_one_key_of_a_large_group(spark, monkeypatch):
         assert {(r["id"], r["component"]) for r in got.collect()} == {(i, i - i % 2) for i in range(60)}
 
 
+def test_huge_groups_are_joined_by_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "LARGE", 20)
+    test_units_that_agree_in_one_key_of_a_large_group(spark, monkeypatch)
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_candidates_of_small_and_large_groups(spark, parts):
     rng = np.random.default_rng(8)

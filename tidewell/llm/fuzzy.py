@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, drop, maybe_in, membership, pack_set, stars
-from .prefix_join import similar_pairs
+from .prefix_join import block_pairs, similar_pairs
 
 #: Groups of a key of up to this many units give all their pairs.
 SMALL = 12
+#: Groups of up to this many units are compared block by block where several components are left of them; larger ones are
+#: joined by their rarest shingles before.
+LARGE = 4096
 #: Pairs of one hub that a task confirms; a hub with more has its text sent to several.
 HUB = 1000
 #: Sets that are kept from pair to pair.
@@ -286,8 +289,8 @@ def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], perc
 
     content_of(ids) gives CONTENT. First each unit is confirmed against one other of its groups: the smallest of the
     small ones, one hub of each large one. Pairs within a component then need no check. Other pairs of small groups
-    are confirmed; large groups of more than one component go through an exact join by rarest shingles. The result
-    is a table in the shared folder.
+    are confirmed; the members of large groups of more than one component are compared block by block, those of huge
+    ones where an exact join by rarest shingles leaves them. The result is a table in the shared folder.
     """
     written: list[DataFrame] = []
 
@@ -311,13 +314,20 @@ def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], perc
     apart = small.distinct().join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     rest = apart.select("a", "b").join(turn, ["a", "b"], "left_anti")
     c = F.coalesce("component", "id")
-    several = large.join(members, "id", "left").groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo <> hi")
-    left = kept(large.join(several, "key", "left_semi").select("id").distinct(), "open")
+    placed = large.join(members, "id", "left").withColumn("component", c)
+    groups = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("print"))
+    # groups of the same members, as near copies form under several keys, are one
+    several = groups.where("lo <> hi").groupBy("k", "print", "lo", "hi").agg(F.min("key").alias("key"))
+    left = kept(placed.join(several.select("key", "k"), "key").select("key", "id", "component", "k"), "open")
     if not left.isEmpty():
-        sets = kept(sets_of(content.join(left, "id", "left_semi"), shingles), "sets")
-        settled = similar_pairs(sets, percent, members, lambda pairs: verify(pairs, content, percent, shingles))
-        written.append(settled)
-        rest = rest.union(settled)
+        found = [block_pairs(left.where(F.col("k") <= LARGE).select("key", "id", "component"), content, percent, shingles)]
+        huge = left.where(F.col("k") > LARGE).select("id").distinct()
+        if not huge.isEmpty():
+            sets = kept(sets_of(content.join(huge, "id", "left_semi"), shingles), "sets")
+            found.append(similar_pairs(sets, content, percent, members, lambda pairs: verify(pairs, content, percent, shingles), shingles))
+            written.append(found[1])
+        for f in found:
+            rest = rest.union(f.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     more = kept(verify(rest.distinct(), content, percent, shingles), "more")
     out = members
     if not more.isEmpty():

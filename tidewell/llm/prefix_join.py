@@ -4,7 +4,7 @@ Shingles have one order, rare ones first. Of two sets with an intersection of at
 first shingle in that order which both hold is among the first n - ceil(p n / 100) + 1 of each, so sets meet under
 one of these shingles. Groups under a rare shingle give their pairs. Of those under a hot one, the ids that a
 few stars don't join to the group's largest component are compared with the whole group on full sets, in blocks
-dealt over many tasks.
+dealt over many tasks (`block_pairs`).
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return both.where(enough & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def _compare(percent: int):
+def _compare(percent: int, shingles: Callable[[bytes], np.ndarray]):
     """The similar pairs of different components between blocks i and j of a group."""
 
     def run(table):
@@ -93,7 +93,7 @@ def _compare(percent: int):
         own, ids, component = (table.column(c).to_numpy() for c in ("own", "id", "component"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        tokens = _tokens(table.column("set"))
+        tokens = [shingles(t) for t in table.column("text").to_pylist()]
         n = np.array([len(t) for t in tokens], np.int64)
         owner = np.repeat(np.arange(len(n)), n)
         _, number, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
@@ -118,8 +118,9 @@ def _compare(percent: int):
     return run
 
 
-def _large_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the similar pairs of different components of large groups (key, id, component)."""
+def block_pairs(rows: DataFrame, content: DataFrame, percent: int, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(a, b): the similar pairs of different components of large groups (key, id, component), by the texts of content
+    (id, text). The ids outside of a group's largest component are compared with all of it, block by block."""
     most = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
     most = most.groupBy("key").agg(F.max_by("component", "k").alias("main"), F.max("k").alias("inside"), F.sum("k").alias("n"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
@@ -133,13 +134,14 @@ def _large_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     with_mains = F.transform(F.sequence(-F.col("mains"), -one), lambda k: pair(own, k))
     of_mains = F.transform(F.sequence(zero, F.col("others") - one), lambda k: pair(k, own))
     dealt = placed.select("key", "id", "component", "own", F.inline(F.when(F.col("other"), F.concat(with_others, with_mains)).otherwise(of_mains)))
-    # an id with several sets has each in the group
-    return dealt.join(sets.select("id", "set"), "id").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    return dealt.join(content.select("id", "text"), "id").groupBy("key", "i", "j").applyInArrow(_compare(percent, shingles), "a long, b long")
 
 
-def similar_pairs(sets: DataFrame, percent: int, known: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Pairs (a < b) that with the components `known` (id, component) join all ids of `sets` (id, set) that similar pairs
-    join: those that are similar and of different components, and some more candidates.
+def similar_pairs(
+    sets: DataFrame, content: DataFrame, percent: int, known: DataFrame, verify: Callable[[DataFrame], DataFrame], shingles: Callable[[bytes], np.ndarray]
+) -> DataFrame:
+    """Pairs (a < b) that with the components `known` (id, component) join all ids of `sets` (id, set), whose texts are in
+    content, that similar pairs join: those that are similar and of different components, and some more candidates.
 
     verify(pairs) keeps the similar ones of some pairs. The result is a table in the shared folder.
     """
@@ -163,7 +165,7 @@ def similar_pairs(sets: DataFrame, percent: int, known: DataFrame, verify: Calla
         left = cut(now.join(open_groups(now), "key", "left_semi").select("key", "id", "component"), "open")
         out = out.union(near)
         if not left.isEmpty():
-            out = out.union(_large_pairs(left, sets, percent))
+            out = out.union(block_pairs(left, content, percent, shingles))
         written += [near, joined, now, left]
     pairs = cut(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "similar")
     for df in written:
