@@ -335,8 +335,8 @@ def test_units_that_agree_in_one_key_of_a_large_group(spark, monkeypatch):
         units.append((i, 20, [7, 100 + i, 1000 + i]))
         texts.append((i, bytearray(pack_set(own))))
     content = spark.createDataFrame(texts, fuzzy.CONTENT)
-    for hub in (1000, 5):
-        monkeypatch.setattr(fuzzy, "HUB", hub)
+    for block in (256, 5):
+        monkeypatch.setattr(prefix_join, "BLOCK", block)
         got = fuzzy.cluster(spark.createDataFrame(units, "id long, n int, keys array<long>").repartition(3), lambda ids: content.join(ids, "id", "left_semi"), 80, unpack_set)
         assert {(r["id"], r["component"]) for r in got.collect()} == {(i, i - i % 2) for i in range(60)}
 

@@ -87,7 +87,7 @@ def add_offsets(df: DataFrame, order: list[str], size: str | list[str], by: list
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component): each id of `links` (a, b) with the smallest id reachable from it.
 
-    Alternating large-star and small-star steps on the link table, until nothing changes. Each
+    Alternating large-star and small-star steps on the link table, until only stars are left. Each
     step lowers the neighbours of every id to its smallest neighbour; minima are aggregated before
     the shuffle and joined back, so that a hot id is split by the adaptive skew join.
     """
@@ -111,14 +111,17 @@ def connected_components(links: DataFrame) -> DataFrame:
         drop(edges)
         return out
 
-    def mark(edges: DataFrame):
-        return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    def done(edges: DataFrame) -> bool:
+        """Whether every id has one edge to an id that has none: only stars are left."""
+        ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("low"), F.lit(0).alias("high")), F.struct(F.col("b").alias("id"), F.lit(0).alias("low"), F.lit(1).alias("high")))))
+        ends = ends.groupBy("id").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+        return ends.where("low > 1 or low > 0 and high > 0").isEmpty()
 
-    now = step(cut(directed(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))), "links"), False)
-    seen, last = mark(now), None
-    while seen != last:
+    now = cut(directed(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))), "links")
+    while True:
         now = step(step(now, True), False)
-        seen, last = mark(now), seen
+        if done(now):
+            break
     roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 

@@ -20,8 +20,6 @@ SMALL = 12
 #: Groups of up to this many units are compared block by block where several components are left of them; larger ones are
 #: joined by their rarest shingles before.
 LARGE = 4096
-#: Pairs of one hub that a task confirms; a hub with more has its text sent to several.
-HUB = 1000
 #: Sets that are kept from pair to pair.
 KEPT = 64
 
@@ -208,7 +206,8 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 
 def verify(pairs: DataFrame, content: DataFrame, percent: int, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
     """The pairs (a, b) whose texts in content (id, text) have shingle sets with an intersection of at least `percent` %
-    of their union. The texts of ids that many pairs have as `a` are sent to a task for each HUB of these."""
+    of their union. Texts of `b` come first: where many pairs have one id as `a`, their rows are as long as these texts,
+    and the adaptive skew join splits them. Rows then come in the order of `a`, so its set is made once."""
 
     def run(batches):
         import pyarrow as pa
@@ -235,14 +234,9 @@ def verify(pairs: DataFrame, content: DataFrame, percent: int, shingles: Callabl
                 good.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1")
-    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
-    dealt = pairs.join(hubs, "a", "left").select("a", "b", part.alias("part"))
-    texts = content.join(hubs, content["id"] == hubs["a"], "left").select(F.col("id").alias("a"), F.col("text").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    left = content.select(F.col("id").alias("a"), F.col("text").alias("x"))
     right = content.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    texts = texts.withColumn("part", F.col("part").cast("long"))
-    joined = dealt.withColumn("part", F.col("part").cast("long")).join(texts, ["a", "part"]).join(right, "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def sets_of(content: DataFrame, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
@@ -287,10 +281,9 @@ class Fresh:
 def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], percent: int, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
     """(id, component) of those of the units (id, n, keys) that similar ones join; component is the smallest id.
 
-    content_of(ids) gives CONTENT. First each unit is confirmed against one other of its groups: the smallest of the
-    small ones, one hub of each large one. Pairs within a component then need no check. Other pairs of small groups
-    are confirmed; the members of large groups of more than one component are compared block by block, those of huge
-    ones where an exact join by rarest shingles leaves them. The result is a table in the shared folder.
+    content_of(ids) gives CONTENT. The pairs of small groups are confirmed, and each member of a large one against one
+    hub. Large groups that lie in one component then are done; the members of the others are compared block by block,
+    those of huge ones where an exact join by rarest shingles leaves them. The result is a table in the shared folder.
     """
     written: list[DataFrame] = []
 
@@ -299,42 +292,32 @@ def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], perc
         return written[-1]
 
     groups = kept(candidates(units, percent), "groups")
-    ids = kept(groups.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct(), "ends")
-    if ids.isEmpty():
-        for df in written:
-            drop(df)
-        return units.sparkSession.createDataFrame([], "id long, component long")
-    content = kept(content_of(ids), "content")
     small = groups.where("b is not null").select("a", "b")
     large = groups.where("b is null").select("key", F.col("a").alias("id"))
-    turn = kept(small.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars(large).distinct()), "turn")
-    members = kept(connected_components(verify(turn, content, percent, shingles)), "members")
-
-    one, two = (members.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    apart = small.distinct().join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    rest = apart.select("a", "b").join(turn, ["a", "b"], "left_anti")
-    c = F.coalesce("component", "id")
-    placed = large.join(members, "id", "left").withColumn("component", c)
-    groups = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("print"))
+    pairs = kept(small.union(stars(large)).distinct(), "pairs")
+    ids = kept(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    content = kept(content_of(ids), "content")
+    out = cut(connected_components(verify(pairs, content, percent, shingles)), "members")
+
+    placed = large.join(out, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("print"))
     # groups of the same members, as near copies form under several keys, are one
-    several = groups.where("lo <> hi").groupBy("k", "print", "lo", "hi").agg(F.min("key").alias("key"))
+    several = found.where("lo <> hi").groupBy("k", "print", "lo", "hi").agg(F.min("key").alias("key"))
     left = kept(placed.join(several.select("key", "k"), "key").select("key", "id", "component", "k"), "open")
     if not left.isEmpty():
-        found = [block_pairs(left.where(F.col("k") <= LARGE).select("key", "id", "component"), content, percent, shingles)]
+        more = block_pairs(left.where(F.col("k") <= LARGE).select("key", "id", "component"), content, percent, shingles)
         huge = left.where(F.col("k") > LARGE).select("id").distinct()
         if not huge.isEmpty():
             sets = kept(sets_of(content.join(huge, "id", "left_semi"), shingles), "sets")
-            found.append(similar_pairs(sets, content, percent, members, lambda pairs: verify(pairs, content, percent, shingles), shingles))
-            written.append(found[1])
-        for f in found:
-            rest = rest.union(f.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    more = kept(verify(rest.distinct(), content, percent, shingles), "more")
-    out = members
-    if not more.isEmpty():
-        out = cut(connected_components(members.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "members")
+            confirm = lambda pairs: verify(pairs, content, percent, shingles)
+            written.append(similar_pairs(sets, content, percent, out, confirm, shingles))
+            more = more.union(confirm(written[-1]))
+        more = kept(more, "more")
+        if not more.isEmpty():
+            written.append(out)
+            out = cut(connected_components(out.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "members")
     for df in written:
-        if df is not out:
-            drop(df)
+        drop(df)
     return out
 
 

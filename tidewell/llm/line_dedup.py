@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +19,29 @@ BANDS, ROWS = 6, 3
 BLANK = "\x20\t\n\x0b\x0c\r"
 #: Characters of text that are hashed at once, unless one text has more.
 CHUNK = 200_000
-_POWERS = seeds(SHINGLE) | np.uint64(1)
+#: Fixed values of the shingle hashes: a base (odd) and its inverse.
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    out = []
+    for x in (_BASE, _INVERSE):
+        p = np.full(n, x, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
 def _shingles(code: np.ndarray) -> np.ndarray:
-    """A hash for each position of the code points: of the SHINGLE ones from there on."""
+    """A hash for each position of the code points: of the SHINGLE ones from there on, from prefix sums."""
     n = len(code) - SHINGLE + 1
-    c = code.astype(np.uint64)
-    out = np.zeros(max(n, 0), np.uint64)
-    for k in range(SHINGLE if n > 0 else 0):
-        out += c[k : k + n] * _POWERS[k]
-    return mix(out)
+    power, inverse = _powers(1 << max(18, len(code).bit_length()))
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(code * power[: len(code)], out=sums[1:])
+    return mix((sums[SHINGLE:] - sums[:-SHINGLE]) * inverse[:n])
 
 
 def _codes(line: str) -> np.ndarray:
@@ -65,10 +79,7 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for band in range(BANDS):
         key = np.full(len(lines), band + 1, np.uint64)
         for k in range(band * ROWS, band * ROWS + ROWS):
-            h = low * _A[k] + _B[k]
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x2C1B3C6D)
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h, start))
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(low * _A[k] + _B[k], start))
         out[:, band] = key
     return size - SHINGLE + 1, out.view(np.int64)
 

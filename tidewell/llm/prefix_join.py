@@ -111,16 +111,35 @@ def _compare(percent: int, shingles: Callable[[bytes], np.ndarray]):
         good &= component[left][:, None] != component[right][None, :]
         if i == j:
             good &= left[:, None] < right[None, :]
-        x, y = np.nonzero(good)
-        x, y = ids[left[x]], ids[right[y]]
+        links = spanning(left[(at := np.nonzero(good))[0]].tolist(), right[at[1]].tolist())
+        x, y = (ids[np.array([link[k] for link in links], np.int64)] for k in (0, 1))
         return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
 
     return run
 
 
+def spanning(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+    """Those of the links between x and y, one after another, that join what earlier ones don't."""
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (p := up.get(i, i)) != i:
+            up[i] = i = up.get(p, p)
+        return i
+
+    out = []
+    for i, j in zip(x, y, strict=True):
+        a, b = root(i), root(j)
+        if a != b:
+            up[a] = b
+            out.append((i, j))
+    return out
+
+
 def block_pairs(rows: DataFrame, content: DataFrame, percent: int, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """(a, b): the similar pairs of different components of large groups (key, id, component), by the texts of content
-    (id, text). The ids outside of a group's largest component are compared with all of it, block by block."""
+    """(a, b): similar pairs of different components of large groups (key, id, component), by the texts of content (id, text):
+    as many as join what similar pairs join. The ids outside of a group's largest component are compared with all of it,
+    block by block."""
     most = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
     most = most.groupBy("key").agg(F.max_by("component", "k").alias("main"), F.max("k").alias("inside"), F.sum("k").alias("n"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
