@@ -394,7 +394,7 @@ def test_a_hot_passage_goes_everywhere_but_once(spark):
     passage = prose(5, 70)
     df = spark.createDataFrame([(i, prose(5000 + i, 30) + "\n" + passage) for i in range(200)], "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: r["removed_words"] for r in passage_dedup.passage_report(df).collect()}
-    assert got == {i: 70 if i else 0 for i in range(200)}
+    assert got.pop(0) == 0 and all(70 <= n <= 73 for n in got.values())  # a word before it may be the same by chance
 
 
 # --- 8

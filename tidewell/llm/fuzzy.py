@@ -27,23 +27,6 @@ UNITS = "row long, doc_id long, pos int, size int, n int, unit long, keys array<
 MARKED = "row long, doc_id long, pos int, size int, n int, unit long, keys array<long>, first boolean"
 CONTENT = "id long, text binary"
 
-_U = np.uint64
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
-
-
-def seeds(n: int) -> np.ndarray:
-    """n fixed 64-bit values."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-
-
 def long_lists(keys: np.ndarray, valid: np.ndarray | None = None):
     """An Arrow list<long> of the rows of a two-dimensional array, null where not valid."""
     import pyarrow as pa
@@ -339,8 +322,10 @@ def by_row(marked: DataFrame, gone: DataFrame) -> DataFrame:
     return heads.join(grouped, "row", "left").withColumn("gone", F.coalesce("gone", none))
 
 
-def unit_batch(row, doc_id, pos, size, n, unit, keys, heads):
-    """UNITS of one batch of texts. heads: (row, doc_id, number of units) of each text, whose own place has no unit."""
+def unit_batch(row, doc_id, pos, size, unit, keys, keyed, heads):
+    """UNITS of one batch of texts; those that are not `keyed` have no keys and are equal or nothing. heads: (row, doc_id,
+    number of units) of each text, whose own place has no unit. n is 0: units may repeat shingles, so their number
+    would be no bound."""
     import pyarrow as pa
 
     doc, head = (x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in (doc_id, heads[1]))
@@ -349,9 +334,9 @@ def unit_batch(row, doc_id, pos, size, n, unit, keys, heads):
     first, texts = len(unit), len(heads[0])
     columns = [
         np.concatenate([row, heads[0]]), pa.concat_arrays([doc, head]), np.concatenate([pos, np.full(texts, -1)]).astype(np.int32),
-        np.concatenate([size, heads[2]]).astype(np.int32), np.concatenate([n, np.zeros(texts)]).astype(np.int32),
+        np.concatenate([size, heads[2]]).astype(np.int32), np.zeros(first + texts, np.int32),
         pa.array(np.concatenate([unit, np.zeros(texts, np.int64)]), mask=np.arange(first + texts) >= first),
-        long_lists(np.concatenate([keys, np.zeros((texts, keys.shape[1]), np.int64)]), np.concatenate([~copy, np.zeros(texts, bool)])),
+        long_lists(np.concatenate([keys, np.zeros((texts, keys.shape[1]), np.int64)]), np.concatenate([keyed & ~copy, np.zeros(texts, bool)])),
         np.concatenate([copy, np.zeros(texts, bool)]),
     ]
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["row", "doc_id", "pos", "size", "n", "unit", "keys", "copy"])

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .fuzzy import UNITS, Fresh, by_row, cluster, first_places, mix, removals, seeds, unit_batch, wanted
+from .fuzzy import UNITS, Fresh, by_row, cluster, first_places, removals, unit_batch, wanted
+from .hashing import mix, powers, prefix_sums, seeds
 
 #: Characters of a shingle: lines of the same language share few runs of this length by chance.
 SHINGLE = 8
@@ -19,29 +18,11 @@ BANDS, ROWS = 6, 3
 BLANK = "\x20\t\n\x0b\x0c\r"
 #: Characters of text that are hashed at once, unless one text has more.
 CHUNK = 200_000
-#: Fixed values of the shingle hashes: a base (odd) and its inverse.
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    out = []
-    for x in (_BASE, _INVERSE):
-        p = np.full(n, x, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
 
 def _shingles(code: np.ndarray) -> np.ndarray:
     """A hash for each position of the code points: of the SHINGLE ones from there on, from prefix sums."""
-    n = len(code) - SHINGLE + 1
-    power, inverse = _powers(1 << max(18, len(code).bit_length()))
-    sums = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(code * power[: len(code)], out=sums[1:])
-    return mix((sums[SHINGLE:] - sums[:-SHINGLE]) * inverse[:n])
+    sums = prefix_sums(code.astype(np.uint64))
+    return mix((sums[SHINGLE:] - sums[:-SHINGLE]) * powers(len(code))[1][: len(code) - SHINGLE + 1])
 
 
 def _codes(line: str) -> np.ndarray:
@@ -64,8 +45,8 @@ _A = (seeds(BANDS * ROWS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (seeds(BANDS * ROWS) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of shingles, band keys) of each line, all lines at once; equal shingles of a line count each."""
+def signatures(lines: list[str]) -> np.ndarray:
+    """Band keys of each line, all lines at once."""
     code = [_codes(x) for x in lines]
     size = np.array([len(c) for c in code], np.int64)
     end = np.cumsum(size)
@@ -81,12 +62,11 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(band * ROWS, band * ROWS + ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(low * _A[k] + _B[k], start))
         out[:, band] = key
-    return size - SHINGLE + 1, out.view(np.int64)
+    return out.view(np.int64)
 
 
 def _units(rows: DataFrame) -> DataFrame:
-    """UNITS of the non-blank lines of rows (row, doc_id, text), and a head for each row. n is 0: lines repeat shingles,
-    so their number tells no bound."""
+    """UNITS of the non-blank lines of rows (row, doc_id, text), and a head for each row."""
 
     def run(batches):
         for b in batches:
@@ -106,14 +86,14 @@ def _units(rows: DataFrame) -> DataFrame:
                         chars += len(line)
                 counts.append(len(row) - before)
                 if chars >= CHUNK:
-                    keys.append(signatures(held)[1])
+                    keys.append(signatures(held))
                     held, chars = [], 0
             if held:
-                keys.append(signatures(held)[1])
+                keys.append(signatures(held))
             all_keys = np.concatenate(keys) if keys else np.zeros((0, BANDS), np.int64)
             numbers = [np.array(x, np.int64) for x in (row, pos, size, unit)]
             heads = (b.column(0).to_numpy(), b.column(1), np.array(counts, np.int64))
-            yield unit_batch(numbers[0], doc, numbers[1], numbers[2], np.zeros(len(row)), numbers[3], all_keys, heads)
+            yield unit_batch(numbers[0], doc, numbers[1], numbers[2], numbers[3], all_keys, np.ones(len(row), bool), heads)
 
     return rows.mapInArrow(run, UNITS)
 

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut
-from .fuzzy import UNITS, Fresh, cluster, first_places, later, mix, wanted
+from .fuzzy import UNITS, Fresh, cluster, first_places, later, wanted
+from .hashing import mix, runs, shingles, words
 
 #: Minwise values of a document from which paths choose.
 VALUES = 128
@@ -27,57 +28,14 @@ LEVELS = 4
 #: 0.58, so 10 trees miss it with probability 2e-4, and one at 0.85 with probability 4e-7.
 TREES = 10
 
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
 
 
-class Words:
-    """64-bit hashes of words; a bounded number of them is kept."""
-
-    def __init__(self, most: int = 400_000):
-        import xxhash
-
-        self.digest, self.most, self.store = xxhash.xxh64_intdigest, most, {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        store = self.store
-        new = set(words).difference(store)
-        if len(store) + len(new) > self.most:
-            store.clear()
-            new = set(words)
-        digest = self.digest
-        for w in new:
-            store[w] = digest(w)
-        return np.fromiter(map(store.__getitem__, words), np.uint64, len(words))
-
-
-@lru_cache(maxsize=1)
-def kept_words() -> Words:
-    return Words()
-
-
-def fold(text: str) -> bytes:
-    """The words of a text, lower case for A-Z, with one blank between them."""
-    return b" ".join(text.encode("utf-8", "surrogatepass").translate(_FOLD).split())
-
-
-def word_hashes(folded: bytes) -> np.ndarray:
-    words = folded.split()
-    return kept_words().hashes(words) if words else np.zeros(0, np.uint64)
-
-
-def runs(h: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the `size` words from each position on, of the whole if there are fewer."""
-    k = min(size, len(h))
-    out = np.full(len(h) - k + 1 if k else 0, k, np.uint64)
-    for i in range(k):
-        out = mix(out + h[i : len(h) - k + 1 + i])
-    return out
-
+def number(h: np.ndarray) -> int:
+    """A 64-bit number of a text by its words' hashes."""
+    import xxhash
 
-def shingles(folded: bytes, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `size` words of a folded text."""
-    return np.unique(runs(word_hashes(folded), size))
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
 
 @lru_cache(maxsize=1)
@@ -130,7 +88,6 @@ def _units(rows: DataFrame, size: int, trees: int) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         names = ["row", "doc_id", "pos", "size", "n", "unit", "keys", "copy"]
         for b in batches:
@@ -141,10 +98,10 @@ def _units(rows: DataFrame, size: int, trees: int) -> DataFrame:
             has_id = b.column(1).is_valid().to_numpy(zero_copy_only=False)
             unit, n, sketch = np.zeros(k, np.int64), np.zeros(k, np.int32), np.zeros((k, VALUES), np.uint32)
             for i, t in enumerate(b.column(2)):
-                words = fold(t.as_py())
-                if words:
-                    s = shingles(words, size)
-                    unit[i], n[i] = xxhash.xxh3_64_intdigest(words) - (1 << 63), len(s)
+                h = words(t.as_py().encode("utf-8", "surrogatepass"))[0]
+                if len(h):
+                    s = np.unique(runs(h, size))
+                    unit[i], n[i] = number(h), len(s)
                     sketch[i] = minwise(s, VALUES)
             known = has_id & (n > 0)
             zero = np.zeros(k, np.int64)
@@ -166,16 +123,15 @@ def _units(rows: DataFrame, size: int, trees: int) -> DataFrame:
 
 
 def _content(batches, maybe):
-    """(id, text) of batches of texts: the folded words of those whose number may be wanted."""
+    """(id, text) of batches of texts: those whose number may be wanted."""
     import pyarrow as pa
-    import xxhash
 
     fresh = Fresh()
     for b in batches:
-        words = [fold(t.as_py()) for t in b.column(0)]
-        number = np.array([xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words], np.int64)
-        at = fresh(np.flatnonzero(maybe(number)), number)
-        yield pa.RecordBatch.from_arrays([pa.array(number[at]), pa.array([words[i] for i in at], pa.binary())], ["id", "text"])
+        texts = [t.as_py().encode("utf-8", "surrogatepass") for t in b.column(0)]
+        numbers = np.array([number(words(t)[0]) for t in texts], np.int64)
+        at = fresh(np.flatnonzero(maybe(numbers)), numbers)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[at]), pa.array([texts[i] for i in at], pa.binary())], ["id", "text"])
 
 
 def near_duplicates(

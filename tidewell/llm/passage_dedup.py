@@ -1,10 +1,10 @@
 """Paragraph MinHash banding.
 
-Paragraphs are the lines of a text and, as a passage may be set into other text with or without line
-breaks, also windows of words that begin at content-defined places: the same ones wherever the passage
-stands. Each has minwise values of its five-word shingles as bands of one value: by chance, paragraphs
-hardly share a shingle, so single values give the highest recall for their number without many false
-candidates.
+Paragraphs are the lines of a text. Each has minwise values of its five-word shingles as bands of one value:
+by chance, paragraphs hardly share a shingle, so single values give the highest recall for their number
+without many false candidates. As a passage may be set into other text with or without line breaks, there
+are also windows of words that begin at content-defined places: the same ones wherever the passage stands.
+These overlap and have no bands: equal ones repeat each other.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .fuzzy import UNITS, Fresh, by_row, cluster, first_places, mix, removals, seeds, unit_batch, wanted
-from .near_dedup import _FOLD, kept_words, runs, shingles
+from .fuzzy import UNITS, Fresh, by_row, cluster, first_places, removals, unit_batch, wanted
+from .hashing import mix, runs, seeds, shingles, sliding_least, words
 
 #: Words of a window. A window begins before a word pair whose hash is the least among REACH to either side: every
 #: 2 REACH + 1 words on average, never within REACH words of another. Nearly every passage of over 50 words has one.
@@ -31,10 +31,12 @@ _SEEDS = seeds(BANDS)
 _U = np.uint64
 
 
-def split(text: str) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text, lower case for A-Z, and the number of the \\n-split line of each."""
-    lines = [x.split() for x in text.encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n")]
-    return [w for x in lines for w in x], np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+def split(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, hash of each word, start of each word, first word of each \\n-split line with a word)."""
+    data = text.encode("utf-8", "surrogatepass")
+    h, start, _ = words(data)
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    return data, h, start, np.unique(np.searchsorted(start, np.concatenate([[0], breaks])))
 
 
 def places(h: np.ndarray) -> np.ndarray:
@@ -44,24 +46,17 @@ def places(h: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     g = mix(h + _U(3) * np.append(h[1:], _U(0)))
     pad = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
-    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, g, pad]), 2 * REACH + 1)
-    least = g == view.min(axis=1)
-    least &= view[:, :REACH].min(axis=1) != g  # of equal ones the first
+    padded = np.concatenate([pad, g, pad])
+    least = (g == sliding_least(padded, 2 * REACH + 1)) & (g != sliding_least(padded, REACH)[:n])  # of equal ones the first
     at = np.flatnonzero(least)
     return at[at + WINDOW <= n]
 
 
-def paragraphs(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of the lines and windows that are compared; one that is both comes once."""
-    edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-    size = np.diff(np.append(edge, len(line)))
-    windows = places(h)
-    start = np.concatenate([edge[size >= LEAST], windows])
-    size = np.concatenate([size[size >= LEAST], np.full(len(windows), WINDOW)])
-    if not len(start):
-        return start, size
-    both = np.unique(np.stack([start, size], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
+def lines(h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of the lines that are compared, from the first words of all lines."""
+    edge = edge[edge < len(h)]
+    size = np.diff(np.append(edge, len(h)))
+    return edge[size >= LEAST], size[size >= LEAST]
 
 
 def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -98,34 +93,34 @@ def _units(rows: DataFrame) -> DataFrame:
                 continue
             found = []
             for t in b.column(2):
-                words, line = split(t.as_py())
-                h = kept_words().hashes(words) if words else np.zeros(0, np.uint64)
-                start, size = paragraphs(h, line)
-                found.append((start, size, numbers(h, start, size), bands(h, start, size)))
+                _, h, _, edge = split(t.as_py())
+                (start, size), window = lines(h, edge), places(h)
+                all_start, all_size = np.concatenate([start, window]), np.concatenate([size, np.full(len(window), WINDOW)])
+                keys = np.concatenate([bands(h, start, size), np.zeros((len(window), BANDS), np.int64)])
+                found.append((all_start, all_size, numbers(h, all_start, all_size), keys, np.arange(len(all_start)) < len(start)))
             count = np.array([len(f[0]) for f in found], np.int64)
             at = np.repeat(np.arange(b.num_rows), count)
-            start, size, unit, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+            start, size, unit, keys, keyed = (np.concatenate(x) for x in zip(*found, strict=True))
             row = b.column(0).to_numpy()
-            yield unit_batch(row[at], b.column(1).take(pa.array(at)), start, size, np.zeros(len(at)), unit, keys, (row, b.column(1), count))
+            yield unit_batch(row[at], b.column(1).take(pa.array(at)), start, size, unit, keys, keyed, (row, b.column(1), count))
 
     return rows.mapInArrow(run, UNITS)
 
 
 def _content(batches, maybe):
-    """(id, text) of batches of texts: the paragraphs whose number may be wanted."""
+    """(id, text) of batches of texts: the lines whose number may be wanted."""
     import pyarrow as pa
 
     fresh = Fresh()
     for b in batches:
         ids, texts = [], []
         for t in b.column(0):
-            words, line = split(t.as_py())
-            h = kept_words().hashes(words) if words else np.zeros(0, np.uint64)
-            start, size = paragraphs(h, line)
-            number = numbers(h, start, size)
+            data, h, word, edge = split(t.as_py())
+            start, size = lines(h, edge)
+            number, stop = numbers(h, start, size), np.append(word, len(data))
             for i in fresh(np.flatnonzero(maybe(number)), number):
                 ids.append(int(number[i]))
-                texts.append(b" ".join(words[start[i] : start[i] + size[i]]))
+                texts.append(data[stop[start[i]] : stop[start[i] + size[i]]])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["id", "text"])
 
 
@@ -135,7 +130,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     marked = cut(first_places(_units(rows)), "paragraphs")
     texts = rows.select("text")
-    members = cluster(marked.where("first").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(texts, ids, _content), percent, partial(shingles, size=SHINGLE))
+    members = cluster(marked.where("first and keys is not null").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(texts, ids, _content), percent, partial(shingles, size=SHINGLE))
     return marked, removals(marked, members)
 
 
@@ -143,10 +138,10 @@ def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_paragraphs, n_removed, removed_words, removed) for each row of docs: how many of its paragraphs
     repeat, and the words (start, end) that go with them.
 
-    Paragraphs are similar if their sets of five-word shingles (lower case for A-Z) have an intersection of at
-    least `percent` % of their union, and belong together if similar ones lead from one to the other. The
-    first place of a component, by doc_id (null first), row and word, stays. Lines and texts of fewer than
-    LEAST words are left alone; a null or empty text has no paragraphs. Repeated rows are texts of their own.
+    Lines are similar if their sets of five-word shingles (lower case for A-Z) have an intersection of at
+    least `percent` % of their union, windows if they are equal; paragraphs belong together if similar ones
+    lead from one to the other. The first place of a component, by doc_id (null first), row and word, stays.
+    Lines and texts of fewer than LEAST words are left alone; a null or empty text has no paragraphs. Repeated rows are texts of their own.
     An empty table gives no rows; other columns don't pass. Texts are hashed whole, one at a time.
     """
     out = by_row(*repeated_passages(docs, id_col, text_col, percent))

@@ -17,14 +17,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .fuzzy import later, mix
+from .fuzzy import later
+from .hashing import BYTE, mix, powers, prefix_sums, sliding_least
 
 #: Bytes of a string that is looked for, and of an anchor.
 LENGTH, ANCHOR = 100, 32
@@ -148,40 +148,15 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     return [i - 1 for i in out]
 
 
-#: Fixed values of the hashes: one for each byte, and a base (odd) with its inverse.
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base and of its inverse, as many as a power of two."""
-    out = []
-    for x in (_BASE, _INVERSE):
-        p = np.full(n, x, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def extents(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor's hash, content's hash, first, last string's start, anchor's place) of a text's extents. A string's hash is
-    the sum of its bytes' values times powers of the base, from prefix sums."""
+    """(anchor's hash, content's hash, first, last string's start, anchor's place) of a text's extents."""
     n = len(data) - LENGTH + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 5
-    power, inverse = _powers(1 << max(16, len(data).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    sums, inverse = prefix_sums(BYTE[data]), powers(len(data))[1]
     anchor = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * inverse[: len(data) - ANCHOR + 1])
     low = (anchor & _U(0xFFFFFFFF00000000)) | np.arange(len(anchor), dtype=np.uint64)
-    least, width = low, 1
-    while width * 2 <= _SPAN:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    rest = _SPAN - width
-    least = np.minimum(least[: len(least) - rest], least[rest:])[:n]
+    least = sliding_least(low, _SPAN)[:n]
     at = (least & _U(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.append(first[1:], n) - 1
