@@ -143,12 +143,12 @@ def test_op6(spark, documents):
     lines, tally = [], Counter()
     for d, t, _ in documents:
         at = 0
-        w = lower(t).split()
+        w = re.findall(SPACE_WORD, lower(t))
         tally.update(tuple(w[i : i + 5]) for i in range(len(w) - 4))
         for x in lower(t).split("\n"):
             n = len(re.findall(r"[^\x20\x09-\x0D]+", x))
             if n >= 20:
-                lines.append((d, at, tuple(x.split())))
+                lines.append((d, at, tuple(re.findall(SPACE_WORD, x))))
             at += n
     root = components({w: frozenset(w[i : i + 5] for i in range(len(w) - 4)) for _, _, w in lines})
     seen, want = set(), defaultdict(set)
@@ -160,10 +160,10 @@ def test_op6(spark, documents):
     assert len(got) == len(documents)
     missed = sum(len(want[d] - got[d]) for d in got)
     assert missed <= 0.01 * sum(map(len, want.values())) and sum(map(len, want.values())) > 1000
-    for d, t, _ in documents:
-        w = lower(t).split()
-        if got[d]:
-            assert any(tally[tuple(w[i : i + 5])] > 1 for i in range(len(w) - 4))
+    for d, t, _ in documents:  # no other words go than those that stand in a repeated run
+        w = re.findall(SPACE_WORD, lower(t))
+        again = set().union(*(range(i, i + 5) for i in range(len(w) - 4) if tally[tuple(w[i : i + 5])] > 1))
+        assert len(got[d] - again) <= 0.25 * len(got[d])
 
 
 def test_op8(spark, documents):

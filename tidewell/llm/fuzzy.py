@@ -207,8 +207,8 @@ def verify(pairs: DataFrame, content: DataFrame, percent: int, shingles: Callabl
 
         for b in batches:
             good = []
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = of(s), of(t)
+            for s, t in zip(b.column(2), b.column(3), strict=True):
+                x, y = of(s.as_py()), of(t.as_py())
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     good.append(False)
                     continue
