@@ -51,7 +51,7 @@ def rayleigh(hours: DataFrame, keys: list[str] | None = None, hour: str = "hour"
     r = F.sqrt(F.col("c") ** 2 + F.col("s") ** 2)
     m = m.withColumns({"r": r, "z": F.col("n") * r * r})
     z, n = F.col("z"), F.col("n").cast("double")
-    p = F.exp(-z) * (1 + (2 * z - z * z) / (4 * n) - (24 * z - 132 * z**2 + 76 * z**3 - 9 * z**4) / (288 * n * n))
+    p = F.exp(F.sqrt(1 + 4 * n + 4 * (n * n - z * z)) - (1 + 2 * n))
     mean = F.pmod(F.atan2("s", "c") * (period / (2 * math.pi)) + period, F.lit(period))
     return m.select(*keys, "n", "r", "z", F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)).alias("p"), mean.alias("mean_hour"))
 
@@ -108,30 +108,78 @@ def intradaily_variability(series: DataFrame, keys: list[str] | None = None, off
     return x.groupBy(*keys).agg(F.count("*").alias("n"), F.count("step").alias("n_steps"), ratio(F.avg("step"), F.var_pop("v")).alias("variability"))
 
 
-def m10_l5(series: DataFrame, keys: list[str] | None = None, offset: int = 0) -> DataFrame:
-    """Highest 10-hour and lowest 5-hour means of the mean day, on the clock, when they begin, and their relative amplitude;
-    whole profiles of 24 hours only."""
+def covered_hours(series: DataFrame, keys: list[str], offset: int = 0, least_cover: float = 0.66, least_days: int = 3) -> DataFrame:
+    """(keys, day, h, v): hourly means of the days that have `least_cover` of their hours, of series with `least_days` such days."""
+    x = _hourly(series, keys, offset)
+    x = x.withColumn("k", F.count("*").over(Window.partitionBy(*keys, "day"))).where(F.col("k") >= 24 * least_cover).drop("k")
+    days = x.groupBy(*keys).agg(F.count_distinct("day").alias("n_days")).where(F.col("n_days") >= least_days)
+    return x.join(days, keys)
+
+
+def m10_l5(series: DataFrame, keys: list[str] | None = None, offset: int = 0, least_cover: float = 0.66, fill: float = 0.8) -> DataFrame:
+    """Highest 10-hour and lowest 5-hour means of the mean day, on the clock, when they begin (the first of equal ones), and
+    their relative amplitude. Windows with under `fill` of their hours are left out; a profile is 24 values a series."""
     keys = keys or KEYS
-    day = _hourly(series, keys, offset).groupBy(*keys, "h").agg(F.avg("v").alias("v"))
-    twice = day.withColumn("h2", F.explode(F.array(F.col("h"), F.col("h") + 24)))
-    w = Window.partitionBy(*keys).orderBy("h2")
-    x = twice.withColumns({"m10": F.avg("v").over(w.rowsBetween(0, 9)), "l5": F.avg("v").over(w.rowsBetween(0, 4)), "k": F.count("*").over(Window.partitionBy(*keys))})
-    best = x.where("h2 < 24 and k = 48").groupBy(*keys).agg(
-        F.max("m10").alias("m10"), F.min(F.struct(-F.col("m10"), "h2")).alias("a"), F.min("l5").alias("l5"), F.min(F.struct("l5", "h2")).alias("b")
-    )
-    return best.select(*keys, "m10", F.col("a.h2").alias("m10_hour"), "l5", F.col("b.h2").alias("l5_hour"), ratio(F.col("m10") - F.col("l5"), F.col("m10") + F.col("l5")).alias("relative_amplitude"))
-
-
-def actogram(series: DataFrame, keys: list[str] | None = None, offset: int = 0) -> DataFrame:
-    """Each day's phase: the clock hour of the vector of its hourly means above their least, and the step from the day before."""
+    day = covered_hours(series, keys, offset, least_cover).groupBy(*keys, "h").agg(F.avg("v").alias("v"), F.max("n_days").alias("n_days"))
+    x = day.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("h", "v"))).alias("m"), F.max("n_days").alias("n_days"))
+    hours = F.sequence(F.lit(0), F.lit(23))
+
+    def means(size: int) -> Column:
+        own = lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.try_element_at(F.col("m"), (i + k) % 24)), lambda v: v.isNotNull())
+        mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+        return F.transform(hours, lambda i: F.when(F.size(own(i)) >= size * fill, F.struct(mean(own(i)).alias("v"), i.alias("i"))))
+
+    best = lambda a, sign: F.array_min(F.transform(F.filter(a, lambda x: x.isNotNull()), lambda x: F.struct((sign * x["v"]).alias("v"), x["i"].alias("i"))))
+    x = x.withColumns({"a": best(means(10), -1), "b": best(means(5), 1)})
+    high, low = -F.col("a.v"), F.col("b.v")
+    return x.select(*keys, "n_days", high.alias("m10"), F.col("a.i").alias("m10_hour"), low.alias("l5"), F.col("b.i").alias("l5_hour"), ratio(high - low, F.nullif(high + low, F.lit(0.0))).alias("relative_amplitude"))
+
+
+def actogram(series: DataFrame, keys: list[str] | None = None, offset: int = 0, minutes: int = 30) -> DataFrame:
+    """(keys, day, n, phase, drift): the clock hour of the vector of each day's medians of `minutes`, as % of the day's median
+    and above the day's least, of days with four of these; and the step from the day before it that has samples."""
     keys = keys or KEYS
-    x = _hourly(series, keys, offset)
-    low = Window.partitionBy(*keys, "day")
-    a = (F.col("h") + 0.5) * (2 * math.pi / 24)
-    x = x.withColumn("u", F.col("v") - F.min("v").over(low))
-    d = x.groupBy(*keys, "day").agg(F.count("*").alias("n"), F.sum(F.col("u") * F.cos(a)).alias("c"), F.sum(F.col("u") * F.sin(a)).alias("s"))
-    d = d.where("n >= 3").withColumn("phase", F.pmod(F.atan2("s", "c") * (24 / (2 * math.pi)) + 24, F.lit(24.0)))
+    bins = 24 * 60 // minutes
+    x = series.where("lfp is not null").select(*keys, local_day(F.col("t"), offset).alias("day"), F.least(F.floor(local_hour(F.col("t"), offset) * 60 / minutes), F.lit(bins - 1)).alias("bin"), "lfp")
+    whole = x.groupBy(*keys, "day").agg(F.median("lfp").alias("middle"))
+    cell = x.groupBy(*keys, "day", "bin").agg(F.median("lfp").alias("v")).join(whole, [*keys, "day"]).withColumn("v", 100 * ratio(F.col("v"), F.nullif(F.col("middle"), F.lit(0.0))))
+    a = (F.col("bin") + 0.5) * (minutes / 60 * 2 * math.pi / 24)
+    cell = cell.withColumn("u", F.col("v") - F.min("v").over(Window.partitionBy(*keys, "day")))
+    d = cell.groupBy(*keys, "day").agg(F.count("v").alias("n"), F.sum(F.col("u") * F.cos(a)).alias("c"), F.sum(F.col("u") * F.sin(a)).alias("s"), F.sum("u").alias("w"))
+    phase = F.when((F.col("n") >= 4) & (F.col("w") > 0), F.pmod(F.atan2("s", "c") * (24 / (2 * math.pi)) + 24, F.lit(24.0)))
     w = Window.partitionBy(*keys).orderBy("day")
-    next_day = F.date_diff("day", F.lag("day").over(w)) == 1
-    drift = F.when(next_day, F.pmod(F.col("phase") - F.lag("phase").over(w) + 36, F.lit(24.0)) - 12)
-    return d.select(*keys, "day", "n", "phase", drift.alias("drift"))
+    drift = F.pmod(F.col("phase") - F.lag("phase").over(w) + 36, F.lit(24.0)) - 12
+    return d.withColumn("phase", phase).select(*keys, "day", "n", "phase", drift.alias("drift"))
+
+
+def drift_of_phase(days: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, n_days, drift, total): the median step of the phase a day, and what it adds up to; of two days at least."""
+    out = days.groupBy(*(keys or KEYS)).agg(F.count("*").alias("n_days"), F.median("drift").alias("drift")).where("n_days >= 2")
+    return out.withColumn("total", F.col("drift") * (F.col("n_days") - 1))
+
+
+def cosinor_test(series: DataFrame, keys: list[str] | None = None, period: float = 24.0, offset: int = 0) -> DataFrame:
+    """(keys, n, f, rho, n_eff, f_adjusted, df2_adjusted, residual_sd) of the cosinor of one period: the F of its two terms, and the
+    same after the number of samples that the residuals' first autocorrelation leaves. Samples in the order of time;
+    their number must be over five."""
+    keys = keys or KEYS
+    fit = cosinor(series, keys, period, offset).where("n > 5").select(*keys, "mesor", "amplitude", "acrophase")
+    turn = 2 * math.pi / period
+    x = series.where("lfp is not null").join(fit, keys)
+    fitted = F.col("mesor") + F.col("amplitude") * F.cos((local_hour(F.col("t"), offset) - F.col("acrophase")) * turn)
+    x = x.withColumn("r", F.col("lfp") - fitted)
+    x = x.withColumn("rr", F.col("r") * F.lag("r").over(Window.partitionBy(*keys).orderBy("t", "row_ord")))
+    m = x.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.sum(F.col("r") ** 2).alias("sse"), F.sum("rr").alias("num"), (F.var_pop("lfp") * F.count("*")).alias("sst"))
+    n, sse = F.col("n"), F.col("sse")
+    m = m.withColumns({"f": (F.col("sst") - sse) / 2 / (sse / (n - 3)), "rho": ratio(F.col("num"), sse)}).withColumn("n_eff", n * (1 - F.col("rho")) / (1 + F.col("rho")))
+    adjusted = F.col("f") * F.greatest(F.lit(0.02), F.col("n_eff") / n)
+    df2 = F.greatest(F.lit(2.0), F.floor(F.col("n_eff") + 0.5) - 3)
+    return m.select(*keys, n.cast("long").alias("n"), "f", "rho", "n_eff", adjusted.alias("f_adjusted"), df2.alias("df2_adjusted"), F.sqrt(sse / (n - 3)).alias("residual_sd"))
+
+
+def panel(series: DataFrame, keys: list[str] | None = None, offset: int = 0, least_cover: float = 0.66) -> DataFrame:
+    """Stability, variability and the highest and lowest hours of each series side by side; null where one isn't to be had."""
+    keys = keys or KEYS
+    a = interdaily_stability(series, keys, offset=offset, least_cover=least_cover).select(*keys, "stability")
+    b = intradaily_variability(series, keys, offset=offset).select(*keys, "variability")
+    return a.join(b, keys, "full").join(m10_l5(series, keys, offset, least_cover), keys, "full")

@@ -110,7 +110,7 @@ def variability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m10l5(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rhythm.m10_l5(timeline(spark, d)))
+    return rounded(rhythm.m10_l5(timeline(spark, d), least_cover=0.3))
 
 
 def actogram(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +191,7 @@ from l join cv using (subject, hemisphere) group by subject, hemisphere""",
     "cosinor": f"with {TIMELINE_SQL}, {_cosinor_sql('tl')} select * from co",
     "rayleigh": f"""with {LIMITS_SQL}, h as (select subject, hemisphere, {HOUR}*2*pi()/24 a from tl join limits using (subject, hemisphere) where lfp > upper),
 m as (select subject, hemisphere, count(*) n, avg(cos(a)) c, avg(sin(a)) s from h group by all having count(*) >= 3), z as (select *, sqrt(c*c+s*s) r, n*(c*c+s*s) z from m)
-select subject, hemisphere, n, round(r,6) r, round(z,6) z, round(least(1.0, greatest(0.0, exp(-z)*(1+(2*z-z*z)/(4.0*n)-(24*z-132*z*z+76*z*z*z-9*z*z*z*z)/(288.0*n*n)))),6) p,
+select subject, hemisphere, n, round(r,6) r, round(z,6) z, round(least(1.0, greatest(0.0, exp(sqrt(1+4*n+4*(n*n-z*z))-(1+2*n)))),6) p,
 round((atan2(s,c)*24/(2*pi())+24) % 24, 6) mean_hour from z""",
     "eta2": f"""with {TIMELINE_SQL}, b as (select subject, hemisphere, floor({HOUR}) b, count(*)::double n, sum(lfp) y, sum(lfp*lfp) yy from tl where lfp is not null group by all),
 a as (select subject, hemisphere, sum(n) n, sum(y) y, sum(yy) yy, sum(y*y/n) bt, count(*) k from b group by all)
@@ -206,14 +206,6 @@ select subject, hemisphere, n_days, round(n*ssb/(p*sst),6) stability from a join
     "intradaily_variability": f"""with {_HOURLY}, s as (select *, (day - date '1970-01-01')*24+h as slot from hr),
 d as (select *, case when slot - lag(slot) over w = 1 then (v - lag(v) over w)*(v - lag(v) over w) end step from s window w as (partition by subject, hemisphere order by slot))
 select subject, hemisphere, count(*) n, count(step) n_steps, round(avg(step)/var_pop(v),6) variability from d group by all""",
-    "m10_l5": f"""with {_HOURLY}, p as (select subject, hemisphere, h, avg(v) v from hr group by all), f as (select subject, hemisphere from p group by all having count(*) = 24),
-t2 as (select p.subject, p.hemisphere, h + k.k as h2, v from p join f using (subject, hemisphere), (values (0),(24)) k(k)),
-m as (select *, avg(v) over (w rows between current row and 9 following) m10, avg(v) over (w rows between current row and 4 following) l5 from t2 window w as (partition by subject, hemisphere order by h2))
-select subject, hemisphere, round(max(m10),6) m10, (arg_min(h2, (-m10, h2)))::int m10_hour, round(min(l5),6) l5, (arg_min(h2, (l5, h2)))::int l5_hour, round((max(m10)-min(l5))/(max(m10)+min(l5)),6) relative_amplitude
-from m where h2 < 24 group by all""",
-    "actogram": f"""with {_HOURLY}, u as (select *, v - min(v) over (partition by subject, hemisphere, day) u, (h+0.5)*2*pi()/24 a from hr),
-d as (select subject, hemisphere, day, count(*) n, sum(u*cos(a)) c, sum(u*sin(a)) s from u group by all having count(*) >= 3), p as (select *, (atan2(s,c)*24/(2*pi())+24) % 24 ph from d)
-select subject, hemisphere, day, n, round(ph,6) phase, round(case when day - lag(day) over w = 1 then ((ph - lag(ph) over w + 36) % 24) - 12 end, 6) drift from p window w as (partition by subject, hemisphere order by day)""",
     "event_aligned": f"""with {TIMELINE_SQL}, {marks_sql('ev', 'signup')}, j as (select tl.subject, tl.hemisphere, ev.row_ord e, tl.row_ord, epoch_us(tl.t)/1e6 s, epoch_us(tl.t)/1e6 - epoch_us(ev.t)/1e6 lag, lfp
 from tl join ev on tl.subject=ev.subject and tl.hemisphere=ev.hemisphere and epoch_us(tl.t) between epoch_us(ev.t)-7200000000 and epoch_us(ev.t)+14400000000 where lfp is not null),
 b as (select *, floor((lag/60+120)/60+0.5)::int b from j), c as (select subject, hemisphere, e, b, arg_max(lfp, (s, row_ord)) v from b group by all),

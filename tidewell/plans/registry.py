@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chronic, cohorts, models
+from . import chronic, cohorts, models, records
 
-PARTS = [chronic, cohorts, models]
+PARTS = [chronic, cohorts, models, records]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
