@@ -306,7 +306,8 @@ def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], perc
 
 def removals(marked: DataFrame, members: DataFrame) -> DataFrame:
     """(row, pos, size): the places of MARKED that are not the first of their component, by doc_id (null first), row and pos."""
-    firsts = marked.where("first").select("unit", "row", "doc_id", "pos", "size")
+    # units without keys are in no component; without them fewer rows meet the components
+    firsts = marked.where("first and keys is not null").select("unit", "row", "doc_id", "pos", "size")
     placed = firsts.join(members.withColumnRenamed("id", "unit"), "unit").withColumn("at", F.struct("doc_id", "row", "pos"))
     keeper = placed.groupBy("component").agg(F.min("at").alias("keeper"))
     similar = placed.join(keeper, "component").where("not (at <=> keeper)").select("row", "pos", "size")
