@@ -98,6 +98,7 @@ def _units(rows: DataFrame) -> DataFrame:
             for t in b.column(2):
                 _, h, _, edge = split(t.as_py())
                 (start, size), window = lines(h, edge), places(h)
+                window = window[~np.isin(window, start[size == WINDOW])]  # a line that is a window comes once
                 all_start, all_size = np.concatenate([start, window]), np.concatenate([size, np.full(len(window), WINDOW)])
                 keys = np.concatenate([bands(h, start, size), np.zeros((len(window), BANDS), np.int64)])
                 found.append((all_start, all_size, numbers(h, all_start, all_size), keys, np.arange(len(all_start)) < len(start)))
