@@ -93,3 +93,35 @@ def packet_gaps(packets: DataFrame, usual_s: float, by: list[str]) -> DataFrame:
     lost = F.greatest(F.floor(F.col("step") / usual_s + 0.5) - 1, F.lit(0))
     out = x.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum(lost), F.lit(0)).cast("long").alias("n_lost"), (F.max("s") - F.min("s")).alias("span_s"))
     return out.withColumn("per_hour", F.try_divide((F.col("n") - 1) * 3600.0, F.col("span_s")))
+
+
+def coherence_rows(pairs: DataFrame, bands: dict[str, tuple[float, float]], key: str = "rec", window: int | None = None, alpha: float = 0.05) -> DataFrame:
+    """(key, band, mean, peak, peak_hz, threshold, significant) of pairs (key, a, b, fs) of records of one clock.
+
+    `threshold` is what the greatest of a band's bins passes by chance with probability alpha: the limit of one bin for the
+    number of segments that half-overlapping ones are worth, corrected for the number of bins. Nulls where under three
+    whole segments or bins are left.
+    """
+
+    def kernel(a, b, fs):
+        f, c, n = dsp.coherence(a, b, fs, window)
+        rows = []
+        for name, (lo, hi) in bands.items():
+            at = np.flatnonzero((f >= lo) & (f <= hi)) if len(f) else np.zeros(0, int)
+            if len(at) < 3:
+                rows.append((name, None, None, None, None, None))
+                continue
+            free = max(2, math.floor(n / 1.5 + 0.5))
+            limit = 1 - (1 - (1 - alpha) ** (1 / len(at))) ** (1 / (free - 1))
+            top = at[int(np.argmax(c[at]))]
+            rows.append((name, float(c[at].mean()), float(c[top]), float(f[top]), float(limit), bool(c[top] > limit)))
+        return rows
+
+    names = [key, "band", "mean", "peak", "peak_hz", "threshold", "significant"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = zip(x[key], x["a"], x["b"], x["fs"], strict=True)
+            yield pd.DataFrame([(k, *r) for k, a, b, fs in rows if a is not None and b is not None for r in kernel(np.asarray(a, float), np.asarray(b, float), float(fs))], columns=names)
+
+    return pairs.select(key, "a", "b", "fs").mapInPandas(run, f"{key} {dict(pairs.dtypes)[key]}, band string, mean double, peak double, peak_hz double, threshold double, significant boolean")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chronic, cohorts, models, records
+from . import chronic, cohorts, inference, models, records
 
-PARTS = [chronic, cohorts, models, records]
+PARTS = [chronic, cohorts, models, records, inference]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
