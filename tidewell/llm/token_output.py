@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -73,11 +74,15 @@ class Encoded(dict):
 
     def piece(self, x: str) -> bytes:
         y = x if x.isascii() else "".join(map(self.shown.__getitem__, x.encode()))
-        out = self.pieces[x] = np.array([t.id for t in self.model.tokenize(y)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(y)]
+        out = self.pieces[x] = pack(f"<{len(ids)}I", *ids)
         return out
 
     def __missing__(self, word: str) -> bytes:
-        if self.plain(word) and "<|" not in word:
+        if word.isascii() and word.isalpha():  # one piece
+            x = word.lower()
+            out = self.pieces.get(x) or self.piece(x)
+        elif self.plain(word) and "<|" not in word:
             known = self.pieces.get
             out = b"".join([known(x) or self.piece(x) for x in self.split(word.lower())])
         else:
