@@ -1,4 +1,4 @@
-"""Models fitted series by series: mixtures, states, change points, resampling and controller simulation.
+"""Models fitted series by series: mixtures, change points and resampling.
 
 Each series is a group of a grouped map. What goes in is pre-aggregated where the model allows it: days, not samples,
 for change points and bootstraps; sorted values for mixtures. A refusal is a row with a reason, never a missing row.
@@ -112,25 +112,6 @@ def propose_thresholds(series: DataFrame, keys: list[str] | None = None, least:
     return x.groupBy(*keys).applyInPandas(run, f"{kinds}, n long, method string, lower double, upper double, separation double, bic_gain double, reason string")
 
 
-def detect_states(series: DataFrame, keys: list[str] | None = None, least: int = 20) -> DataFrame:
-    """(keys, n, low, high, threshold, separation, share_high): two states by their means, the threshold midway."""
-    keys = keys or KEYS
-    x = series.where("lfp is not null").groupBy(*keys).agg(F.sort_array(F.collect_list("lfp")).alias("x"))
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        v = np.asarray(b["x"].iloc[0], float)
-        head = [b[k].iloc[0] for k in keys]
-        if len(v) < least or v.std() == 0:
-            return pd.DataFrame([[*head, len(v), None, None, None, None, None]], columns=names)
-        a, c = two_means(v)
-        mid = (a + c) / 2
-        return pd.DataFrame([[*head, len(v), a, c, mid, abs(c - a) / v.std(ddof=1), float((v > mid).mean())]], columns=names)
-
-    names = [*keys, "n", "low", "high", "threshold", "separation", "share_high"]
-    kinds = ", ".join(f"{k} {t}" for k, t in series.select(*keys).dtypes)
-    return x.groupBy(*keys).applyInPandas(run, f"{kinds}, n long, low double, high double, threshold double, separation double, share_high double")
-
-
 def cut_points(y: np.ndarray, least: int = 3, permutations: int = 500, alpha: float = 0.05, most: int = 8, seed: int = SEED) -> list[tuple[int, float, float]]:
     """(index, p, difference) where the mean of a sequence changes: the strongest split of a stretch is kept if shuffles
     seldom match it, and both sides are split again."""
@@ -205,50 +186,6 @@ def cosinor_bootstrap(series: DataFrame, keys: list[str] | None = None, replicas
     return days.groupBy(*keys).applyInPandas(run, f"{kinds}, n_days int, mesor_low double, mesor_high double, amplitude_low double, amplitude_high double")
 
 
-def simulate_controller(series: DataFrame, limits: DataFrame, keys: list[str] | None = None, least: float = 0.0, most: float = 3.0, start: float = 1.5, step: float = 0.1) -> DataFrame:
-    """(keys, n, mean_current, share_saturated, n_steps) of a two-threshold controller: a step up above the upper and down below
-    the lower limit, held within its range. A fold over the time-sorted array of each series, without Python."""
-    keys = keys or KEYS
-    x = series.where("lfp is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "row_ord", "lfp"))).alias("x")).join(limits, keys)
-    zero = F.struct(F.lit(round(start / step)).cast("int").alias("at"), F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("sat"), F.lit(0).cast("long").alias("steps"))
-    lo, hi = round(least / step), round(most / step)
-
-    def fold(s, v):
-        want = s["at"] + F.when(v["lfp"] > F.col("upper"), 1).when(v["lfp"] < F.col("lower"), -1).otherwise(0)
-        now = F.least(F.greatest(want, F.lit(lo)), F.lit(hi)).cast("int")
-        return F.struct(
-            now.alias("at"), (s["sum"] + now).alias("sum"), (s["sat"] + F.when(want != now, 1).otherwise(0)).alias("sat"), (s["steps"] + F.when(now != s["at"], 1).otherwise(0)).alias("steps")
-        )
-
-    out = x.select(*keys, F.size("x").cast("long").alias("n"), F.aggregate("x", zero, fold).alias("s"))
-    return out.select(*keys, "n", (step * ratio(F.col("s.sum"), F.col("n"))).alias("mean_current"), ratio(F.col("s.sat"), F.col("n")).alias("share_saturated"), F.col("s.steps").alias("n_steps"))
-
-
-def tune_limits(series: DataFrame, limits: DataFrame, keys: list[str] | None = None, spread: float = 0.15, steps: int = 15, goal: tuple = (0.2, 0.6, 0.2)) -> DataFrame:
-    """The pair of limits around each series' own whose zone shares come nearest the goal. Values are counted once by rank; each
-    pair of the grid looks its shares up in the cumulated counts, so the grid doesn't multiply the samples."""
-    keys = keys or KEYS
-    values = series.where("lfp is not null").groupBy(*keys).agg(F.sort_array(F.collect_list("lfp")).alias("x"))
-    both = values.join(limits, keys)
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in b.itertuples(index=False):
-            x = np.asarray(r.x, float)
-            scale = 1 + spread * np.arange(-steps, steps + 1) / steps
-            lo, hi = r.lower * scale, r.upper * scale
-            below, above = np.searchsorted(x, lo, "left") / len(x), 1 - np.searchsorted(x, hi, "right") / len(x)
-            between = 1 - below[:, None] - above[None, :]
-            cost = np.abs(below - goal[0])[:, None] + np.abs(between - goal[1]) + np.abs(above - goal[2])[None, :]
-            cost[lo[:, None] >= hi[None, :]] = np.inf
-            i, j = np.unravel_index(int(np.argmin(cost)), cost.shape)
-            out.append([*[getattr(r, k) for k in keys], float(lo[i]), float(hi[j]), float(cost[i, j])])
-        return pd.DataFrame(out, columns=[*keys, "lower", "upper", "cost"])
-
-    kinds = ", ".join(f"{k} {t}" for k, t in series.select(*keys).dtypes)
-    return both.mapInPandas(lambda it: map(run, it), f"{kinds}, lower double, upper double, cost double")
-
-
 def permutation_test(rows: DataFrame, group: str, value: str, by: list[str], permutations: int = 2000, exact_up_to: int = 30_000) -> DataFrame:
     """(by, n_a, n_b, difference, p, exact): difference of the means of two groups (false, true) against regroupings: all of them
     where there are few, else seeded shuffles."""

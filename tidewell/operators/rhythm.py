@@ -98,14 +98,20 @@ def interdaily_stability(series: DataFrame, keys: list[str] | None = None, least
     return out.select(*keys, "n_days", ratio(F.col("n") * F.col("ssb"), F.col("p") * F.col("sst")).alias("stability"))
 
 
-def intradaily_variability(series: DataFrame, keys: list[str] | None = None, offset: int = 0) -> DataFrame:
-    """Mean squared step between neighbouring hours over the variance; steps across missing hours are left out."""
+def intradaily_variability(series: DataFrame, keys: list[str] | None = None, offset: int = 0, least_cover: float = 0.66, least_days: int = 3) -> DataFrame:
+    """(keys, n_days, n_pairs, n_skipped, variability): mean squared step between hours of the days with enough of them, one day after the
+    other, over the variance. Steps to or from a missing hour are left out and counted, and the sum is scaled to all steps of the days;
+    series of too few days are left out."""
     keys = keys or KEYS
-    x = _hourly(series, keys, offset).withColumn("slot", F.unix_date("day") * 24 + F.col("h"))
+    x = covered_hours(series, keys, offset, least_cover, least_days)
+    place = x.select(*keys, "day").distinct().withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("day")))
+    x = x.join(place, [*keys, "day"]).withColumn("slot", F.col("place") * 24 + F.col("h"))
     w = Window.partitionBy(*keys).orderBy("slot")
     step = F.when(F.col("slot") - F.lag("slot").over(w) == 1, (F.col("v") - F.lag("v").over(w)) ** 2)
-    x = x.withColumn("step", step)
-    return x.groupBy(*keys).agg(F.count("*").alias("n"), F.count("step").alias("n_steps"), ratio(F.avg("step"), F.var_pop("v")).alias("variability"))
+    out = x.withColumn("step", step).groupBy(*keys, "n_days").agg(F.count("*").alias("n"), F.count("step").alias("n_pairs"), F.sum("step").alias("sum"), (F.var_pop("v") * F.count("*")).alias("ss"))
+    steps = 24 * F.col("n_days") - 1
+    value = ratio(F.col("n") * F.col("sum") * steps / F.nullif("n_pairs", F.lit(0)), (F.col("n") - 1) * F.col("ss"))
+    return out.select(*keys, "n_days", "n_pairs", (steps - F.col("n_pairs")).alias("n_skipped"), value.alias("variability"))
 
 
 def covered_hours(series: DataFrame, keys: list[str], offset: int = 0, least_cover: float = 0.66, least_days: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import local_hour
 from tidewell.operators import chronic, events, rhythm
-from tidewell.sources.adapters import RAW_TIMELINE_SQL, TIMELINE_SQL, marks, marks_sql, raw_timeline, timeline
+from tidewell.sources.adapters import EVENT_KEYS_SQL, RAW_TIMELINE_SQL, TIMELINE_SQL, marks, marks_sql, raw_timeline, timeline
 
 DIGITS = 6
 
@@ -106,7 +106,7 @@ def stability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variability(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rhythm.intradaily_variability(timeline(spark, d)))
+    return rounded(rhythm.intradaily_variability(timeline(spark, d), least_cover=0.3))
 
 
 def m10l5(spark: SparkSession, d: str) -> DataFrame:
@@ -203,9 +203,11 @@ select subject, hemisphere, bin, count(w) n_days, round(quantile_cont(w,0.25),6)
 a as (select subject, hemisphere, count(*) n, count(distinct day) n_days, avg(v) m, var_pop(v)*count(*) sst from x group by all), b as (select subject, hemisphere, h, avg(v) mh from x group by all),
 c as (select subject, hemisphere, sum((mh-m)*(mh-m)) ssb, count(*) p from b join a using (subject, hemisphere) group by all)
 select subject, hemisphere, n_days, round(n*ssb/(p*sst),6) stability from a join c using (subject, hemisphere) where n_days >= 3""",
-    "intradaily_variability": f"""with {_HOURLY}, s as (select *, (day - date '1970-01-01')*24+h as slot from hr),
-d as (select *, case when slot - lag(slot) over w = 1 then (v - lag(v) over w)*(v - lag(v) over w) end step from s window w as (partition by subject, hemisphere order by slot))
-select subject, hemisphere, count(*) n, count(step) n_steps, round(avg(step)/var_pop(v),6) variability from d group by all""",
+    "intradaily_variability": f"""with {_HOURLY}, k as (select *, count(*) over (partition by subject, hemisphere, day) k from hr), x as (select * from k where k >= 0.3*24),
+s as (select *, dense_rank() over (partition by subject, hemisphere order by day)*24+h as slot from x),
+d as (select *, case when slot - lag(slot) over w = 1 then (v - lag(v) over w)*(v - lag(v) over w) end step from s window w as (partition by subject, hemisphere order by slot)),
+a as (select subject, hemisphere, count(distinct day) n_days, count(*) n, count(step) n_pairs, sum(step) st, var_pop(v)*count(*) ss from d group by all)
+select subject, hemisphere, n_days, n_pairs, 24*n_days - 1 - n_pairs n_skipped, round(n*(st*(24*n_days-1)/n_pairs)/((n-1)*ss),6) variability from a where n_days >= 3""",
     "event_aligned": f"""with {TIMELINE_SQL}, {marks_sql('ev', 'signup')}, j as (select tl.subject, tl.hemisphere, ev.row_ord e, tl.row_ord, epoch_us(tl.t)/1e6 s, epoch_us(tl.t)/1e6 - epoch_us(ev.t)/1e6 lag, lfp
 from tl join ev on tl.subject=ev.subject and tl.hemisphere=ev.hemisphere and epoch_us(tl.t) between epoch_us(ev.t)-7200000000 and epoch_us(ev.t)+14400000000 where lfp is not null),
 b as (select *, floor((lag/60+120)/60+0.5)::int b from j), c as (select subject, hemisphere, e, b, arg_max(lfp, (s, row_ord)) v from b group by all),
@@ -216,7 +218,7 @@ select subject, hemisphere, b*60-120 as minute, count(v) n_trials, round(quantil
 j as (select x.subject, x.hemisphere, x.row_ord, st.row_ord e, epoch_us(x.t)/1e6 - epoch_us(st.t)/1e6 lag, epoch_us(st.t) et from x join st on x.subject=st.subject and x.hemisphere=st.hemisphere and abs(epoch_us(x.t)-epoch_us(st.t)) <= 10800000000),
 m as (select subject, hemisphere, row_ord, arg_min(e, (abs(lag), et)) mark, arg_min(lag, (abs(lag), et)) lag from j group by all)
 select x.subject, x.hemisphere, x.row_ord, mark, round(lag,6) mark_lag_s from x left join m using (subject, hemisphere, row_ord)""",
-    "dose_markers": f"""with {marks_sql('st', 'purchase')}, d as (select *, t::date as day, epoch_us(t)/1e6 - lag(epoch_us(t)/1e6) over (partition by subject, hemisphere, t::date order by t, row_ord) ap from st)
+    "dose_markers": f"""with {EVENT_KEYS_SQL}, {marks_sql('st', 'purchase')}, d as (select *, t::date as day, epoch_us(t)/1e6 - lag(epoch_us(t)/1e6) over (partition by subject, hemisphere, t::date order by t, row_ord) ap from st)
 select subject, hemisphere, count(*) n, round(count(*)/count(distinct day)::double,6) per_day, round(quantile_cont(ap,0.5),6) median_apart_s from d group by all""",
     "threshold_report": f"""with {CLEAN_SQL}, li as (select subject, hemisphere, quantile_cont(lfp,0.25) lower, quantile_cont(lfp,0.75) upper from cl group by all),
 zs as (select subject, hemisphere, count(*) n, round(count(*) filter (lfp<lower)/count(*)::double,6) share_below, round(count(*) filter (lfp>=lower and lfp<=upper)/count(*)::double,6) share_between,

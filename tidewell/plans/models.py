@@ -8,17 +8,13 @@ from pyspark.sql import functions as F
 from tidewell.operators import models
 from tidewell.sources.adapters import timeline
 
-from .chronic import LIMITS_SQL, limits, rounded
+from .chronic import rounded
 
 
 def gmm_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.propose_thresholds(timeline(spark, d)))
 
 
-def states(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(models.detect_states(timeline(spark, d)))
-
-
 def changepoints(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.change_points(timeline(spark, d)))
 
@@ -27,33 +23,15 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.cosinor_bootstrap(timeline(spark, d)))
 
 
-def controller(spark: SparkSession, d: str) -> DataFrame:
-    x = timeline(spark, d)
-    return rounded(models.simulate_controller(x, limits(x)))
-
-
-def tuned_limits(spark: SparkSession, d: str) -> DataFrame:
-    x = timeline(spark, d)
-    return rounded(models.tune_limits(x, limits(x)))
-
-
 def permutation(spark: SparkSession, d: str) -> DataFrame:
     x = timeline(spark, d).withColumn("night", F.hour("t") < 8)
     daily = x.where("lfp is not null").groupBy("subject", "hemisphere", F.to_date("t").alias("day"), "night").agg(F.avg("lfp").alias("v"))
     return rounded(models.permutation_test(daily, "night", "v", ["subject", "hemisphere"]))
 
 
-ORACLE = {
-    "controller": f"""with recursive {LIMITS_SQL}, o as (select tl.subject, tl.hemisphere, lfp, lower, upper, row_number() over (partition by tl.subject, tl.hemisphere order by t, row_ord) k from tl join limits using (subject, hemisphere) where lfp is not null),
-f as (select subject, hemisphere, 0::bigint k, 15 as a, 0 as sat, 0 as st from o where k = 1 union all
- select o.subject, o.hemisphere, o.k, least(30, greatest(0, f.a + case when lfp > upper then 1 when lfp < lower then -1 else 0 end)),
- case when f.a + case when lfp > upper then 1 when lfp < lower then -1 else 0 end not between 0 and 30 then 1 else 0 end,
- case when least(30, greatest(0, f.a + case when lfp > upper then 1 when lfp < lower then -1 else 0 end)) <> f.a then 1 else 0 end
- from f join o on f.subject = o.subject and f.hemisphere = o.hemisphere and o.k = f.k + 1)
-select subject, hemisphere, count(*) n, round(0.1*sum(a)/count(*)::double, 6) mean_current, round(sum(sat)/count(*)::double, 6) share_saturated, sum(st)::bigint n_steps from f where k > 0 group by all""",
-}
+ORACLE: dict[str, str] = {}
 
 QUERIES = {
-    "gmm_thresholds": gmm_thresholds, "states": states, "changepoints": changepoints, "bootstrap": bootstrap, "controller": controller, "tuned_limits": tuned_limits,
+    "gmm_thresholds": gmm_thresholds, "changepoints": changepoints, "bootstrap": bootstrap,
     "permutation": permutation,
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chronic, cohorts, inference, models, records
+from . import alignment, chronic, cohorts, control, inference, models, records
 
-PARTS = [chronic, cohorts, models, records, inference]
+PARTS = [chronic, cohorts, models, control, alignment, records, inference]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,21 +10,37 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Samples that a series of the test tables has at most on average, and the least number of subjects.
+SAMPLES, SUBJECTS = 32_768, 8
+
+
+def event_keys(events: DataFrame) -> DataFrame:
+    """Add subject and hemisphere: users are dealt to subjects, of whom there are more the more events there are, so that a series is
+    as long as a device's memory allows and no longer. The count is read from the files' footers."""
+    subjects = max(SUBJECTS, -(-events.count() // (2 * SAMPLES)))
+    return events.withColumns({
+        "subject": F.floor(F.col("user_id") / 2).cast("long") % subjects,
+        "hemisphere": F.when(F.col("user_id") % 2 == 0, "Left").otherwise("Right"),
+    })
+
+
+#: The same as DuckDB SQL, by the name of keyed.
+EVENT_KEYS_SQL = f"""keyed as (select *, floor(user_id/2)::bigint % (select greatest({SUBJECTS}, ceil(count(*)/{2 * SAMPLES}))::bigint from events) as subject,
+ case when user_id%2=0 then 'Left' else 'Right' end as hemisphere from events)"""
+
+
 def raw_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject, hemisphere, t, lfp_raw, row_ord): a negative value is one that the device censored."""
-    e = read(spark, sf_dir, "events")
-    return e.select(
-        F.floor(F.col("user_id") / 2).cast("long").__mod__(8).alias("subject"),
-        F.when(F.col("user_id") % 2 == 0, "Left").otherwise("Right").alias("hemisphere"),
-        F.col("ts").cast("timestamp").alias("t"),
+    return event_keys(read(spark, sf_dir, "events")).select(
+        "subject", "hemisphere", F.col("ts").cast("timestamp").alias("t"),
         F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value")).alias("lfp_raw"),
         F.col("event_id").alias("row_ord"),
-    )
+    )
 
 
 #: The same table as DuckDB SQL.
-RAW_TIMELINE_SQL = """raw as (select floor(user_id/2)::bigint % 8 as subject, case when user_id%2=0 then 'Left' else 'Right' end as hemisphere,
- ts as t, case when event_type='error' then -value else value end as lfp_raw, event_id as row_ord from events)"""
+RAW_TIMELINE_SQL = EVENT_KEYS_SQL + """,
+raw as (select subject, hemisphere, ts as t, case when event_type='error' then -value else value end as lfp_raw, event_id as row_ord from keyed)"""
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,17 +56,13 @@ tl as (select subject, hemisphere, t, row_ord, case when lfp_raw < 0 then null e
 
 def marks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """(subject, hemisphere, t, row_ord) of the events of one type."""
-    e = read(spark, sf_dir, "events").where(F.col("event_type") == kind)
-    return e.select(
-        F.floor(F.col("user_id") / 2).cast("long").__mod__(8).alias("subject"),
-        F.when(F.col("user_id") % 2 == 0, "Left").otherwise("Right").alias("hemisphere"),
-        F.col("ts").cast("timestamp").alias("t"), F.col("event_id").alias("row_ord"),
-    )
+    e = event_keys(read(spark, sf_dir, "events")).where(F.col("event_type") == kind)
+    return e.select("subject", "hemisphere", F.col("ts").cast("timestamp").alias("t"), F.col("event_id").alias("row_ord"))
 
 
 def marks_sql(name: str, kind: str) -> str:
-    return f"""{name} as (select floor(user_id/2)::bigint % 8 as subject, case when user_id%2=0 then 'Left' else 'Right' end as hemisphere,
- ts as t, event_id as row_ord from events where event_type='{kind}')"""
+    """The same as DuckDB SQL, after TIMELINE_SQL."""
+    return f"{name} as (select subject, hemisphere, ts as t, event_id as row_ord from keyed where event_type='{kind}')"
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
