@@ -595,3 +595,17 @@ def test_pipeline(spark, docs, tmp_path, benchmark_table):
         now = spark.read.parquet(f"{tmp_path}/{i}")
         assert now.columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_wrapped_paragraphs(spark):
+    """Paragraphs of short lines that are wrapped at different columns, one of them edited, are found as blocks; the lines of a
+    block that is the first of its kind stay."""
+    def wrap(words, n):
+        return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+    body = prose(900, 120).split()
+    edited = [*body[:60], "99", *body[61:]]
+    texts = ["one two\n\n" + wrap(body, 7) + "\n \nlast words", wrap(edited, 9), wrap(prose(901, 90).split(), 8), "x y\n" + "\n".join([prose(902, 40)] * 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["removed"]] for r in passage_dedup.passage_report(df).collect()}
+    assert got == {0: [], 1: [(0, 120)], 2: [], 3: [(42, 122)]}

@@ -304,13 +304,18 @@ def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], perc
     return out
 
 
-def removals(marked: DataFrame, members: DataFrame) -> DataFrame:
-    """(row, pos, size): the places of MARKED that are not the first of their component, by doc_id (null first), row and pos."""
+def removals(marked: DataFrame, members: DataFrame, nested: bool = False) -> DataFrame:
+    """(row, pos, size): the places of MARKED that are not the first of their component, by doc_id (null first), row and pos.
+    Where units of a text may lie in one another (`nested`), those that overlap the first place stay with it; of units at
+    one place the longest is the first."""
     # units without keys are in no component; without them fewer rows meet the components
     firsts = marked.where("first and keys is not null").select("unit", "row", "doc_id", "pos", "size")
-    placed = firsts.join(members.withColumnRenamed("id", "unit"), "unit").withColumn("at", F.struct("doc_id", "row", "pos"))
+    placed = firsts.join(members.withColumnRenamed("id", "unit"), "unit").withColumn("at", F.struct("doc_id", "row", "pos", (-F.col("size")).alias("back")))
     keeper = placed.groupBy("component").agg(F.min("at").alias("keeper"))
-    similar = placed.join(keeper, "component").where("not (at <=> keeper)").select("row", "pos", "size")
+    stays = F.expr("at <=> keeper")
+    if nested:
+        stays = (F.col("row") == F.col("keeper.row")) & (F.col("pos") < F.col("keeper.pos") - F.col("keeper.back")) & (F.col("pos") + F.col("size") > F.col("keeper.pos"))
+    similar = placed.join(keeper, "component").where(~stays).select("row", "pos", "size")
     return marked.where("not first").select("row", "pos", "size").union(similar)
 
 

@@ -1,9 +1,11 @@
 """Paragraph MinHash banding.
 
-Paragraphs are the lines of a text. Each has minwise values of its five-word shingles in bands of three: shorter
-bands would make candidates of lines that share some stock phrases. As a passage may be set into other text with or without line breaks, there
-are also windows of words that begin at content-defined places: the same ones wherever the passage stands.
-These overlap and have no bands: equal ones repeat each other.
+Paragraphs are the lines of a text and, as paragraphs may be wrapped, its blocks of short lines that follow one
+another. Each has minwise values of its five-word
+shingles in bands of three: shorter bands would make candidates of paragraphs that share some stock phrases. As a
+passage may be set into other text with or without line breaks, there are also windows of words that begin at
+content-defined places: the same ones wherever the passage stands. These overlap and have no bands: equal ones repeat
+each other. Similar ones would not do, as a window that begins some words before a passage would take these with it.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ from .common import cut
 from .fuzzy import UNITS, Fresh, by_row, cluster, first_places, removals, unit_batch, wanted
 from .hashing import mix, runs, seeds, shingles, sliding_least, words
 
-#: Words of a window. A window begins before a word pair whose hash is the least among REACH to either side: every
+#: Words of a window. It begins before a word pair whose hash is the least among REACH to either side: every
 #: 2 REACH + 1 words on average, never within REACH words of another. Nearly every passage of over 50 words has one.
 WINDOW, REACH = 20, 8
-#: Lines of fewer words are no paragraphs: what repeats of them is the line deduplication's.
-LEAST = 20
+#: Lines and blocks of fewer words are no paragraphs. Lines of under WRAPPED words may be parts of one.
+LEAST, WRAPPED = 8, 20
 SHINGLE = 5
 #: Bands and minwise values of a band: at similarity 0.8 a pair collides with probability 0.993, at 0.9 with 0.9999.
 BANDS, ROWS = 7, 3
@@ -30,12 +32,16 @@ _SEEDS = seeds(BANDS * ROWS)
 _U = np.uint64
 
 
-def split(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, hash of each word, start of each word, first word of each \\n-split line with a word)."""
+def split(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, hash of each word, start of each word, first word of each \\n-split line with a word, whether it follows a blank line)."""
     data = text.encode("utf-8", "surrogatepass")
     h, start, _ = words(data)
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-    return data, h, start, np.unique(np.searchsorted(start, np.concatenate([[0], breaks])))
+    # a line without words has the first word of the next one
+    edge, times = np.unique(np.searchsorted(start, np.concatenate([[0], breaks])), return_counts=True)
+    opens = times > 1
+    opens[:1] = True
+    return data, h, start, edge[edge < len(h)], opens[edge < len(h)]
 
 
 def places(h: np.ndarray) -> np.ndarray:
@@ -51,11 +57,17 @@ def places(h: np.ndarray) -> np.ndarray:
     return at[at + WINDOW <= n]
 
 
-def lines(h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of the lines that are compared, from the first words of all lines."""
-    edge = edge[edge < len(h)]
-    size = np.diff(np.append(edge, len(h)))
-    return edge[size >= LEAST], size[size >= LEAST]
+def paragraphs(h: np.ndarray, edge: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of what is compared by bands: lines, and blocks of two and more short lines without a blank one between."""
+    line = np.diff(np.append(edge, len(h)))
+    long = line >= WRAPPED
+    opens = opens | long
+    opens[1:] |= long[:-1]
+    first = np.flatnonzero(opens)
+    several = np.diff(np.append(first, len(edge))) > 1
+    whole = np.diff(np.append(edge[first], len(h)))
+    start, size = np.concatenate([edge, edge[first[several]]]), np.concatenate([line, whole[several]])
+    return start[size >= LEAST], size[size >= LEAST]
 
 
 def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -74,14 +86,16 @@ def numbers(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def bands(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bands of paragraphs, from minwise values over stretches of the text's shingles."""
     if not len(start):
         return np.zeros((0, BANDS), np.int64)
-    n = size - SHINGLE + 1
-    own, edge = runs(h, SHINGLE)[_flat(start, n)], np.cumsum(n) - n
-    least = [np.minimum.reduceat(own * (s | _U(1)) + s, edge) for s in _SEEDS]
+    own = np.append(runs(h, SHINGLE), _U(0))
+    ends = np.stack([start, start + size - SHINGLE + 1], axis=1).ravel()
     out = np.zeros((len(start), BANDS), np.uint64)
-    for k, value in enumerate(least):
-        out[:, k // ROWS] = mix(out[:, k // ROWS] + value + _U(k // ROWS))
+    for k, s in enumerate(_SEEDS):
+        value = own * (s | _U(1))
+        value += s
+        out[:, k // ROWS] = mix(out[:, k // ROWS] + np.minimum.reduceat(value, ends)[::2] + _U(k // ROWS))
     return out.view(np.int64)
 
 
@@ -96,8 +110,8 @@ def _units(rows: DataFrame) -> DataFrame:
                 continue
             found = []
             for t in b.column(2):
-                _, h, _, edge = split(t.as_py())
-                (start, size), window = lines(h, edge), places(h)
+                _, h, _, edge, opens = split(t.as_py())
+                (start, size), window = paragraphs(h, edge, opens), places(h)
                 window = window[~np.isin(window, start[size == WINDOW])]  # a line that is a window comes once
                 all_start, all_size = np.concatenate([start, window]), np.concatenate([size, np.full(len(window), WINDOW)])
                 keys = np.concatenate([bands(h, start, size), np.zeros((len(window), BANDS), np.int64)])
@@ -112,15 +126,15 @@ def _units(rows: DataFrame) -> DataFrame:
 
 
 def _content(batches, maybe):
-    """(id, text) of batches of texts: the lines whose number may be wanted."""
+    """(id, text) of batches of texts: the paragraphs whose number may be wanted."""
     import pyarrow as pa
 
     fresh = Fresh()
     for b in batches:
         ids, texts = [], []
         for t in b.column(0):
-            data, h, word, edge = split(t.as_py())
-            start, size = lines(h, edge)
+            data, h, word, edge, opens = split(t.as_py())
+            start, size = paragraphs(h, edge, opens)
             number, stop = numbers(h, start, size), np.append(word, len(data))
             for i in fresh(np.flatnonzero(maybe(number)), number):
                 ids.append(int(number[i]))
@@ -129,22 +143,23 @@ def _content(batches, maybe):
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(marked, gone): all compared paragraphs with their first places, and (row, pos, size) of those that are equal or
-    similar to an earlier one. Paragraphs are numbered by 64-bit hashes."""
+    """(marked, gone): the compared paragraphs with their first places, without windows that nothing repeats, and (row, pos,
+    size) of those that are equal or similar to an earlier one. Paragraphs are numbered by 64-bit hashes."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    marked = cut(first_places(_units(rows)), "paragraphs")
+    # of units without bands only repeats go on
+    marked = cut(first_places(_units(rows)).where("unit is null or not first or keys is not null"), "paragraphs")
     texts = rows.select("text")
     members = cluster(marked.where("first and keys is not null").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(texts, ids, _content), percent, partial(shingles, size=SHINGLE))
-    return marked, removals(marked, members)
+    return marked, removals(marked, members, nested=True)
 
 
 def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(doc_id, n_paragraphs, n_removed, removed_words, removed) for each row of docs: how many of its paragraphs
     repeat, and the words (start, end) that go with them.
 
-    Lines are similar if their sets of five-word shingles (lower case for A-Z) have an intersection of at
-    least `percent` % of their union, windows if they are equal; paragraphs belong together if similar ones
-    lead from one to the other. The first place of a component, by doc_id (null first), row and word, stays.
+    Lines and blocks of short lines are similar if their sets of five-word shingles (lower case for A-Z) have an intersection
+    of at least `percent` % of their union, windows if they are equal; paragraphs belong together if similar ones lead
+    from one to the other. The first place of a component, by doc_id (null first), row and word, stays.
     Lines and texts of fewer than LEAST words are left alone; a null or empty text has no paragraphs. Repeated rows are texts of their own.
     An empty table gives no rows; other columns don't pass. Texts are hashed whole, one at a time.
     """
