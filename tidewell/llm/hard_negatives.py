@@ -217,7 +217,8 @@ class Index:
                 columns = [np.concatenate(c) if parts else np.zeros(0, np.int64) for c in (zip(*parts, strict=True) if parts else [()] * 4)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "w", "id", "score"])
 
-        return self._packs(queries, first).join(self.blocks, "cell").mapInArrow(run, "anchor long, w long, id long, score long")
+        # packs are much larger than the anchors they come from, by which their size would be guessed: never broadcast
+        return self._packs(queries, first).hint("merge").join(self.blocks, "cell").mapInArrow(run, "anchor long, w long, id long, score long")
 
     def first_rows(self, queries: DataFrame, k: int, same: bool) -> DataFrame:
         """(anchor, w, rank, id, score): the first k rows, by falling score, then id, of every window of `queries` (anchor, label,
