@@ -122,7 +122,8 @@ def wake_percentiles(series: DataFrame, keys: list[str] | None = None, begin: fl
 
     keys = keys or KEYS
     x = series.where(F.col("lfp").isNotNull() & in_hours(local_hour(F.col("t"), offset), begin, end)).withColumn("day", local_day(F.col("t"), offset))
-    x = x.withColumn("age", F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col("day").desc()))).where(F.col("age") <= last_days)
+    days = x.select(*keys, "day").distinct().withColumn("age", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("day").desc())))
+    x = x.join(days.where(F.col("age") <= last_days).select(*keys, "day"), [*keys, "day"], "left_semi")
     p = F.expr("percentile(lfp, array(0.25, 0.5, 0.75))")
     daily = x.groupBy(*keys, "day").agg(p.alias("p"))
     pooled = x.groupBy(*keys).agg(p.alias("p"), F.count_distinct("day").alias("n_days"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import ratio, wilson
 
+from .ranges import by_ranges, running_sum
+
 
 def prevalence(rows: DataFrame, group: str, flag: str) -> DataFrame:
     """How many of each group, and (group null) of all, have a flag, with the score interval; `descriptive` if under five."""
@@ -47,14 +49,17 @@ def kappa(rows: DataFrame, a: str, b: str, least: int = 20) -> DataFrame:
     return m.select(n.cast("long").alias("n"), "tp", "tn", "fp", "fn", k.alias("kappa"), ratio(tp, tp + fn).alias("sensitivity"), ratio(tn, tn + fp).alias("specificity"))
 
 
-def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Rank correlation with averaged ranks of ties, for each group."""
+def mean_ranks(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """(by, value, name): the averaged rank of each value of a group. Counts of values are summed up over ranges of them: no task has a group."""
+    n = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    n = running_sum(by_ranges(n, by, [value]), by, [value], F.col("_n"), "_upto")
+    return n.select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
 
-    def ranked(c: str):
-        w = Window.partitionBy(*by).orderBy(c)
-        return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
 
-    r = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"rx": ranked(x), "ry": ranked(y)})
+def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """Rank correlation with averaged ranks of ties, for each group."""
+    r = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    r = r.join(mean_ranks(r, x, by, "rx"), [*by, x]).join(mean_ranks(r, y, by, "ry"), [*by, y])
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
@@ -67,10 +72,11 @@ def histogram(rows: DataFrame, value: str, by: list[str], bins: int = 40) -> Dat
 
 
 def ecdf(rows: DataFrame, value: str, by: list[str], order: str = "row_ord") -> DataFrame:
-    """Sorted values of each group with their share i / n; ties keep their own places."""
-    w = Window.partitionBy(*by)
-    x = rows.where(F.col(value).isNotNull())
-    return x.select(*by, order, value, (F.row_number().over(w.orderBy(value, order)) / F.count("*").over(w)).alias("p"))
+    """Sorted values of each group with their share i / n; ties keep their own places. Places are counted over ranges of values."""
+    x = rows.where(F.col(value).isNotNull()).select(*by, order, value)
+    placed = running_sum(by_ranges(x, by, [value, order]), by, [value, order], F.lit(1), "_i")
+    n = x.groupBy(*by).agg(F.count("*").alias("_n"))
+    return placed.join(n, by).select(*by, order, value, (F.col("_i") / F.col("_n")).alias("p"))
 
 
 def bimodality(rows: DataFrame, value: str, by: list[str]) -> DataFrame:

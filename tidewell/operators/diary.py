@@ -55,13 +55,14 @@ def dose_cycle(series: DataFrame, doses: DataFrame, keys: list[str] | None = Non
     """(keys, n_doses, delta, passes): the mean of log10(lfp + 1) from 10 to 90 minutes after doses less that from 90 to 10 before, over
     the means of steps of 10 minutes, three of each side at least; it passes where it falls.
 
-    Samples meet doses by hours of time: each sample goes to the hours before, of and after its own.
+    Samples meet doses by hours of time: each dose, of which there are few, goes to the two hours before, of and after its own.
     """
     keys = keys or KEYS
     hour = 3_600_000_000
     s = series.where("lfp is not null").select(*keys, F.unix_micros("t").alias("us"), F.log10(F.col("lfp") + 1).alias("x"))
-    s = s.withColumn("h", F.explode(F.transform(F.array(*[F.lit(i) for i in range(-2, 3)]), lambda i: F.expr(f"us div {hour}") + i)))
-    d = doses.select(*keys, F.unix_micros("t").alias("at"), F.expr(f"unix_micros(t) div {hour}").alias("h"))
+    s = s.withColumn("h", F.expr(f"us div {hour}"))
+    own = F.expr(f"unix_micros(t) div {hour}")
+    d = doses.select(*keys, F.unix_micros("t").alias("at"), F.explode(F.transform(F.array(*[F.lit(i) for i in range(-2, 3)]), lambda i: own + i)).alias("h"))
     minutes = (F.col("us") - F.col("at")) / 60e6
     x = s.join(d, [*keys, "h"]).withColumn("m", minutes).where("m between -95 and 95")
     b = F.least(F.lit(18), F.greatest(F.lit(0), F.floor((F.col("m") + 90) / 10 + 0.5)))

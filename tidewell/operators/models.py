@@ -32,84 +32,131 @@ class Lcg:
         return self.s / 2**32
 
 
-def two_means(x: np.ndarray, turns: int = 60) -> tuple[float, float]:
-    """Centres of two clusters on a line, started at the quartiles."""
-    a, b = np.quantile(x, 0.25), np.quantile(x, 0.75)
-    for _ in range(turns):
-        low = np.abs(x - a) <= np.abs(x - b)
-        if low.all() or not low.any():
+#: Most rounds of centres and of a mixture, the relative step of its likelihood at rest, the least variance; least waking samples,
+#: the separation above which two components count, the percentiles that stand in for them.
+CENTRE_TURNS, MIXTURE_TURNS, REST, LEAST_VARIANCE = 50, 300, 1e-9, 1e-8
+LEAST_WAKING, LEAST_SEPARATION, STAND_INS = 30, 2.0, (0.3, 0.7)
+
+
+class Counted:
+    """Sorted values of a series with the number of samples of each."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        order = np.argsort(values)
+        self.x, self.n = np.asarray(values, float)[order], np.asarray(counts, float)[order]
+        self.total = self.n.sum()
+        self._upto = np.cumsum(self.n)
+
+    def mean(self, weight: np.ndarray | float = 1.0) -> float:
+        w = self.n * weight
+        return float((w * self.x).sum() / w.sum())
+
+    def quantile(self, p: float) -> float:
+        at = p * (self.total - 1)
+        low, high = (self.x[np.searchsorted(self._upto, i, "right")] for i in (math.floor(at), math.ceil(at)))
+        return float(low + (at - math.floor(at)) * (high - low))
+
+    def centres(self) -> tuple[float, float]:
+        """Of two clusters, from the quartiles on; a value as near to both is the lower one's."""
+        a, b = self.quantile(0.25), self.quantile(0.75)
+        b = b if b > a else a + 1e-6
+        for _ in range(CENTRE_TURNS):
+            low = np.abs(self.x - a) <= np.abs(self.x - b)
+            if low.all() or not low.any():
+                break
+            last, (a, b) = (a, b), (self.mean(low), self.mean(~low))
+            if abs(a - last[0]) + abs(b - last[1]) < 1e-10:
+                break
+        return min(a, b), max(a, b)
+
+
+def log_normal(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    return -0.5 * (np.log(2 * np.pi * var) + (x[:, None] - mean) ** 2 / var)
+
+
+def one_normal(c: Counted) -> float:
+    """The BIC of one component."""
+    mean = c.mean()
+    var = max(LEAST_VARIANCE, float((c.n * (c.x - mean) ** 2).sum() / c.total))
+    return -2 * float((c.n * log_normal(c.x, np.array([mean]), np.array([var]))[:, 0]).sum()) + 2 * math.log(c.total)
+
+
+def two_normals(c: Counted) -> dict:
+    """Two components by expectation maximisation from the clusters' centres, in the order of their means, with the BIC."""
+    mean, weight = np.array(c.centres()), np.array([0.5, 0.5])
+    var = np.full(2, max(1e-6, (c.quantile(0.75) - c.quantile(0.25)) ** 2 / 8))
+    last = -math.inf
+    for _ in range(MIXTURE_TURNS):
+        each = np.log(weight) + log_normal(c.x, mean, var)
+        top = each.max(axis=1)
+        both = top + np.log(np.exp(each - top[:, None]).sum(axis=1))
+        now = float((c.n * both).sum())
+        share = c.n[:, None] * np.exp(each - both[:, None])
+        mass = share.sum(axis=0)
+        if (mass < 1e-6).any():
             break
-        a2, b2 = x[low].mean(), x[~low].mean()
-        if a2 == a and b2 == b:
+        mean = share.T @ c.x / mass
+        var = np.maximum(LEAST_VARIANCE, (share * (c.x[:, None] - mean) ** 2).sum(axis=0) / mass)
+        weight = mass / c.total
+        rest, last = abs(now - last) < REST * abs(now), now
+        if rest:
             break
-        a, b = a2, b2
-    return float(a), float(b)
-
-
-def mixture(x: np.ndarray, k: int, turns: int = 300) -> dict:
-    """One or two normal components by expectation maximisation from a deterministic start, with the BIC."""
-    n, floor = len(x), max(1e-6, 1e-3 * x.std())
-    if k == 1:
-        mean, sd, weight = np.array([x.mean()]), np.array([max(x.std(), floor)]), np.array([1.0])
-    else:
-        a, b = two_means(x)
-        low = np.abs(x - a) <= np.abs(x - b)
-        mean = np.array([a, b])
-        sd = np.array([max(x[low].std(), floor) if low.any() else floor, max(x[~low].std(), floor) if (~low).any() else floor])
-        weight = np.clip(np.array([low.mean(), 1 - low.mean()]), 1e-3, 1)
+    order = np.argsort(mean, kind="stable")
+    return {"mean": mean[order], "sd": np.sqrt(var[order]), "weight": weight[order], "bic": -2 * last + 5 * math.log(c.total)}
 
-    def densities():
-        return weight * np.exp(-0.5 * ((x[:, None] - mean) / sd) ** 2) / (sd * math.sqrt(2 * math.pi))
 
-    last = -math.inf
-    for _ in range(turns if k > 1 else 0):
-        d = densities()
-        total = d.sum(axis=1) + 1e-300
-        now = float(np.log(total).sum())
-        r = d / total[:, None]
-        mass = r.sum(axis=0) + 1e-12
-        weight, mean = mass / n, (r * x[:, None]).sum(axis=0) / mass
-        sd = np.maximum(np.sqrt((r * (x[:, None] - mean) ** 2).sum(axis=0) / mass), floor)
-        if abs(now - last) < 1e-8 * abs(now):
-            break
-        last = now
-    loglik = float(np.log(densities().sum(axis=1) + 1e-300).sum())
-    order = np.argsort(mean)
-    return {"mean": mean[order], "sd": sd[order], "weight": weight[order], "bic": (3 * k - 1) * math.log(n) - 2 * loglik}
+def crossing(g: dict) -> float | None:
+    """Where the weighted densities of two components are equal, between their means: a root of the difference of their logarithms, a parabola."""
+    (m1, m2), (s1, s2), (w1, w2) = g["mean"], g["sd"], g["weight"]
+    p, q = 0.5 / s1**2, 0.5 / s2**2
+    roots = np.roots([q - p, 2 * (p * m1 - q * m2), q * m2**2 - p * m1**2 + math.log(w1 * s2 / (w2 * s1))])
+    inside = [float(r.real) for r in roots if abs(r.imag) < 1e-9 and m1 < r.real < m2]
+    return min(inside) if inside else None
 
 
-def thresholds(x: np.ndarray) -> tuple[str, float, float, float, float]:
+def thresholds(c: Counted) -> tuple[str, float, float, float, float]:
     """(method, lower, upper, separation, BIC gain) proposed for log10 powers: from two components where they fit better and lie
-    apart, else from the 30th and 70th percentiles."""
-    one, two = mixture(x, 1), mixture(x, 2)
-    d = math.sqrt(2) * abs(two["mean"][1] - two["mean"][0]) / math.hypot(*two["sd"])
-    gain = one["bic"] - two["bic"]
-    if gain > 0 and d > 2:
-        lower = two["mean"][0] + 0.5 * two["sd"][0]
-        at = np.linspace(two["mean"][0], two["mean"][1], 2001)
-        dens = two["weight"] * np.exp(-0.5 * ((at[:, None] - two["mean"]) / two["sd"]) ** 2) / two["sd"]
-        upper = at[int(np.argmin(np.abs(dens[:, 0] - dens[:, 1])))]
-        if lower < upper:
-            return "bimodal", float(lower), float(upper), d, gain
-    return "percentile", float(np.quantile(x, 0.3)), float(np.quantile(x, 0.7)), d, gain
-
-
-def propose_thresholds(series: DataFrame, keys: list[str] | None = None, least: int = 50) -> DataFrame:
-    """(keys, n, method, lower, upper, separation, bic_gain, reason) from log10(1 + lfp) of each series."""
+    apart, else from percentiles."""
+    two = two_normals(c)
+    apart = math.sqrt(2) * abs(two["mean"][1] - two["mean"][0]) / math.hypot(*two["sd"])
+    gain = one_normal(c) - two["bic"]
+    method = "percentile"
+    if gain > 0 and apart > LEAST_SEPARATION:
+        lower, upper = float(two["mean"][0] + 0.5 * two["sd"][0]), crossing(two)
+        if upper is not None and lower < upper:
+            return "bimodal", lower, upper, apart, gain
+        method = "percentile_without_crossing"
+    return method, c.quantile(STAND_INS[0]), c.quantile(STAND_INS[1]), apart, gain
+
+
+def propose_thresholds(series: DataFrame, keys: list[str] | None = None, least: int = LEAST_WAKING) -> DataFrame:
+    """(keys, n, method, lower, upper, lower_log, upper_log, separation, bic_gain, reason) of the waking samples of each series: limits in whole units of
+    power, at least one apart, from log10(1 + lfp).
+
+    Equal values are counted together: what a task holds of a series is its different values, of which a device's resolution leaves at most some
+    tens of thousands, however long the series is.
+    """
     keys = keys or KEYS
-    x = series.where("lfp is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.log10(1 + F.col("lfp")))).alias("x"))
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        v = np.asarray(b["x"].iloc[0], float)
-        head = [b[k].iloc[0] for k in keys]
-        if len(v) < least or v.std() == 0:
-            return pd.DataFrame([[*head, len(v), None, None, None, None, None, "too_few" if len(v) < least else "constant"]], columns=names)
-        m, lo, hi, d, g = thresholds(v)
-        return pd.DataFrame([[*head, len(v), m, 10**lo - 1, 10**hi - 1, d, g, None]], columns=names)
-
-    names = [*keys, "n", "method", "lower", "upper", "separation", "bic_gain", "reason"]
+    counts = series.where("lfp is not null").groupBy(*keys, "lfp").agg(F.count("*").alias("k"))
+    x = counts.groupBy(*keys).agg(F.sum("k").alias("n"), F.collect_list(F.struct(F.log10(1 + F.col("lfp")).alias("v"), "k")).alias("c"))
+    x = x.select(*keys, "n", F.col("c.v").alias("v"), F.col("c.k").alias("k"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                head = [*[getattr(r, k) for k in keys], r.n]
+                if r.n < least or len(r.v) < 2:
+                    out.append([*head, *[None] * 7, "too_few" if r.n < least else "constant"])
+                    continue
+                m, lo, hi, apart, gain = thresholds(Counted(np.asarray(r.v), np.asarray(r.k)))
+                lower, upper = (float(max(0, math.floor(10**v - 1 + 0.5))) for v in (lo, hi))
+                out.append([*head, m, lower, max(upper, lower + 1), lo, hi, apart, gain, None])
+            yield pd.DataFrame(out, columns=names)
+
+    names = [*keys, "n", "method", "lower", "upper", "lower_log", "upper_log", "separation", "bic_gain", "reason"]
     kinds = ", ".join(f"{k} {t}" for k, t in series.select(*keys).dtypes)
-    return x.groupBy(*keys).applyInPandas(run, f"{kinds}, n long, method string, lower double, upper double, separation double, bic_gain double, reason string")
+    return x.mapInPandas(run, f"{kinds}, n long, method string, lower double, upper double, lower_log double, upper_log double, separation double, bic_gain double, reason string")
 
 
 def cut_points(y: np.ndarray, least: int = 3, permutations: int = 500, alpha: float = 0.05, most: int = 8, seed: int = SEED) -> list[tuple[int, float, float]]:

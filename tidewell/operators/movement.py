@@ -15,9 +15,9 @@ DURATIONS = (200, 350, 500, 650, 800)
 
 
 def zscore_epochs(samples: DataFrame, scope: list[str]) -> DataFrame:
-    """samples (v) with `z`: by mean and deviation of the scope, a record or a session; null without spread."""
-    w = Window.partitionBy(*scope)
-    return samples.withColumn("z", ratio(F.col("v") - F.avg("v").over(w), F.nullif(F.stddev_samp("v").over(w), F.lit(0.0))))
+    """samples (v) with `z`: by mean and deviation of the scope, a record or a session; null without spread. The scope's keys aren't null."""
+    m = samples.groupBy(*scope).agg(F.avg("v").alias("_m"), F.nullif(F.stddev_samp("v"), F.lit(0.0)).alias("_sd"))
+    return samples.join(m, scope).withColumn("z", ratio(F.col("v") - F.col("_m"), F.col("_sd"))).drop("_m", "_sd")
 
 
 def band_of(f: Column) -> Column:
@@ -60,9 +60,12 @@ def movement_change(pairs: DataFrame, by: list[str], bands: dict[str, tuple[floa
 
 
 def sign_flip_test(diffs: DataFrame, by: list[str], most: int = 20) -> DataFrame:
-    """(by, n, mean, t, p, least_p): exact test of paired differences `d` by all 2^n signs, for 2 to `most` of them; t beside it."""
-    m = diffs.where("d is not null").groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.sort_array(F.collect_list("d")).alias("all")).where("n >= 2")
-    flips = m.where(F.col("n") <= most).select(*by, "n", "all", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2), F.col("n")) - 1).cast("int"))).alias("mask"))
+    """(by, n, mean, t, p, least_p): exact test of paired differences `d` by all 2^n signs, for 2 to `most` of them; t beside it. Only
+    groups of up to `most` are gathered."""
+    d = diffs.where("d is not null")
+    m = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd")).where("n >= 2")
+    few = d.join(m.where(F.col("n") <= most).select(*by, "n"), by).groupBy(*by, "n").agg(F.sort_array(F.collect_list("d")).alias("all"))
+    flips = few.select(*by, "n", "all", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2), F.col("n")) - 1).cast("int"))).alias("mask"))
     total = F.expr("aggregate(transform(all, (x, i) -> if((shiftright(mask, i) & 1) = 1, -x, x)), 0D, (s, x) -> s + x)")
     own = F.expr("aggregate(all, 0D, (s, x) -> s + x)")
     p = flips.groupBy(*by).agg((F.count_if(F.abs(total / F.col("n")) >= F.abs(own / F.col("n")) - 1e-12) / F.count("*")).alias("p"))

@@ -228,7 +228,7 @@ def movement_change(spark: SparkSession, d: str) -> DataFrame:
 
 def sign_flip(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("d"))
-    return rounded(movement.sign_flip_test(x, ["nation"], 12))
+    return rounded(movement.sign_flip_test(x, ["nation"]))
 
 
 def band_ratios(spark: SparkSession, d: str) -> DataFrame:
@@ -392,7 +392,7 @@ q as (select *, (m-r)/r total, ((bm/m)-(br/r))/(br/r) rb, ((tm/m)-(tr/r))/(tr/r)
  when abs(total) >= 0.05 then 'mixed' else 'none' end verdict from q)
 select unit, round(total, 6) total, verdict, 'beta' band, round((bm-br)/br, 6) change, round(rb, 6) relative from v union all select unit, round(total, 6), verdict, 'theta', round((tm-tr)/tr, 6), round(rt, 6) from v""",
     "sign_flip": """with m as (select s_nationkey nation, count(*) n, avg(s_acctbal) me, stddev_samp(s_acctbal) sd, list(s_acctbal order by s_acctbal) a from supplier group by all having count(*) >= 2),
-f as (select nation, n, a, unnest(generate_series(0, (pow(2, n)-1)::int)) k from m where n <= 12), s as (select nation, n, abs(list_sum(list_transform(a, lambda x, i: case when (k >> (i-1)::int) & 1 = 1 then -x else x end))/n) t, abs(list_sum(a)/n) o from f),
+f as (select nation, n, a, unnest(generate_series(0, (pow(2, n)-1)::int)) k from m where n <= 20), s as (select nation, n, abs(list_sum(list_transform(a, lambda x, i: case when (k >> (i-1)::int) & 1 = 1 then -x else x end))/n) t, abs(list_sum(a)/n) o from f),
 p as (select nation, count(*) filter (t >= o - 1e-12)/count(*)::double p from s group by all) select nation, n, round(me, 6) mean, round(me/(nullif(sd, 0)/sqrt(n)), 6) t, round(p, 6) p, round(2/pow(2, n), 6) least_p from m left join p using (nation)""",
     "band_ratios": f"""with {TIMELINE_SQL}, x as (select subject, hemisphere, epoch_us(date_trunc('hour', t)) as "window", avg(lfp) a, max(lfp)+1 g, min(lfp)+1 b from tl where lfp is not null group by all),
 y as (select *, case when a > 0 then log10(a) end la, log10(g) lg, log10(b) lb from x), z as (select *, (la-avg(la) over w)/nullif(stddev_samp(la) over w, 0) za, (lg-avg(lg) over w)/nullif(stddev_samp(lg) over w, 0) zg, (lb-avg(lb) over w)/nullif(stddev_samp(lb) over w, 0) zb,

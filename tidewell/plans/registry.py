@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chronic, cohorts, control, inference, models, records
+from . import alignment, chronic, cohorts, control, inference, models, provenance, quality, records, responses, signals
 
-PARTS = [chronic, cohorts, models, control, alignment, records, inference]
+PARTS = [chronic, cohorts, models, control, alignment, records, inference, responses, provenance, quality, signals]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
