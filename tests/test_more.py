@@ -77,10 +77,10 @@ def test_planted_curves(spark):
     assert got["flat"]["n"] == 5 and got["flat"]["r2"] is None
     # the same by rounds over all groups
     own = [r for r in rows if r[0] == "sigmoid"]
-    levels = spark.createDataFrame([("s", r[1], 1, r[2], 0.0) for r in own], "g string, x double, n long, y double, within double")
+    levels = spark.createDataFrame([("s", r[1], 1, r[2] + 0.1 * math.sin(7 * i), 0.0) for i, r in enumerate(own)], "g string, x double, n long, y double, within double")
     start = spark.createDataFrame([("s", "inverse_sigmoid", [25.0, 0.5, 2.0, 8.0])], "g string, model string, trial array<double>")
     ways = [fits.fit_curves(levels, start, ["g"], few=few).first() for few in (0, 100)]
-    assert all(w["converged"] or w["error"] < 1e-20 for w in ways) and [list(w["p"]) for w in ways] == [pytest.approx([25, 3.1, 1.7, 8], abs=1e-6)] * 2
+    assert all(w["converged"] for w in ways) and list(ways[0]["p"]) == pytest.approx(list(ways[1]["p"]), abs=1e-6) and list(ways[0]["p"]) == pytest.approx([25, 3.1, 1.7, 8], abs=0.3)
 
 
 # --- manifests
@@ -215,3 +215,20 @@ def test_thresholds_of_planted_states(spark):
     assert 1.4 < x < 1.6
     equal = {"mean": np.array([0.0, 1.0]), "sd": np.array([1.0, 1.0]) * 0.2, "weight": np.array([0.5, 0.5])}
     assert crossing(equal) == pytest.approx(0.5)
+
+
+# --- names
+
+
+def test_channel_names(spark):
+    from tidewell.operators import device
+
+    names = {
+        "ZERO_THREE_LEFT": ("03", ["0", "3"]), "ONE_AND_THREE_RIGHT": ("1-3", ["1", "3"]), "ONE_C_AND_TWO_C_LEFT": ("1c-2c", ["1c", "2c"]), "ZERO_A_AND_TWO_LEFT_RING": ("0a-2", ["0a", "2"]),
+        "SensingChannelDef.TWO_B_AND_TWO_B_RIGHT_SEGMENT": ("SensingChannelDef.2b-2b", ["2b"]), "0-3": ("0-3", ["0", "3"]), "1c-2c": ("1c-2c", ["1c", "2c"]), "other": ("other", []), "02": ("02", []), "ZERO_AND_RING": ("0-RING", ["0"]),
+    }
+    df = spark.createDataFrame([(n,) for n in names], "c string")
+    got = {r["c"]: (r["l"], r["k"]) for r in df.select("c", device.channel_label(F.col("c")).alias("l"), device.channel_contacts(F.col("c")).alias("k")).collect()}
+    assert got == names
+    e = spark.createDataFrame([("ElectrodeDef.SenSight_ZERO",), ("SENSIGHT_1a",), ("ElectrodeDef.Case",), ("THREE",)], "e string").select(device.electrode_name(F.col("e"))).collect()
+    assert [r[0] for r in e] == ["ZERO", "1a", "Case", "THREE"]

@@ -73,35 +73,50 @@ def lead_model(model: Column) -> Column:
     return out
 
 
+#: The sides and the kinds of electrodes that end a channel's name, and the family that begins an electrode's.
+SIDES, SHAPES, FAMILY = ("LEFT", "RIGHT"), ("RING", "SEGMENT"), "sensight"
+
+
+def _lookup(words: dict[str, str], c: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), c)
+
+
+def _parts(name: Column) -> Column:
+    """The parts of a channel's name between underscores, without the side and the shape at its end."""
+    parts = F.split(name, "_")
+    last, before = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
+    ends = F.when(F.upper(last).isin(*SHAPES) & F.upper(before).isin(*SIDES), 2).when(F.upper(last).isin(*SIDES), 1).otherwise(0)
+    return F.slice(parts, F.lit(1), F.size(parts) - ends)
+
+
+def _after_level(parts: Column, i: Column) -> Column:
+    """Whether a part is a segment's letter behind a level's word."""
+    return F.get(parts, i).isin("A", "B", "C") & F.coalesce(_lookup(DIGITS, F.get(parts, i - 1)).isNotNull(), F.lit(False))
+
+
 def electrode_name(name: Column) -> Column:
-    """The last part of an electrode's name, without the family's prefix."""
-    return F.regexp_replace(F.element_at(F.split(name, "\\."), -1), "(?i)^SenSight_?", "")
+    """The last part of an electrode's name, without the family that it begins with."""
+    own = F.element_at(F.split(name, "\\."), -1)
+    return F.when(F.lower(own).startswith(FAMILY), F.ltrim(F.substr(own, F.lit(len(FAMILY) + 1)), F.lit("_"))).otherwise(own)
 
 
 def channel_label(channel: Column) -> Column:
-    """ZERO_AND_TWO_LEFT as 0-2, with segments in lower case."""
-    s = F.regexp_replace(channel, "(?i)_(LEFT|RIGHT)(_RING|_SEGMENT)?$", "")
-    s = F.regexp_replace(F.regexp_replace(s, "_AND_", "-"), "_", "")
-    for word, digit in DIGITS.items():
-        s = F.regexp_replace(s, word, digit)
-    for big in "ABC":
-        s = F.regexp_replace(s, f"([0-3]){big}", f"$1{big.lower()}")
-    return s
+    """ZERO_AND_TWO_LEFT as 0-2: levels as digits, segments in lower case behind them, AND as a dash, other parts as they are. What stands before
+    the last point stays."""
+    names = F.split(channel, "\\.")
+    head, parts = F.slice(names, F.lit(1), F.size(names) - 1), _parts(F.element_at(names, -1))
+    said = F.transform(parts, lambda p, i: F.coalesce(_lookup({**DIGITS, "AND": "-"}, p), F.when(_after_level(parts, i), F.lower(p)), p))
+    return F.array_join(F.concat(head, F.array(F.array_join(said, ""))), ".")
 
 
 def channel_contacts(channel: Column) -> Column:
-    """The contacts that a channel's name refers to, each once, in their order; empty for an unknown form."""
-    s = F.regexp_replace(F.upper(channel), "^.*?DEF\\.", "")
-    s = F.regexp_replace(F.regexp_replace(s, "_(LEFT|RIGHT)(_RING|_SEGMENT)?$", ""), "_AND_", "|")
-    long = F.regexp_extract_all(s, F.lit("(?:ZERO|ONE|TWO|THREE)(?:_?[ABC](?![A-Z]))?"), F.lit(0))
-
-    def short(x: Column) -> Column:
-        for word, digit in DIGITS.items():
-            x = F.regexp_replace(x, word, digit)
-        return F.lower(F.regexp_replace(x, "_", ""))
-
-    brief = F.regexp_extract_all(F.lower(channel), F.lit("(?:^|[^0-9a-z])([0-3][abc]?)(?![0-9])"), F.lit(1))
-    return F.array_distinct(F.when(F.size(long) > 0, F.transform(long, short)).otherwise(brief))
+    """The contacts that a channel's name refers to, each once, in their order: a level's word with the segment's letter behind it, or in a label such
+    as 0-2 a digit with its letter; empty for an unknown form."""
+    parts = _parts(F.element_at(F.split(F.upper(channel), "\\."), -1))
+    level = lambda p, i: F.concat(_lookup(DIGITS, p), F.when(F.coalesce(_after_level(parts, i + 1), F.lit(False)), F.lower(F.get(parts, i + 1))).otherwise(""))
+    long = F.array_compact(F.transform(parts, level))
+    brief = F.filter(F.split(F.lower(channel), "[^0-9a-z]+"), lambda p: p.rlike("^[0-3][abc]?$"))
+    return F.array_distinct(F.when(F.size(long) > 0, long).otherwise(brief))
 
 
 def collect_thresholds(settings: DataFrame, snapshots: DataFrame, by: list[str]) -> DataFrame:

@@ -358,6 +358,7 @@ select subject, hemisphere, i, round(case when b-a > 21600000000 then null when
     "lead_names": """with x as (select p_partkey part, ['ZERO_TWO_LEFT','ONE_AND_THREE_RIGHT','ONE_C_AND_TWO_C_LEFT','ZERO_A_AND_TWO_LEFT_RING','SensingChannelDef.ZERO_AND_THREE_LEFT'][p_partkey % 5 + 1] c, p_partkey % 5 m from part)
 select part, case part % 5 when 0 then '02' when 1 then '1-3' when 2 then '1c-2c' when 3 then '0a-2' else 'SensingChannelDef.0-3' end as label, case m when 0 then 'B33005' when 1 then '3389' when 2 then 'B33015' when 4 then 'B33005' end model,
 case m when 0 then 350 when 2 then 350 when 4 then 350 else 250 end short_ohm, case when part % 5 = 4 then 'ZERO_AND_THREE_LEFT' else c end electrode from x""",
+    "channel_contacts": "select p_partkey part, ['0-2', '1-3', '1c-2c', '0a-2', '0-3'][p_partkey % 5 + 1] contacts from part",
     "collected_thresholds": f"""with {EVENT_KEYS_SQL}, {marks_sql('a0', 'signup')}, {marks_sql('b0', 'purchase')}, a as (select a0.*, value from a0 join events on event_id = row_ord where subject % 2 = 0), b as (select b0.*, value from b0 join events on event_id = row_ord),
 x as (select subject, hemisphere, arg_max(value, (t, row_ord)) v from a group by all), y as (select subject, hemisphere, arg_min(value, (t, row_ord)) v from b group by all)
 select coalesce(x.subject, y.subject) subject, coalesce(x.hemisphere, y.hemisphere) hemisphere, round(coalesce(x.v, y.v), 6) lower, round(2*coalesce(x.v, y.v), 6) upper from x full join y on x.subject = y.subject and x.hemisphere = y.hemisphere""",

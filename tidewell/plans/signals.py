@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.sources.adapters import TIMELINE_SQL, timeline
@@ -35,15 +35,16 @@ def folder(spark: SparkSession, d: str) -> str:
     return path
 
 
-SUBJECT = F.regexp_extract("file", r"subject=(\d+)/", 1).cast("long").alias("subject")
+def subject() -> Column:
+    return F.regexp_extract("file", r"subject=(\d+)/", 1).cast("long").alias("subject")
 
 
 def signal_files(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(Signals(spark, folder(spark, d)).files().select(SUBJECT, "*").drop("file"))
+    return rounded(Signals(spark, folder(spark, d)).files().select(subject(), "*").drop("file"))
 
 
 def signal_samples(spark: SparkSession, d: str) -> DataFrame:
-    x = Signals(spark, folder(spark, d)).samples().select(SUBJECT, "channel", "unit", "kind", "t_ms", "x")
+    x = Signals(spark, folder(spark, d)).samples().select(subject(), "channel", "unit", "kind", "t_ms", "x")
     return rounded(x.groupBy("subject", "channel", "unit", "kind").agg(F.count("*").alias("n"), F.count("x").alias("n_valid"), F.avg("x").alias("mean_x"), F.max("t_ms").alias("last_ms"), F.max_by("x", "t_ms").alias("last_x")))
 
 
