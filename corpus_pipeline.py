@@ -25,7 +25,7 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules; a null or empty text has too few words."""
+    """Documents that pass the quality rules; a null or empty text has too few words, one of over a million words too many."""
     return quality_filter(docs)
 
 
