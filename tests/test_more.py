@@ -131,6 +131,15 @@ def test_rules_say_what_was_not_checked(spark):
     assert rules.summary(found).orderBy("place").first()["check"] == "device_censoring"
 
 
+def test_eligibility(spark):
+    kinds = "rec int, has_peak boolean, has_signal boolean, pct_lost double, loss_known boolean, n_channels int, n_unstable int, state string, rate_hz double, pulse_us double, n_days int, n_points int, p_adjusted double, rhythm_share double"
+    rows = [(1, True, True, 0.0, True, 3, 0, "ON", 130.0, 60.0, 9, 900, 0.001, 0.2), (2, False, True, 12.0, True, 3, 3, "ON", 130.0, 60.0, 2, 200, 0.001, 0.2), (3, None, False, 12.0, True, None, None, "UNKNOWN", None, None, 9, 20, None, None), (4, True, True, 12.0, False, 3, 1, "ON", 80.0, 60.0, 4, 400, 0.2, 0.2)]
+    df = spark.createDataFrame(rows, kinds)
+    got = {r["rec"]: (r["verdict"], r["blockers"], r["missing"], r["reserves"]) for r in rules.eligibility(rules.findings(df, ["rec"], rules.ELIGIBILITY), ["rec"]).collect()}
+    assert got[1] == ("eligible", "", "", "") and got[2] == ("not_eligible", "artifact,chronic_days,peak,reproducibility", "", "")
+    assert got[3] == ("insufficient", "", "artifact,parameters,peak,reproducibility,rhythm", "") and got[4] == ("with_reserve", "", "", "chronic_days,parameters,reproducibility,rhythm")
+
+
 def test_reproducible_peaks(spark):
     rows = [("a", 20.0, 1.0, True), ("a", 20.5, 2.0, True), ("a", 21.0, 3.0, None), ("b", 20.0, 1.0, True), ("b", 21.5, 1.0, False), ("c", 20.0, 1.0, True), ("c", None, 1.0, True)]
     got = {r["c"]: r for r in rules.peak_reproducibility(spark.createDataFrame(rows, "c string, f double, magnitude double, flag boolean"), ["c"]).collect()}

@@ -187,5 +187,5 @@ def panel(series: DataFrame, keys: list[str] | None = None, offset: int = 0, lea
     """Stability, variability and the highest and lowest hours of each series side by side; null where one isn't to be had."""
     keys = keys or KEYS
     a = interdaily_stability(series, keys, offset=offset, least_cover=least_cover).select(*keys, "stability")
-    b = intradaily_variability(series, keys, offset=offset).select(*keys, "variability")
+    b = intradaily_variability(series, keys, offset, least_cover).select(*keys, "variability")
     return a.join(b, keys, "full").join(m10_l5(series, keys, offset, least_cover), keys, "full")

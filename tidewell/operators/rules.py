@@ -11,6 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.columns import local_day
+from tidewell.functions.distributions import f_p_value
+
+from .chronic import clean
+from .rhythm import cosinor, cosinor_test
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -118,3 +124,34 @@ def summary(found: DataFrame) -> DataFrame:
     out = found.groupBy("check").agg(*[count(s) for s in ("critical", "warning", "passed", "not_checked")])
     # a row a rule: few, however many recordings there are
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_critical"), F.desc("n_warning"), "check")))
+
+
+#: Fixed values of eligibility: lost samples (percent), rate (Hz), pulse width (microseconds), days of the chronic series, samples, p and share of the mean of its rhythm.
+ELIGIBILITY = (
+    Rule("peak", ("has_peak",), "int(has_peak)", critical="not has_peak"),
+    Rule("artifact", ("has_signal", "pct_lost"), "pct_lost", critical="loss_known and pct_lost > 10", when="has_signal", why="no raw signal"),
+    Rule("reproducibility", ("n_channels", "n_unstable"), "n_unstable", "n_unstable > 0", "n_unstable = n_channels", "n_channels > 0", "one record a channel"),
+    Rule("parameters", ("state",), "rate_hz", "rate_hz > 0 and rate_hz < 100 or pulse_us > 90", when="state <> 'UNKNOWN'", why="device state unknown"),
+    Rule("chronic_days", ("n_days",), "n_days", "n_days < 5", "n_days < 3"),
+    Rule("rhythm", ("n_points",), "p_adjusted", "not coalesce(p_adjusted < 0.05 and rhythm_share > 0.05, false)", when="n_points >= 24", why="under 24 samples"),
+)
+
+
+def eligibility(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, verdict, blockers, missing, reserves) of findings() by ELIGIBILITY: not_eligible where a criterion isn't met, else insufficient where one couldn't be
+    judged, else with_reserve or eligible; the criteria of each kind by name."""
+    named = lambda s, name: F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("check")))), ",").alias(name)
+    # a row a rule and recording: few for each
+    out = found.groupBy(*keys).agg(named("critical", "blockers"), named("not_checked", "missing"), named("warning", "reserves"))
+    verdict = F.when(F.col("blockers") != "", "not_eligible").when(F.col("missing") != "", "insufficient").when(F.col("reserves") != "", "with_reserve").otherwise("eligible")
+    return out.select(*keys, verdict.alias("verdict"), "blockers", "missing", "reserves")
+
+
+def chronic_evidence(series: DataFrame, keys: list[str], offset: int = 0) -> DataFrame:
+    """(keys, n_days, n_points, rhythm_share, p_adjusted) of each series: its civil days and samples, and of the samples within four deviations of the median the
+    amplitude of 24 hours as a share of the mean level and its p by the samples that autocorrelation leaves."""
+    counts = series.groupBy(*keys).agg(F.count_distinct(local_day(F.col("t"), offset)).alias("n_days"), F.count("*").alias("n_points"))
+    kept = clean(series, keys)
+    wave = cosinor(kept, keys, 24.0, offset).select(*keys, (F.col("amplitude") / F.nullif("mesor", F.lit(0.0))).alias("rhythm_share"))
+    test = cosinor_test(kept, keys, 24.0, offset).select(*keys, f_p_value(F.col("f_adjusted"), F.lit(2), F.col("df2_adjusted")).alias("p_adjusted"))
+    return counts.join(wave, keys, "left").join(test, keys, "left")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import rules
 from tidewell.operators.chronic import KEYS
-from tidewell.sources.adapters import RAW_TIMELINE_SQL, raw_timeline, read
+from tidewell.sources.adapters import RAW_TIMELINE_SQL, raw_timeline, read, timeline
 
-from .chronic import rounded
+from .chronic import CLEAN_SQL, HOUR, rounded
 
 
 def recordings(spark: SparkSession, d: str) -> DataFrame:
@@ -50,11 +50,22 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rules.findings(x, KEYS, rules.PANEL))
 
 
-RECORDINGS_SQL = f"""{RAW_TIMELINE_SQL}, v as (select *, case when lfp_raw >= 0 then lfp_raw end x from raw),
+def eligible(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("subject")
+    x = recordings(spark, d).select(*KEYS, "pct_lost", "loss_known").withColumns({
+        "has_peak": F.when(s != 6, s != 5), "has_signal": s != 7, "state": F.when(s == 3, "UNKNOWN").otherwise("ON"), "rate_hz": F.when(s == 2, 85.0).otherwise(130.0), "pulse_us": F.lit(60.0),
+    })
+    x = rules.panel_inputs(x, rules.peak_reproducibility(peaks(spark, d), [*KEYS, "channel"]), KEYS)
+    x = x.join(rules.chronic_evidence(timeline(spark, d), KEYS), KEYS, "left")
+    return rules.eligibility(rules.findings(x, KEYS, rules.ELIGIBILITY), KEYS)
+
+
+MEASURED_SQL = """v as (select *, case when lfp_raw >= 0 then lfp_raw end x from raw),
 en as (select subject, hemisphere, max(x) mx, min(x) mn from v group by all),
 rc as (select subject, hemisphere, count(*) n, count(x) n_valid, count(*) filter (x = mx or x = mn) n_extreme, stddev_samp(x) sd, 100.0*count(*) filter (lfp_raw < 0)/count(*) pct_censored,
  100.0*count(*) filter (row_ord % 13 = 0)/count(*) pct_lost, subject % 4 <> 3 loss_known, case when subject % 3 <> 0 then (subject-4)*11.0 end drift_ms, case when subject % 2 = 0 then case when subject = 4 then 10.0 else 1.0 end end high_pass_hz,
  subject % 3 state_confidence from v join en using (subject, hemisphere) group by subject, hemisphere)"""
+RECORDINGS_SQL = f"{RAW_TIMELINE_SQL}, {MEASURED_SQL}"
 
 
 def _rule(check: str, column: str, level: str, able: str = "true", why: str = "null", measure: str | None = None) -> str:
@@ -88,6 +99,23 @@ union all {_rule('rate', 'drift_ms', "case when abs(drift_ms) > 20 then 'warning
 union all {_rule('device_state', 'state_confidence', "case when state_confidence < 1 then 'critical' when state_confidence < 2 then 'warning' else 'passed' end")} pi
 union all {_rule('reproducibility', 'n_channels', "case when n_unstable = n_channels then 'critical' when n_unstable > 0 then 'warning' else 'passed' end", 'n_channels > 0', "'one record a channel'", 'n_unstable').replace("'missing: n_channels'", "'missing: n_channels, n_unstable'")} pi)
 select * replace (round(measure::double,6) as measure) from al""",
+    # P(F >= f) with two degrees above is (1 + 2 f / d) ^ (-d / 2)
+    "eligibility": f"""with {CLEAN_SQL}, {MEASURED_SQL}, {PEAKS_SQL}, nc as (select subject, hemisphere, count(*) n_channels, count(*) filter (verdict='unstable') n_unstable from rp where verdict <> 'not_enough' group by all),
+xs as (select subject, hemisphere, t, row_ord, cos({HOUR}*2*pi()/24) c, sin({HOUR}*2*pi()/24) s, lfp y from cl where lfp is not null),
+mo as (select subject, hemisphere, count(*)::double n, sum(c) sc, sum(s) ss, sum(c*c) cc, sum(s*s) s2, sum(c*s) cs, sum(y) sy, sum(c*y) cy, sum(s*y) s_y from xs group by all),
+de as (select *, n*(cc*s2-cs*cs)-sc*(sc*s2-cs*ss)+ss*(sc*cs-cc*ss) dd from mo),
+so as (select *, (sy*(cc*s2-cs*cs)-sc*(cy*s2-cs*s_y)+ss*(cy*cs-cc*s_y))/dd m, (n*(cy*s2-cs*s_y)-sy*(sc*s2-cs*ss)+ss*(sc*s_y-cy*ss))/dd b, (n*(cc*s_y-cy*cs)-sc*(sc*s_y-cy*ss)+sy*(sc*cs-cc*ss))/dd g from de where n > 5),
+re as (select xs.*, y - (m + b*c + g*s) r from xs join so using (subject, hemisphere)), rl as (select *, r*lag(r) over (partition by subject, hemisphere order by t, row_ord) rr from re),
+fi as (select subject, hemisphere, count(*)::double n, sum(r*r) sse, sum(rr) num, var_pop(y)*count(*) sst from rl group by all), fo as (select *, (sst-sse)/2/(sse/(n-3)) f, num/sse rho from fi), fe as (select *, n*(1-rho)/(1+rho) ne from fo),
+fp as (select subject, hemisphere, f*greatest(0.02, ne/n) fa, greatest(2.0, floor(ne+0.5)-3) d2 from fe), pv as (select subject, hemisphere, case when fa <= 0 then 1 else power(1 + 2*fa/d2, -d2/2) end p from fp),
+dy as (select subject, hemisphere, count(distinct t::date) n_days, count(*) n_points from tl group by all),
+al as (select rc.subject, rc.hemisphere, case when rc.subject <> 6 then rc.subject <> 5 end hp, rc.pct_lost, loss_known, n_channels, n_unstable, n_days, n_points, sqrt(b*b+g*g)/nullif(m, 0) sh, p
+ from rc left join nc on rc.subject=nc.subject and rc.hemisphere=nc.hemisphere left join dy on rc.subject=dy.subject and rc.hemisphere=dy.hemisphere left join so on rc.subject=so.subject and rc.hemisphere=so.hemisphere left join pv on rc.subject=pv.subject and rc.hemisphere=pv.hemisphere),
+st as (select subject, hemisphere, unnest([{{'c': 'peak', 's': case when hp is null then 'n' when not hp then 'k' else 'p' end}}, {{'c': 'artifact', 's': case when subject = 7 or pct_lost is null then 'n' when loss_known and pct_lost > 10 then 'k' else 'p' end}},
+ {{'c': 'reproducibility', 's': case when n_channels is null or n_channels = 0 then 'n' when n_unstable = n_channels then 'k' when n_unstable > 0 then 'w' else 'p' end}}, {{'c': 'parameters', 's': case when subject = 3 then 'n' when subject = 2 then 'w' else 'p' end}},
+ {{'c': 'chronic_days', 's': case when n_days is null then 'n' when n_days < 3 then 'k' when n_days < 5 then 'w' else 'p' end}}, {{'c': 'rhythm', 's': case when n_points is null or n_points < 24 then 'n' when not coalesce(p < 0.05 and sh > 0.05, false) then 'w' else 'p' end}}]) u from al),
+g as (select subject, hemisphere, coalesce(string_agg(u.c, ',' order by u.c) filter (u.s = 'k'), '') blockers, coalesce(string_agg(u.c, ',' order by u.c) filter (u.s = 'n'), '') missing, coalesce(string_agg(u.c, ',' order by u.c) filter (u.s = 'w'), '') reserves from st group by all)
+select *, case when blockers <> '' then 'not_eligible' when missing <> '' then 'insufficient' when reserves <> '' then 'with_reserve' else 'eligible' end verdict from g""",
 }
 
-QUERIES = {"alarm_findings": alarms, "alarm_levels": alarm_levels, "peak_reproducibility": reproducibility, "quality_panel": panel}
+QUERIES = {"alarm_findings": alarms, "alarm_levels": alarm_levels, "peak_reproducibility": reproducibility, "quality_panel": panel, "eligibility": eligible}

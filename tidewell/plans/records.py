@@ -426,8 +426,8 @@ o as (select unit, count(*) levels, min(ma) lo, max(ma) hi, regr_slope(y, ma) s,
 select unit, levels, case when levels >= 3 then lo end least_ma, case when levels >= 3 then hi end most_ma, round(case when levels >= 3 then s end, 3) slope, round(case when levels >= 3 then r end, 3) r2 from o""",
     "window_table": f"""with {TIMELINE_SQL}, x as (select subject, hemisphere, epoch_us(date_trunc('hour', t)) as "window", avg(lfp) m, count(*) n from tl where lfp is not null group by all)
 select subject, "window", round(max(m) filter (hemisphere = 'Left'), 6) left_mean, max(n) filter (hemisphere = 'Left') left_n, round(max(m) filter (hemisphere = 'Right'), 6) right_mean, max(n) filter (hemisphere = 'Right') right_n, count(distinct hemisphere) sides from x group by all""",
-    "rest_activity_panel": f"""with {COVERED_SQL}, sl as (select *, (day - date '1970-01-01')*24+h as slot from hr), sd as (select subject, hemisphere, v, case when slot - lag(slot) over w = 1 then power(v - lag(v) over w, 2) end st from sl window w as (partition by subject, hemisphere order by slot)),
-iv as (select subject, hemisphere, avg(st)/nullif(var_pop(v), 0) variability from sd group by all), ia as (select subject, hemisphere, count(*) n, avg(v) m, var_pop(v)*count(*) sst from hc group by all), ib as (select subject, hemisphere, h, avg(v) mh from hc group by all),
+    "rest_activity_panel": f"""with {COVERED_SQL}, sl as (select *, dense_rank() over (partition by subject, hemisphere order by day)*24+h as slot from hc), sd as (select *, case when slot - lag(slot) over w = 1 then power(v - lag(v) over w, 2) end st from sl window w as (partition by subject, hemisphere order by slot)),
+iv as (select subject, hemisphere, count(*)*(sum(st)*(24*count(distinct day)-1)/nullif(count(st), 0))/((count(*)-1)*nullif(var_pop(v)*count(*), 0)) variability from sd group by all having count(distinct day) >= 3), ia as (select subject, hemisphere, count(*) n, avg(v) m, var_pop(v)*count(*) sst from hc group by all), ib as (select subject, hemisphere, h, avg(v) mh from hc group by all),
 ic as (select subject, hemisphere, sum((mh-m)*(mh-m)) ssb, count(*) p from ib join ia using (subject, hemisphere) group by all), si as (select subject, hemisphere, n*ssb/(p*sst) stability from ia join ic using (subject, hemisphere) join hd using (subject, hemisphere))
 select subject, hemisphere, round(stability, 6) stability, round(variability, 6) variability, round(m10, 6) m10, round(l5, 6) l5, round((m10-l5)/nullif(m10+l5, 0), 6) relative_amplitude from iv left join si using (subject, hemisphere) left join ml using (subject, hemisphere)""",
     "cosinor_test": f"""with {TIMELINE_SQL}, xs as (select subject, hemisphere, t, row_ord, cos({HOUR}*2*pi()/24) c, sin({HOUR}*2*pi()/24) s, lfp y from tl where lfp is not null),
