@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.columns import ratio
+from tidewell.functions.columns import millis, ratio
 from tidewell.sources.shared import stored
 
 from .chronic import KEYS
@@ -195,7 +195,7 @@ def smoothed(series: DataFrame, window_ms: int, keys: list[str] | None = None) -
     """Add `mean`, over the samples of the last window_ms milliseconds up to the row. Each sample also stands in the next bucket of
     that length, so that a window is one bucket, not one series."""
     keys = keys or KEYS
-    x = series.withColumn("_ms", F.unix_millis(F.col("t").cast("timestamp")))
+    x = series.withColumn("_ms", millis(F.col("t")))
     own = F.floor(F.col("_ms") / window_ms)
     x = x.select("*", F.explode(F.array(own, own + 1)).alias("_bucket")).withColumn("_own", F.col("_bucket") == own)
     w = Window.partitionBy(*keys, "_bucket").orderBy("_ms").rangeBetween(-window_ms, 0)
@@ -277,7 +277,7 @@ class RampRun:
         self.keys = keys = keys or KEYS
         x = series.where("lfp is not null").select(*keys, "t", "row_ord", "lfp")
         x = x.join(x.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n >= 8").select(*keys), keys)
-        x = smoothed(x, window_ms, keys).withColumn("s", F.unix_millis(F.col("t").cast("timestamp")) / 1000.0)
+        x = smoothed(x, window_ms, keys).withColumn("s", millis(F.col("t")) / 1000.0)
         self.ranged = by_ranges(x.select(*keys, "t", "row_ord", "s", "mean"), keys, ["t", "row_ord"], parts)
         self.ramp, by = Ramp(least, most, rate, single), ["_part", *keys]
         cells = _grouped(limits.where("upper > lower").select(*keys, "cell", "lower", "upper"), keys)
