@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.sources.adapters import TIMELINE_SQL, timeline
 from tidewell.sources.dialects import Signals
-from tidewell.sources.shared import shared_folder
+from tidewell.sources.shared import shared_folder, stored
 
 from .chronic import rounded
 
@@ -19,6 +19,8 @@ def folder(spark: SparkSession, d: str) -> str:
     ms = F.floor(F.unix_micros("t") / 1000).cast("long")
     x = timeline(spark, d).withColumn("ms", ms).groupBy("subject", "ms").agg(F.min_by(F.struct("lfp", "row_ord"), "row_ord").alias("r"))
     x = x.join(x.groupBy("subject").agg(F.min("ms").alias("ms0")), "subject").select("subject", "ms", (F.col("ms") - F.col("ms0")).alias("after"), F.col("r.lfp").cast("string").alias("v"), F.col("r.row_ord").alias("row_ord"))
+    # read from files, its partitioning is unknown: the deal by subject below stays a shuffle of its own, whose partitions aren't split
+    x = stored(x, "side")
     time = F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     seconds = F.concat(F.expr("string(ms div 1000)"), F.lit(","), F.lpad(F.expr("string(ms % 1000)"), 3, "0"))
     dialects = [

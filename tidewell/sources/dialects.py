@@ -8,6 +8,7 @@ steps and gaps are counted, nothing is filled in.
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +27,8 @@ FOR_DELIMITER, FOR_HEADER, FOR_COLUMNS, FOR_TIME, LEAST = 12, 5, 50, 200, 4
 #: The share of growing steps of a time column, the first times from which they are milliseconds or seconds since the epoch, and the
 #: step from which relative times are milliseconds; steps of a gap, and the share of numbers of a channel.
 GROWING, EPOCH_MS, EPOCH_S, STEP_MS, GAP, NUMERIC = 0.95, 1e11, 1e8, 1.0, 3.0, 0.5
+#: The type of a time's written digits.
+DIGITS = "decimal(30,15)"
 
 
 def number(c: Column) -> Column:
@@ -35,6 +38,12 @@ def number(c: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+def decimal(c: Column) -> Column:
+    """The digits of such a number, null where they are more than DIGITS holds."""
+    t = F.trim(c)
+    return F.when(F.contains(t, F.lit(",")) & ~F.contains(t, F.lit(".")), F.regexp_replace(t, ",", ".")).otherwise(t).try_cast(DIGITS)
+
+
 def _number(t: str) -> float | None:
     try:
         x = float(t.replace(",", ".", 1) if "," in t and "." not in t else t)
@@ -120,16 +129,24 @@ class Signals:
         raw = F.get("cells", F.col("time_column"))
         iso = F.unix_micros(F.try_to_timestamp(raw)) / 1000
         x = x.withColumn("raw", F.when(F.col("iso"), iso).otherwise(number(raw)))
+        # seconds since the epoch have too many digits for their differences as floating numbers: the decimals that are written go along
+        digits = F.when(F.col("iso"), F.unix_micros(F.try_to_timestamp(raw)).cast("decimal(19,0)") * F.lit(Decimal("0.001"))).otherwise(decimal(raw)).try_cast(DIGITS)
+        x = x.withColumn("exact", F.when(digits.cast("double") == F.col("raw"), digits))
         order = ["split", "line"]
-        x = previous(by_ranges(x, ["file"], order, parts), ["file"], order, F.col("raw"), "before").withColumn("d", F.col("raw") - F.col("before"))
-        x = stored(x.drop("_part", "before"), "lines")
+        x = previous(by_ranges(x, ["file"], order, parts), ["file"], order, F.struct("raw", "exact"), "before").withColumn("d", F.col("raw") - F.col("before.raw"))
+        x = stored(x.drop("_part"), "lines")
         # the unit of time by the first value and the usual step
-        first = x.where("raw is not null").groupBy("file").agg(F.min_by("raw", F.struct(*order)).alias("first"), F.count("*").alias("n_times"), F.expr("percentile(case when d > 0 then d end, 0.5)").alias("step"), F.first("iso").alias("iso"))
+        first = x.where("raw is not null").groupBy("file").agg(F.min_by("raw", F.struct(*order)).alias("first"), F.min_by("exact", F.struct(*order)).alias("first_exact"), F.count("*").alias("n_times"), F.expr("percentile(case when d > 0 then d end, 0.5)").alias("step"), F.first("iso").alias("iso"))
         kind = F.when(F.col("iso"), "iso").when(F.col("n_times") < LEAST, None).when(F.col("first") > EPOCH_MS, "epoch_ms").when(F.col("first") > EPOCH_S, "epoch_s").when(F.col("step") >= STEP_MS, "relative_ms").otherwise("relative_s")
-        self.times = stored(first.select("file", "first", kind.alias("time_kind")), "times")
-        scale = F.when(F.col("time_kind").isin("epoch_s", "relative_s"), 1000.0).otherwise(1.0)
-        base = F.when(F.col("time_kind").startswith("relative"), F.col("first")).otherwise(0.0)
-        self.rows = x.join(self.times.where("time_kind is not null"), "file").withColumns({"t_ms": (F.col("raw") - base) * scale, "d_ms": F.col("d") * scale})
+        self.times = stored(first.select("file", "first", "first_exact", kind.alias("time_kind")), "times")
+        whole, relative = F.col("time_kind").isin("epoch_s", "relative_s"), F.col("time_kind").startswith("relative")
+
+        def ms(time: str) -> Column:
+            exact = F.col(f"{time}exact") - F.when(relative, F.col("first_exact")).otherwise(F.lit(Decimal(0)))
+            exact = (exact * F.when(whole, F.lit(Decimal(1000))).otherwise(F.lit(Decimal(1)))).cast("double")
+            return F.coalesce(exact, (F.col(f"{time}raw") - F.when(relative, F.col("first")).otherwise(0.0)) * F.when(whole, 1000.0).otherwise(1.0))
+
+        self.rows = x.join(self.times.where("time_kind is not null"), "file").withColumns({"t_ms": ms(""), "d_ms": ms("") - ms("before.")})
         cells = self.rows.select("file", "split", "line", "t_ms", "names", "time_column", F.posexplode("cells").alias("at", "cell")).where("at <> time_column").withColumn("x", number(F.col("cell")))
         counted = cells.groupBy("file", "at").agg(F.count("*").alias("k"), F.count("x").alias("n_valid"), F.first(F.get("names", F.col("at"))).alias("channel")).where(F.col("n_valid") >= NUMERIC * F.col("k"))
         kinds = F.lit("unknown")
