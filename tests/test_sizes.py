@@ -65,3 +65,24 @@ def test_steps_of_times_in_seconds_are_exact(spark, tmp_path):
     assert (got["a"]["time_kind"], got["a"]["step_ms"], got["a"]["jitter_pct"], got["a"]["n"]) == ("epoch_s", 35934.0, 0.0, 40)
     assert (got["b"]["time_kind"], got["b"]["n_dropped"]) == ("relative_s", 0)
     assert got["b"]["step_ms"] == pytest.approx(0.0359345, abs=1e-12)
+
+
+def test_matching_of_dense_events_is_one_pass(spark):
+    """Events far denser than the window, with ties and repeated rows, against choosing one by one; no job for each round of choices."""
+    from tidewell.operators import align
+
+    rng = np.random.default_rng(4)
+    a = [(float(s) / 4, i, bool(i % 2)) for i, s in enumerate(rng.integers(0, 1200, 700))]
+    b = [(float(s) / 4, 5000 - i, bool(i % 3 % 2)) for i, s in enumerate(rng.integers(0, 1200, 800))]
+    frame = lambda rows: spark.createDataFrame([(1, i, s, kind) for s, i, kind in rows], "k long, id long, s double, kind boolean")
+    used, want = set(), []
+    for s, i, kind in sorted(a):
+        near = [(abs(t - s), t, j) for t, j, other in b if other == kind and j not in used and abs(t - s) <= 10]
+        if near:
+            used.add(min(near)[2])
+            want.append((i, min(near)[2], min(near)[1] - s))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    got = align.match_events(frame(a + a[:50]), frame(b + b[:50]), ["k"], 10.0).collect()
+    assert sorted((r["a"], r["b"], r["diff_s"]) for r in got) == sorted(want)
+    assert len(tracker.getJobIdsForGroup(None)) - before <= 4
