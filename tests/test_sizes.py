@@ -67,6 +67,38 @@ def test_steps_of_times_in_seconds_are_exact(spark, tmp_path):
     assert got["b"]["step_ms"] == pytest.approx(0.0359345, abs=1e-12)
 
 
+def test_trials_search_the_last_sample_of_each_bin():
+    """Samples and doses at whole minutes and microseconds beside the bins' edges, against a loop over all of them."""
+    from tidewell.operators import response
+
+    rng = np.random.default_rng(5)
+    at = np.unique(1.7e9 + 60.0 * rng.integers(0, 3000, 1500) + 1e-6 * rng.integers(-1, 2, 1500))
+    values, doses = rng.normal(50, 9, len(at)), 1.7e9 + 60.0 * rng.integers(-200, 3200, 300) + 1e-6 * rng.integers(-1, 2, 300)
+    got, there = response.trials(at, values, doses, 60, 120, 10)
+    want = []
+    for d in doses:
+        lag = at - d
+        b = np.floor((lag / 60 + 60) / 10 + 0.5)
+        cells = {int(k): v for k, v, s in zip(b, values, lag, strict=True) if 0 <= k <= 18 and -3900 <= s <= 7500}
+        if len(cells) >= 0.4 * 19:
+            before = [v for k, v in cells.items() if k < 6]
+            base = np.median(before) if before else 0
+            want.append({k: 100 * v / base if base else v for k, v in cells.items()})
+    assert len(got) == len(want) > 200
+    for v, some, cells in zip(got, there, want, strict=True):
+        assert np.flatnonzero(some).tolist() == sorted(cells)
+        assert np.allclose(v[some], [cells[k] for k in sorted(cells)], rtol=1e-12)
+
+
+def test_shifted_doses_are_not_joined(spark):
+    """What a shift costs is a search, not rows: the plan of a response has no join of samples with doses and no rows for each shift."""
+    from tidewell.plans import responses
+
+    for q in (responses.curve, responses.milestones):
+        plan = q(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "bucket" not in plan and "lag_s" not in plan
+
+
 def test_matching_of_dense_events_is_one_pass(spark):
     """Events far denser than the window, with ties and repeated rows, against choosing one by one; no job for each round of choices."""
     from tidewell.operators import align
