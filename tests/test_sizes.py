@@ -118,3 +118,25 @@ def test_matching_of_dense_events_is_one_pass(spark):
     got = align.match_events(frame(a + a[:50]), frame(b + b[:50]), ["k"], 10.0).collect()
     assert sorted((r["a"], r["b"], r["diff_s"]) for r in got) == sorted(want)
     assert len(tracker.getJobIdsForGroup(None)) - before <= 4
+
+
+def test_reliability_deals_a_large_group_out(spark):
+    """Rows of a few sites meet what is known of their site in many places."""
+    from tidewell.operators import diary
+
+    rng = np.random.default_rng(6)
+    rows = [(s % 2, s, T0 + timedelta(days=k), 10 * s + k, float(s % 7 + rng.normal())) for s in range(60) for k in range(2 + s % 3)]
+    x = spark.createDataFrame(rows, "site long, subject long, t timestamp, row_ord long, centre double")
+    out = diary.session_reliability(x, ["site"], "subject", "centre", ["t", "row_ord"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert sum("_deal" in j for j in joins) >= 2
+    for r in out.collect():
+        first = {(s, o % 10): c for site, s, _, o, c in rows if site == r["site"]}
+        v = np.array([[first[s, i] for i in range(2)] for s in range(r["site"], 60, 2)])
+        n, k = v.shape
+        msr, msc = k * v.mean(1).var(ddof=1), n * v.mean(0).var(ddof=1)
+        mse = ((v - v.mean(1, keepdims=True) - v.mean(0) + v.mean()) ** 2).sum() / ((n - 1) * (k - 1))
+        assert (r["n"], r["k"]) == (30, 2)
+        assert r["icc31"] == pytest.approx((msr - mse) / (msr + (k - 1) * mse))
+        assert r["icc21"] == pytest.approx((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n))

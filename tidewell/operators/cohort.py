@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import ratio, wilson
 
-from .ranges import by_ranges, running_sum
+from .ranges import by_ranges, running_sum, with_group
 
 
 def prevalence(rows: DataFrame, group: str, flag: str) -> DataFrame:
@@ -21,7 +21,7 @@ def icc(rows: DataFrame, subject: str, rater: str, value: str, by: list[str]) ->
     """ICC(2,1) and ICC(3,1) from sums of squares, over subjects that every rater of the group has; 3 x 2 at least."""
     cell = rows.groupBy(*by, subject, rater).agg(F.avg(value).alias("v")).where("v is not null")
     raters = cell.groupBy(*by).agg(F.count_distinct(rater).alias("k"))
-    full = cell.join(raters, by).withColumn("have", F.count("*").over(Window.partitionBy(*by, subject))).where("have = k")
+    full = with_group(cell, raters, by, [subject]).withColumn("have", F.count("*").over(Window.partitionBy(*by, subject))).where("have = k")
     s = full.groupBy(*by, subject).agg(F.sum("v").alias("x")).groupBy(*by).agg(F.sum(F.col("x") ** 2).alias("ss_s"), F.count("*").alias("n"))
     r = full.groupBy(*by, rater).agg(F.sum("v").alias("x")).groupBy(*by).agg(F.sum(F.col("x") ** 2).alias("ss_r"), F.count("*").alias("k"))
     t = full.groupBy(*by).agg(F.sum("v").alias("x"), F.sum(F.col("v") ** 2).alias("xx"))

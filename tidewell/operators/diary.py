@@ -9,6 +9,7 @@ from tidewell.functions.columns import local_day, local_hour, ratio
 
 from .chronic import KEYS
 from .cohort import icc
+from .ranges import with_group
 
 
 def clock_profile(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -90,4 +91,4 @@ def session_reliability(sessions: DataFrame, by: list[str], subject: str, value:
     w = Window.partitionBy(*by, subject).orderBy(*order)
     x = sessions.where(F.col(value).isNotNull()).withColumns({"session": F.row_number().over(w), "own": F.count("*").over(Window.partitionBy(*by, subject))}).where(F.col("own") >= least)
     common = x.groupBy(*by).agg(F.min("own").alias("common"))
-    return icc(x.join(common, by).where("session <= common"), subject, "session", value, by)
+    return icc(with_group(x, common, by, [subject]).where("session <= common"), subject, "session", value, by)

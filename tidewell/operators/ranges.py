@@ -58,3 +58,11 @@ def filled(ranged: DataFrame, keys: list[str], order: list[str], value: Column,
     before = F.last("_last", ignorenulls=True).over(_pieces(keys).rowsBetween(Window.unboundedPreceding, -1))
     own = F.last(value, ignorenulls=True).over(_piece(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return ranged.withColumn("_own", own).join(last.select("_part", *keys, before.alias("_before")), ["_part", *keys]).withColumn(name, F.coalesce("_own", "_before")).drop("_own", "_before")
+
+
+def with_group(rows: DataFrame, groups: DataFrame, by: list[str], over: list[str], parts: int = 256) -> DataFrame:
+    """rows with the columns of groups (one row for each `by`): each row of groups goes to `parts` places, to which the rows of its
+    group are dealt by `over`, so that few large groups aren't few large tasks."""
+    deal = F.pmod(F.xxhash64(*over), F.lit(parts)).cast("int")
+    many = groups.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("_deal", deal).join(many, [*by, "_deal"]).drop("_deal")
