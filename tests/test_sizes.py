@@ -140,3 +140,29 @@ def test_reliability_deals_a_large_group_out(spark):
         assert (r["n"], r["k"]) == (30, 2)
         assert r["icc31"] == pytest.approx((msr - mse) / (msr + (k - 1) * mse))
         assert r["icc21"] == pytest.approx((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n))
+
+
+def test_ramp_over_slabs_is_that_of_single_steps(monkeypatch):
+    """Slabs of 7 values against one step at a time, from one start, from two at once and from none."""
+    from tidewell.operators import controller
+
+    rng = np.random.default_rng(8)
+    values, seconds = rng.normal(50, 20, 40), np.cumsum(rng.integers(1, 40, 40)).astype(float)
+    lower, upper = np.array([20.0, 40.0, 45.0]), np.array([60.0, 55.0, 46.0])
+    monkeypatch.setattr(controller, "SLAB", 7)
+    for single in (False, True):
+        ramp = controller.Ramp(1.0, 3.0, 0.02, single)
+
+        def stepped(level, before):
+            for v, s in zip(values, seconds, strict=True):
+                share = (v > upper).astype(float) if single else np.clip((v - lower) / (upper - lower), 0, 1)
+                target = np.where(share >= 1, 3.0, 1.0 + share * 2.0)
+                level = target if level is None else level + np.clip(target - level, -0.02 * (s - before), 0.02 * (s - before))
+                before = s
+                yield level
+
+        begins = np.array([[1.0] * 3, [3.0] * 3])
+        both = np.concatenate(list(ramp.follow(values, seconds, lower, upper, begins, 0.0)))
+        for k in range(2):
+            assert np.array_equal(both[:, k], list(stepped(begins[k], 0.0)))
+        assert np.array_equal(np.concatenate(list(ramp.follow(values, seconds, lower, upper, None, None))), list(stepped(None, None)))

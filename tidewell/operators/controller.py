@@ -28,6 +28,8 @@ STEP = 0.1
 TARGETS = (20.0, 60.0, 20.0)
 ACCEPTED = ((10.0, 35.0), (45.0, 75.0), (10.0, 35.0))
 SATURATION_WEIGHT, SPAN, SPAN_STEP = 0.5, 15, 1
+#: Values of a series whose targets are computed at once.
+SLAB = 4096
 #: Currents are kept in ten-thousandths of a mA.
 UNIT = 10_000
 FAR = 1 << 40
@@ -210,14 +212,27 @@ class Ramp:
         self.least, self.most, self.rate, self.single = least, most, rate, single
 
     def follow(self, values: np.ndarray, seconds: np.ndarray, lower: np.ndarray, upper: np.ndarray, level: np.ndarray | None, before: float | None):
-        """The levels after each value; `before` is the time of the sample that left `level`. The first one takes its target at once."""
-        for v, s in zip(values, seconds, strict=True):
+        """The levels after each value, SLAB values at a time; `before` is the time of the sample that left `level`, which may have more axes before the
+        one of the cells. The first one takes its target at once."""
+        # targets and reaches of a slab are arrays; what is left for each value are four operations on the level
+        for first in range(0, len(values), SLAB):
+            v, s = values[first : first + SLAB, None], seconds[first : first + SLAB]
             share = (v > upper).astype(float) if self.single else np.clip((v - lower) / (upper - lower), 0.0, 1.0)
             target = np.where(share >= 1, self.most, self.least + share * (self.most - self.least))
-            reach = self.rate * (s - before) if before is not None else np.inf
-            level = target if level is None else level + np.clip(target - level, -reach, reach)
-            before = s
-            yield level
+            reach = self.rate * np.diff(s, prepend=s[0] if before is None else before)
+            out = np.empty((len(v), *(target.shape[1:] if level is None else np.shape(level))))
+            back = -reach
+            for i in range(len(v)):
+                if level is None:
+                    out[i] = target[i]
+                else:
+                    step = np.subtract(target[i], level, out=out[i])
+                    np.minimum(step, reach[i], out=step)
+                    np.maximum(step, back[i], out=step)
+                    np.add(step, level, out=step)
+                level = out[i]
+            before = s[-1]
+            yield out
 
 
 def _ramp_pass(ranged: DataFrame, begun: DataFrame, keys: list[str], ramp: Ramp, what: str) -> DataFrame:
@@ -239,26 +254,27 @@ def _ramp_pass(ranged: DataFrame, begun: DataFrame, keys: list[str], ramp: Ramp,
         values, seconds, cells = left["mean"].to_numpy(float), left["s"].to_numpy(float), _cells(right)
         before = None if pd.isna(r["before"]) else r["before"]
 
-        def levels(c: str):
-            return ramp.follow(values, seconds, *cells, None if r[c] is None else np.asarray(r[c], float), before)
+        def levels(begin):
+            return ramp.follow(values, seconds, *cells, None if begin is None else np.asarray(begin, float), before)
 
         if what == "ends":
-            ends = []
-            for c in ("low", "high"):
-                for level in levels(c):
-                    pass
-                ends.append(level)
+            if r["low"] is None:
+                (*_, last) = levels(r["low"])
+                ends = [last[-1]] * 2
+            else:  # from both ends at once
+                (*_, last) = levels(np.stack([np.asarray(r["low"], float), np.asarray(r["high"], float)]))
+                ends = list(last[-1])
             return pd.DataFrame([[*key, *ends, seconds[-1]]], columns=names)
         if what == "levels":
-            out = left[[*by, "t", "row_ord", "s"]].assign(cell=[r["cell"]] * len(left), current=list(levels("low")))
+            out = left[[*by, "t", "row_ord", "s"]].assign(cell=[r["cell"]] * len(left), current=list(np.concatenate(list(levels(r["low"])))))
             return out.explode(["cell", "current"]).astype({"cell": "int32", "current": float})
         low, high, changes = (np.zeros(len(cells[0]), np.int64) for _ in range(3))
         total, square, first, last = np.zeros(len(low)), np.zeros(len(low)), None, None
-        for level in levels("low"):
-            state = (level >= ramp.most - 1e-9).astype(int) - (level <= ramp.least + 1e-9)
-            first = state if first is None else first
-            changes += 0 if last is None else state != last
-            low, high, total, square, last = low + (state < 0), high + (state > 0), total + level, square + level**2, state
+        for level in levels(r["low"]):
+            state = (level >= ramp.most - 1e-9).astype(np.int8) - (level <= ramp.least + 1e-9)
+            first = state[0] if first is None else first
+            changes += np.count_nonzero(np.diff(state, axis=0, prepend=state[:1] if last is None else last[None]), axis=0)
+            low, high, total, square, last = low + (state < 0).sum(axis=0), high + (state > 0).sum(axis=0), total + level.sum(axis=0), square + (level**2).sum(axis=0), state[-1]
         rest = (r["cell"], len(values), low, high, changes, first, last, total, square, seconds[0], seconds[-1])
         return pd.DataFrame(dict(zip(names, [*key, *rest], strict=True)))
 
