@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewell.llm import entry, fuzzy, line_dedup, mixing, passage_dedup, prefix_join, quality, suffix_dedup, token_count, token_output
+from tidewell.llm import common, entry, fuzzy, line_dedup, mixing, passage_dedup, prefix_join, quality, suffix_dedup, token_count, token_output
 from tidewell.llm.common import add_offsets, connected_components, pack_set, unpack_set
 from tidewell.llm.decontaminate import clean_documents, decontaminate
 from tidewell.llm.near_dedup import keep_one, near_duplicates
@@ -609,3 +609,20 @@ def test_wrapped_paragraphs(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["removed"]] for r in passage_dedup.passage_report(df).collect()}
     assert got == {0: [], 1: [(0, 120)], 2: [], 3: [(42, 122)]}
+
+
+def test_growing_tables_stay_off_the_driver(spark, monkeypatch):
+    """Tables of cut() whose files are small, though their rows need not be, are met by shuffles: none is broadcast."""
+    plans, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    written = common.cut
+    monkeypatch.setattr(common, "cut", lambda df, name="cut": (plans.append(plan(df)), written(df, name))[1])
+    pairs = written(spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    content = written(spark.range(201).select("id", F.encode(F.lit("one line of text"), "utf-8").alias("text")))
+    members = connected_components(fuzzy.verify(pairs, content, 80, line_dedup.line_set))
+    assert {tuple(r) for r in members.collect()} == {(i, 0) for i in range(201)}
+    wanted = fuzzy.wanted(content.select(F.col("text").cast("string")), content.select("id"), line_dedup._content)
+    marked = written(spark.createDataFrame([(0, 0, 0, 5, 0, 7, [1], True), (0, 0, -1, 1, 0, None, None, None)], fuzzy.MARKED))
+    gone = fuzzy.removals(marked, written(spark.createDataFrame([(7, 7)], "id long, component long")))
+    found = fuzzy.by_row(marked, gone)
+    assert len(plans) > 2 and not [p for p in [*plans, plan(wanted)] if "Broadcast" in p]
+    assert "SortMergeJoin [unit" in plan(gone) and "SortMergeJoin [row" in plan(found)

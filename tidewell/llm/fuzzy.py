@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, drop, maybe_in, membership, pack_set, stars
+from .common import connected_components, cut, drop, maybe_in, meet, membership, pack_set, stars
 from .prefix_join import block_pairs, similar_pairs
 
 #: Groups of a key of up to this many units give all their pairs.
@@ -219,7 +219,7 @@ def verify(pairs: DataFrame, content: DataFrame, percent: int, shingles: Callabl
 
     left = content.select(F.col("id").alias("a"), F.col("text").alias("x"))
     right = content.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return meet(meet(pairs, right, "b"), left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def sets_of(content: DataFrame, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
@@ -241,7 +241,7 @@ def wanted(docs: DataFrame, ids: DataFrame, pick: Callable) -> DataFrame:
     """CONTENT of the ids, each once. pick(maybe) maps batches of docs to (id, text) of those for which maybe(numbers) holds."""
     map_ = docs.sparkSession.sparkContext.broadcast(membership(ids))  # MOST_BITS at most
     found = docs.mapInArrow(lambda batches: pick(batches, lambda numbers: maybe_in(map_.value, numbers)), CONTENT)
-    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return meet(found, ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 class Fresh:
@@ -282,7 +282,7 @@ def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], perc
     content = kept(content_of(ids), "content")
     out = cut(connected_components(verify(pairs, content, percent, shingles)), "members")
 
-    placed = large.join(out, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = meet(large, out, "id", "left").withColumn("component", F.coalesce("component", "id"))
     found = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("print"))
     # groups of the same members, as near copies form under several keys, are one
     several = found.where("lo <> hi").groupBy("k", "print", "lo", "hi").agg(F.min("key").alias("key"))
@@ -291,7 +291,7 @@ def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], perc
         more = block_pairs(left.where(F.col("k") <= LARGE).select("key", "id", "component"), content, percent, shingles)
         huge = left.where(F.col("k") > LARGE).select("id").distinct()
         if not huge.isEmpty():
-            sets = kept(sets_of(content.join(huge, "id", "left_semi"), shingles), "sets")
+            sets = kept(sets_of(meet(content, huge, "id", "left_semi"), shingles), "sets")
             confirm = lambda pairs: verify(pairs, content, percent, shingles)
             written.append(similar_pairs(sets, content, percent, out, confirm, shingles))
             more = more.union(confirm(written[-1]))
@@ -310,7 +310,7 @@ def removals(marked: DataFrame, members: DataFrame, nested: bool = False) -> Dat
     one place the longest is the first."""
     # units without keys are in no component; without them fewer rows meet the components
     firsts = marked.where("first and keys is not null").select("unit", "row", "doc_id", "pos", "size")
-    placed = firsts.join(members.withColumnRenamed("id", "unit"), "unit").withColumn("at", F.struct("doc_id", "row", "pos", (-F.col("size")).alias("back")))
+    placed = meet(firsts, members.withColumnRenamed("id", "unit"), "unit").withColumn("at", F.struct("doc_id", "row", "pos", (-F.col("size")).alias("back")))
     keeper = placed.groupBy("component").agg(F.min("at").alias("keeper"))
     stays = F.expr("at <=> keeper")
     if nested:
@@ -325,7 +325,7 @@ def by_row(marked: DataFrame, gone: DataFrame) -> DataFrame:
     heads = marked.where("unit is null").select("row", "doc_id", F.col("size").cast("long").alias("n_units"))
     grouped = gone.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("gone"))
     none = F.array().cast("array<struct<pos:int,size:int>>")
-    return heads.join(grouped, "row", "left").withColumn("gone", F.coalesce("gone", none))
+    return meet(heads, grouped, "row", "left").withColumn("gone", F.coalesce("gone", none))
 
 
 def unit_batch(row, doc_id, pos, size, unit, keys, keyed, heads):

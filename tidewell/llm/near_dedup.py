@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, meet
 from .fuzzy import UNITS, Fresh, cluster, first_places, later, wanted
 from .hashing import mix, runs, shingles, words
 
@@ -154,7 +154,7 @@ def near_duplicates(
         marked.where("first").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(rows.select("text"), ids, _content), percent, partial(shingles, size=size)
     )
     # the smallest id of each unit, then of each component
-    home = marked.where("first").select("unit", "doc_id").join(members.withColumnRenamed("id", "unit"), "unit", "left")
+    home = meet(marked.where("first").select("unit", "doc_id"), members.withColumnRenamed("id", "unit"), "unit", "left")
     least = home.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     home = home.join(least, "component", "left").select("unit", F.coalesce("least", "doc_id").alias("component_id"))
     out = marked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "unit").join(home, "unit", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, drop, stars, unpack_set
+from .common import connected_components, cut, drop, meet, stars, unpack_set
 
 #: Counters of shingles that share one by hash: 4 MB for a task. They only tell which shingles come first.
 COUNTERS = 1 << 22
@@ -153,7 +153,7 @@ def block_pairs(rows: DataFrame, content: DataFrame, percent: int, shingles: Cal
     with_mains = F.transform(F.sequence(-F.col("mains"), -one), lambda k: pair(own, k))
     of_mains = F.transform(F.sequence(zero, F.col("others") - one), lambda k: pair(k, own))
     dealt = placed.select("key", "id", "component", "own", F.inline(F.when(F.col("other"), F.concat(with_others, with_mains)).otherwise(of_mains)))
-    return dealt.join(content.select("id", "text"), "id").groupBy("key", "i", "j").applyInArrow(_compare(percent, shingles), "a long, b long")
+    return meet(dealt, content.select("id", "text"), "id").groupBy("key", "i", "j").applyInArrow(_compare(percent, shingles), "a long, b long")
 
 
 def similar_pairs(
@@ -164,7 +164,7 @@ def similar_pairs(
 
     verify(pairs) keeps the similar ones of some pairs. The result is a table in the shared folder.
     """
-    with_component = lambda rows, c: rows.drop("component").join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    with_component = lambda rows, c: meet(rows.drop("component"), c, "id", "left").withColumn("component", F.coalesce("component", "id"))
     nodes = cut(_prefixes(with_component(sets, known), percent), "prefixes")
 
     def open_groups(rows: DataFrame) -> DataFrame:
