@@ -5,8 +5,10 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from tidewell.llm import common, entry, fuzzy, line_dedup, mixing, passage_dedup, prefix_join, quality, suffix_dedup, token_count, token_output
 from tidewell.llm.common import add_offsets, connected_components, pack_set, unpack_set
 from tidewell.llm.decontaminate import clean_documents, decontaminate
+from tidewell.llm.hashing import shingle_sets, shingles
 from tidewell.llm.near_dedup import keep_one, near_duplicates
 from tidewell.llm.pii import personal_data, span_text
 
@@ -626,3 +629,57 @@ def test_growing_tables_stay_off_the_driver(spark, monkeypatch):
     found = fuzzy.by_row(marked, gone)
     assert len(plans) > 2 and not [p for p in [*plans, plan(wanted)] if "Broadcast" in p]
     assert "SortMergeJoin [unit" in plan(gone) and "SortMergeJoin [row" in plan(found)
+
+
+class Straight:
+    """Stands for a table whose batches go through what mapInArrow() is given."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter(self.batches)))
+
+
+def test_passages_of_many_texts_are_hashed_together(monkeypatch):
+    """Short texts share the calls that hash them, and get the units that each gets by itself."""
+    wrapped = "\n".join(" ".join(prose(950, 90).split()[i : i + 9]) for i in range(0, 90, 9))
+    texts = ["", " \n ", A, "\n\n" + A + "\n \n", "tail of eight words that has no end", wrapped, wrapped + "\n\n" + prose(951, 20), "x", "", B + "\n" + A.upper(), "ü€𝒳 " * 40, "the the " * 30, "\n"] * 20
+    row = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([row, pa.array([None, *range(1, len(texts))], pa.int64()), pa.array(texts)], ["row", "doc_id", "text"])
+    calls, split = [], passage_dedup.split
+    monkeypatch.setattr(passage_dedup, "split", lambda *t: (calls.append(len(t)), split(*t))[1])
+    everything = lambda numbers: np.ones(len(numbers), bool)
+    found = lambda: (pa.Table.from_batches(passage_dedup._units(Straight(batch))), list(passage_dedup._content([batch.select(["text"])], everything)))
+    together, content = found()
+    assert len(calls) < len(texts) / 10 and sum(calls) == 2 * len(texts)
+    monkeypatch.setattr(passage_dedup, "CHUNK", 0)
+    alone, content_alone = found()
+    by_place = [(c, "ascending") for c in ("row", "pos", "size")]
+    assert together.sort_by(by_place).equals(alone.sort_by(by_place)) and content[0].num_rows > 5
+    of = lambda batch: dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    assert of(content[0]) == of(content_alone[0])
+
+
+def test_pairs_are_confirmed_many_at_once(spark, monkeypatch):
+    """Sets of short texts are made together, those of long ones one at a time, with what pairs one by one give."""
+    lines = [prose(960 + i, 5 + i % 40) for i in range(60)]
+    texts = [x.encode() for line in lines for x in (line, line.replace("a", "b", 1), line.upper())] + [b"", b" ", b"two words", b"a b c " * 300]
+    pairs = [(i, j) for i in range(len(texts)) for j in (i + 1, i + 2, i * 7 % len(texts)) if i < j < len(texts)]
+    batch = pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in pairs]) for k in (0, 1)), *(pa.array([texts[p[k]] for p in pairs], pa.binary()) for k in (0, 1))], ["a", "b", "x", "y"])
+
+    class Joined(Straight):
+        select = lambda self, *_: self
+
+    monkeypatch.setattr(fuzzy, "meet", lambda left, *_: left)
+    for chunk, one, many in ((1 << 17, partial(shingles, size=5), partial(shingle_sets, size=5)), (200, partial(shingles, size=5), partial(shingle_sets, size=5)), (1 << 17, line_dedup.line_set, line_dedup.line_sets)):
+        monkeypatch.setattr(fuzzy, "CHUNK", chunk)
+        calls, long = [], []
+        got = fuzzy.verify(Joined(batch), spark.createDataFrame([], fuzzy.CONTENT), 80, lambda t: (long.append(t), one(t))[1], lambda t: (calls.append(t), many(t))[1])
+        want = []
+        for a, b in pairs:
+            x, y = (set(one(texts[k]).tolist()) for k in (a, b))
+            if 100 * len(x & y) >= 80 * len(x | y):
+                want.append((a, b))
+        assert [tuple(r.values()) for g in got for r in g.to_pylist()] == want and 0 < len(want) < len(pairs)
+        assert set(long) == {t for t in texts if len(t) > chunk} and (chunk == 200 or len(calls) == 1)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, drop, maybe_in, meet, membership, pack_set, stars
+from .hashing import flat
 from .prefix_join import block_pairs, similar_pairs
 
 #: Groups of a key of up to this many units give all their pairs.
@@ -20,8 +21,8 @@ SMALL = 12
 #: Groups of up to this many units are compared block by block where several components are left of them; larger ones are
 #: joined by their rarest shingles before.
 LARGE = 4096
-#: Sets that are kept from pair to pair.
-KEPT = 64
+#: Bytes of texts of pairs that are compared at once, unless one pair has more.
+CHUNK = 1 << 17
 
 UNITS = "row long, doc_id long, pos int, size int, n int, unit long, keys array<long>, copy boolean"
 MARKED = "row long, doc_id long, pos int, size int, n int, unit long, keys array<long>, first boolean"
@@ -187,35 +188,48 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 # --- confirmation
 
 
-def verify(pairs: DataFrame, content: DataFrame, percent: int, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
+def verify(
+    pairs: DataFrame, content: DataFrame, percent: int, shingles: Callable[[bytes], np.ndarray], sets: Callable[[list[bytes]], list[np.ndarray]] | None = None
+) -> DataFrame:
     """The pairs (a, b) whose texts in content (id, text) have shingle sets with an intersection of at least `percent` %
-    of their union. Texts of `b` come first: where many pairs have one id as `a`, their rows are as long as these texts,
-    and the adaptive skew join splits them. Rows then come in the order of `a`, so its set is made once."""
+    of their union; sets() gives those of several texts of up to CHUNK bytes, where that costs less. Texts of `b` come first: where many
+    pairs have one id as `a`, their rows are as long as these texts, and the adaptive skew join splits them. Rows then
+    come in the order of `a`, so its set is made once."""
+    sets = sets or (lambda texts: [shingles(t) for t in texts])
+
+    def similar(x: list[bytes], y: list[bytes], kept: dict[bytes, np.ndarray]) -> np.ndarray:
+        texts = dict.fromkeys([*x, *y])
+        short = [t for t in texts if t not in kept and len(t) <= CHUNK]
+        kept |= zip(short, sets(short) if short else [], strict=True)
+        kept |= {t: shingles(t) for t in texts if t not in kept}
+        own, at = [kept[t] for t in texts], {t: k for k, t in enumerate(texts)}
+        n = np.array([len(s) for s in own], np.int64)
+        first, number = np.cumsum(n) - n, np.unique(np.concatenate(own), return_inverse=True)[1]
+        i, j = (np.array([at[t] for t in side], np.int64) for side in (x, y))
+        pair, of = np.tile(np.arange(len(i)), 2), np.concatenate([i, j])
+        both = np.sort(np.repeat(pair * len(number), n[of]) + number[flat(first[of], n[of])])
+        again = both[1:][both[1:] == both[:-1]]
+        same = np.bincount(again // max(1, len(number)), minlength=len(i))
+        return 100 * same >= percent * (n[i] + n[j] - same)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         kept: dict[bytes, np.ndarray] = {}
-
-        def of(text: bytes) -> np.ndarray:
-            found = kept.get(text)
-            if found is None:
-                if len(kept) >= KEPT:
-                    kept.pop(next(iter(kept)))
-                found = kept[text] = shingles(text)
-            return found
-
         for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = b.column(2), b.column(3)
+            size = np.cumsum(pc.add(pc.binary_length(x), pc.binary_length(y)).to_numpy().astype(np.int64))
+            edge = np.unique(np.searchsorted(size, np.arange(CHUNK, int(size[-1]) + 1, CHUNK), "right"))
+            edge = [0, *edge[(edge > 0) & (edge < b.num_rows)].tolist(), b.num_rows]
             good = []
-            for s, t in zip(b.column(2), b.column(3), strict=True):
-                x, y = of(s.as_py()), of(t.as_py())
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    good.append(False)
-                    continue
-                both = np.sort(np.concatenate([x, y]))
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for lo, hi in zip(edge, edge[1:], strict=False):
+                left, right = x[lo:hi].to_pylist(), y[lo:hi].to_pylist()
+                good.append(similar(left, right, kept))
+                kept = {left[-1]: kept[left[-1]]}
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(np.concatenate(good)))
 
     left = content.select(F.col("id").alias("a"), F.col("text").alias("x"))
     right = content.select(F.col("id").alias("b"), F.col("text").alias("y"))
@@ -261,12 +275,18 @@ class Fresh:
         return out
 
 
-def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], percent: int, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
+def cluster(
+    units: DataFrame,
+    content_of: Callable[[DataFrame], DataFrame],
+    percent: int,
+    shingles: Callable[[bytes], np.ndarray],
+    sets: Callable[[list[bytes]], list[np.ndarray]] | None = None,
+) -> DataFrame:
     """(id, component) of those of the units (id, n, keys) that similar ones join; component is the smallest id.
 
     content_of(ids) gives CONTENT. The pairs of small groups are confirmed, and each member of a large one against one
-    hub. Large groups that lie in one component then are done; the members of the others are compared block by block,
-    those of huge ones where an exact join by rarest shingles leaves them. The result is a table in the shared folder.
+    hub, see verify() for sets. Large groups that lie in one component then are done; the members of the others are compared
+    block by block, those of huge ones where an exact join by rarest shingles leaves them. The result is a table in the shared folder.
     """
     written: list[DataFrame] = []
 
@@ -280,7 +300,7 @@ def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], perc
     pairs = kept(small.union(stars(large)).distinct(), "pairs")
     ids = kept(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
     content = kept(content_of(ids), "content")
-    out = cut(connected_components(verify(pairs, content, percent, shingles)), "members")
+    out = cut(connected_components(verify(pairs, content, percent, shingles, sets)), "members")
 
     placed = meet(large, out, "id", "left").withColumn("component", F.coalesce("component", "id"))
     found = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("print"))
@@ -291,9 +311,9 @@ def cluster(units: DataFrame, content_of: Callable[[DataFrame], DataFrame], perc
         more = block_pairs(left.where(F.col("k") <= LARGE).select("key", "id", "component"), content, percent, shingles)
         huge = left.where(F.col("k") > LARGE).select("id").distinct()
         if not huge.isEmpty():
-            sets = kept(sets_of(meet(content, huge, "id", "left_semi"), shingles), "sets")
-            confirm = lambda pairs: verify(pairs, content, percent, shingles)
-            written.append(similar_pairs(sets, content, percent, out, confirm, shingles))
+            packed = kept(sets_of(meet(content, huge, "id", "left_semi"), shingles), "sets")
+            confirm = lambda pairs: verify(pairs, content, percent, shingles, sets)
+            written.append(similar_pairs(packed, content, percent, out, confirm, shingles))
             more = more.union(confirm(written[-1]))
         more = kept(more, "more")
         if not more.isEmpty():

@@ -10,10 +10,11 @@ _U = np.uint64
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
+    x *= _U(0xFF51AFD7ED558CCD)
+    x ^= x >> _U(33)
+    x *= _U(0xC4CEB9FE1A85EC53)
+    x ^= x >> _U(33)
+    return x
 
 
 def seeds(n: int) -> np.ndarray:
@@ -78,6 +79,27 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return np.unique(runs(words(text)[0], size))
 
 
+def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each size, one after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """np.unique() of a few values, without its overhead."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """shingles() of each of several texts, hashed together."""
+    h, start, _ = words(b"\n".join(texts))
+    edge = np.append(np.searchsorted(start, np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])), len(h)).tolist()
+    whole = runs(h, size)
+    return [distinct(whole[lo : hi - size + 1] if hi - lo >= size else runs(h[lo:hi], size)) for lo, hi in zip(edge, edge[1:], strict=False)]
+
+
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of the `width` values from each position on."""
     out, k = x, 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .fuzzy import UNITS, Fresh, by_row, cluster, first_places, removals, unit_batch, wanted
-from .hashing import mix, powers, prefix_sums, seeds
+from .hashing import distinct, mix, powers, prefix_sums, seeds
 
 #: Characters of a shingle: lines of the same language share few runs of this length by chance.
 SHINGLE = 8
@@ -35,6 +35,13 @@ def line_set(line: bytes) -> np.ndarray:
     return np.unique(_shingles(_codes(line.decode("utf-8", "surrogatepass"))))
 
 
+def line_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """line_set() of each of several lines, hashed together."""
+    code = [_codes(x.decode("utf-8", "surrogatepass")) for x in lines]
+    whole, edge = _shingles(np.concatenate(code)), np.cumsum([0, *[len(c) for c in code]]).tolist()
+    return [distinct(whole[lo : hi - SHINGLE + 1]) for lo, hi in zip(edge, edge[1:], strict=False)]
+
+
 def _number(line: str) -> int:
     import xxhash
 
@@ -115,7 +122,7 @@ def repeated_lines(rows: DataFrame, percent: int = 80) -> tuple[DataFrame, DataF
     that are equal or similar to an earlier one. Lines are numbered by 64-bit hashes."""
     marked = cut(first_places(_units(rows)), "lines")
     texts = rows.select("text")
-    members = cluster(marked.where("first").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(texts, ids, _content), percent, line_set)
+    members = cluster(marked.where("first").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(texts, ids, _content), percent, line_set, line_sets)
     return marked, removals(marked, members)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut, meet
 from .fuzzy import UNITS, Fresh, cluster, first_places, later, wanted
-from .hashing import mix, runs, shingles, words
+from .hashing import mix, runs, shingle_sets, shingles, words
 
 #: Minwise values of a document from which paths choose.
 VALUES = 128
@@ -150,9 +150,8 @@ def near_duplicates(
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     units = _units(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), size, trees)
     marked = cut(first_places(units), "documents")
-    members = cluster(
-        marked.where("first").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(rows.select("text"), ids, _content), percent, partial(shingles, size=size)
-    )
+    first = marked.where("first").select(F.col("unit").alias("id"), "n", "keys")
+    members = cluster(first, lambda ids: wanted(rows.select("text"), ids, _content), percent, partial(shingles, size=size), partial(shingle_sets, size=size))
     # the smallest id of each unit, then of each component
     home = meet(marked.where("first").select("unit", "doc_id"), members.withColumnRenamed("id", "unit"), "unit", "left")
     least = home.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))

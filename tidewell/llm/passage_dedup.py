@@ -10,6 +10,7 @@ each other. Similar ones would not do, as a window that begins some words before
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .fuzzy import UNITS, Fresh, by_row, cluster, first_places, removals, unit_batch, wanted
-from .hashing import mix, runs, seeds, shingles, sliding_least, words
+from .hashing import flat, mix, runs, seeds, shingle_sets, shingles, sliding_least, words
 
 #: Words of a window. It begins before a word pair whose hash is the least among REACH to either side: every
 #: 2 REACH + 1 words on average, never within REACH words of another. Nearly every passage of over 50 words has one.
@@ -28,33 +29,46 @@ LEAST, WRAPPED = 8, 20
 SHINGLE = 5
 #: Bands and minwise values of a band: at similarity 0.8 a pair collides with probability 0.993, at 0.9 with 0.9999.
 BANDS, ROWS = 7, 3
+#: Characters of text that are hashed at once, unless one text has more.
+CHUNK = 1 << 16
 _SEEDS = seeds(BANDS * ROWS)
 _U = np.uint64
 
 
-def split(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, hash of each word, start of each word, first word of each \\n-split line with a word, whether it follows a blank line)."""
-    data = text.encode("utf-8", "surrogatepass")
-    h, start, _ = words(data)
+def split(*texts: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, hash of each word, start and end of each word, first word of each text, first word of each \\n-split line with a
+    word, whether it opens its text or follows a blank line) of texts, one after another."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = b"\n".join(parts)
+    h, start, stop = words(data)
+    begin = np.cumsum([0, *[len(x) + 1 for x in parts[:-1]]])
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-    # a line without words has the first word of the next one
-    edge, times = np.unique(np.searchsorted(start, np.concatenate([[0], breaks])), return_counts=True)
-    opens = times > 1
-    opens[:1] = True
-    return data, h, start, edge[edge < len(h)], opens[edge < len(h)]
+    # a line or text without words has the first word of the next one
+    text, (edge, times) = np.searchsorted(start, begin), np.unique(np.searchsorted(start, np.concatenate([[0], breaks])), return_counts=True)
+    some = edge < len(h)
+    edge, opens = edge[some], times[some] > 1
+    opens[np.searchsorted(edge, text[text < len(h)])] = True
+    return data, h, start, stop, text, edge, opens
 
 
-def places(h: np.ndarray) -> np.ndarray:
-    """Starts of the windows in a text's word hashes."""
+def places(h: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the windows in the word hashes of texts, whose first words are `text`: of one if it is not given."""
     n = len(h)
     if n < WINDOW:
         return np.zeros(0, np.int64)
-    g = mix(h + _U(3) * np.append(h[1:], _U(0)))
-    pad = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
-    padded = np.concatenate([pad, g, pad])
-    least = (g == sliding_least(padded, 2 * REACH + 1)) & (g != sliding_least(padded, REACH)[:n])  # of equal ones the first
-    at = np.flatnonzero(least)
-    return at[at + WINDOW <= n]
+    text = np.zeros(1, np.int64) if text is None else text
+    size = np.diff(text, append=n)
+    last = (text + size)[size > 0]
+    after = np.append(h[1:], _U(0))
+    after[last - 1] = 0
+    g = mix(h + _U(3) * after)
+    # texts lie REACH apart, so that none reaches into another
+    at = np.arange(n) + np.repeat(np.arange(len(text)) * REACH, size)
+    padded = np.full(n + (len(text) + 1) * REACH, np.iinfo(np.uint64).max, np.uint64)
+    padded[at + REACH] = g
+    least = (g == sliding_least(padded, 2 * REACH + 1)[at]) & (g != sliding_least(padded, REACH)[at])  # of equal ones the first
+    found = np.flatnonzero(least)
+    return found[found + WINDOW <= np.repeat(last, size[size > 0])[found]]
 
 
 def paragraphs(h: np.ndarray, edge: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,16 +84,11 @@ def paragraphs(h: np.ndarray, edge: np.ndarray, opens: np.ndarray) -> tuple[np.n
     return start[size >= LEAST], size[size >= LEAST]
 
 
-def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each size, one after another."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
 def numbers(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the words of each paragraph, in their order."""
     if not len(start):
         return np.zeros(0, np.int64)
-    at, edge = _flat(start, size), np.cumsum(size) - size
+    at, edge = flat(start, size), np.cumsum(size) - size
     inner = (at - np.repeat(start, size)).astype(np.uint64)
     terms = mix(h[at] ^ mix(inner + _U(0x632BE59BD9B4E019)))
     return mix(np.add.reduceat(terms, edge) + size.astype(np.uint64)).view(np.int64)
@@ -99,6 +108,19 @@ def bands(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _chunks(column) -> Iterator[list[str]]:
+    """The texts of an Arrow column, as many at once as have CHUNK characters together."""
+    held, chars = [], 0
+    for t in column:
+        held.append(t.as_py())
+        chars += len(held[-1])
+        if chars >= CHUNK:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
+
+
 def _units(rows: DataFrame) -> DataFrame:
     """UNITS of rows (row, doc_id, text), where pos and size count words, and a head for each row."""
 
@@ -108,18 +130,19 @@ def _units(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            found = []
-            for t in b.column(2):
-                _, h, _, edge, opens = split(t.as_py())
-                (start, size), window = paragraphs(h, edge, opens), places(h)
+            found, before = [], 0
+            for texts in _chunks(b.column(2)):
+                _, h, _, _, text, edge, opens = split(*texts)
+                (start, size), window = paragraphs(h, edge, opens), places(h, text)
                 window = window[~np.isin(window, start[size == WINDOW])]  # a line that is a window comes once
                 all_start, all_size = np.concatenate([start, window]), np.concatenate([size, np.full(len(window), WINDOW)])
                 keys = np.concatenate([bands(h, start, size), np.zeros((len(window), BANDS), np.int64)])
-                found.append((all_start, all_size, numbers(h, all_start, all_size), keys, np.arange(len(all_start)) < len(start)))
-            count = np.array([len(f[0]) for f in found], np.int64)
-            at = np.repeat(np.arange(b.num_rows), count)
-            start, size, unit, keys, keyed = (np.concatenate(x) for x in zip(*found, strict=True))
-            row = b.column(0).to_numpy()
+                owner = np.searchsorted(text, all_start, "right") - 1
+                number, keyed = numbers(h, all_start, all_size), np.arange(len(all_start)) < len(start)
+                found.append((owner + before, all_start - text[owner], all_size, number, keys, keyed))
+                before += len(texts)
+            at, start, size, unit, keys, keyed = (np.concatenate(x) for x in zip(*found, strict=True))
+            row, count = b.column(0).to_numpy(), np.bincount(at, minlength=b.num_rows)
             yield unit_batch(row[at], b.column(1).take(pa.array(at)), start, size, unit, keys, keyed, (row, b.column(1), count))
 
     return rows.mapInArrow(run, UNITS)
@@ -131,15 +154,15 @@ def _content(batches, maybe):
 
     fresh = Fresh()
     for b in batches:
-        ids, texts = [], []
-        for t in b.column(0):
-            data, h, word, edge, opens = split(t.as_py())
+        ids, found = [], []
+        for texts in _chunks(b.column(0)):
+            data, h, first, stop, _, edge, opens = split(*texts)
             start, size = paragraphs(h, edge, opens)
-            number, stop = numbers(h, start, size), np.append(word, len(data))
+            number = numbers(h, start, size)
             for i in fresh(np.flatnonzero(maybe(number)), number):
                 ids.append(int(number[i]))
-                texts.append(data[stop[start[i]] : stop[start[i] + size[i]]])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["id", "text"])
+                found.append(data[first[start[i]] : stop[start[i] + size[i] - 1]])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "text"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +172,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # of units without bands only repeats go on
     marked = cut(first_places(_units(rows)).where("unit is null or not first or keys is not null"), "paragraphs")
     texts = rows.select("text")
-    members = cluster(marked.where("first and keys is not null").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(texts, ids, _content), percent, partial(shingles, size=SHINGLE))
+    members = cluster(marked.where("first and keys is not null").select(F.col("unit").alias("id"), "n", "keys"), lambda ids: wanted(texts, ids, _content), percent, partial(shingles, size=SHINGLE), partial(shingle_sets, size=SHINGLE))
     return marked, removals(marked, members, nested=True)
 
 
@@ -161,7 +184,7 @@ def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of at least `percent` % of their union, windows if they are equal; paragraphs belong together if similar ones lead
     from one to the other. The first place of a component, by doc_id (null first), row and word, stays.
     Lines and texts of fewer than LEAST words are left alone; a null or empty text has no paragraphs. Repeated rows are texts of their own.
-    An empty table gives no rows; other columns don't pass. Texts are hashed whole, one at a time.
+    An empty table gives no rows; other columns don't pass. Texts are hashed whole, CHUNK characters or one text at a time.
     """
     out = by_row(*repeated_passages(docs, id_col, text_col, percent))
     none = F.array().cast("array<struct<start:int,end:int>>")
