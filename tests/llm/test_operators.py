@@ -539,6 +539,25 @@ def test_mixing(spark, docs, none):
     assert all(words[d] <= 2 * len(words_of(t)) for d, t, *_ in rows)
 
 
+def test_mixed_texts_go_to_python_once(spark, monkeypatch):
+    # long texts of which many blocks are left out, so that each has many stretches
+    rows = [(i, prose(i, 3000), "en", "rst"[i % 3], i) for i in range(24)]
+    df = spark.createDataFrame(rows, COLUMNS).repartition(2)
+    monkeypatch.setattr(mixing, "CHARS", 1 << 10)
+    mixed = mixing.mixed_documents(df)
+    got = mixed.collect()
+    text = {r[0]: r[1] for r in rows}
+    assert len(got) > 3 * len(rows) and all(r["text"] in text[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r["doc_id"]] += len(words_of(r["text"]))
+    assert taken == {r["doc_id"]: r["taken"] for r in mixing.mixed_sizes(df).collect() if r["taken"]}
+    plan = mixed._jdf.queryExecution().executedPlan().executedPlan()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head() if plan.children().nonEmpty() else plan.plan()
+    assert plan.metrics().apply("pythonDataSent").value() < 1.5 * sum(len(x.encode()) for x in text.values())
+
+
 def test_mixing_of_small_sources(spark):
     # among a large source, which leaves the others of weight 1 and 2 their bound of two passes or less
     sizes = [*range(1, 16), 33, 40, 64, 65, 70, 100, 127, 128, 129, 200]

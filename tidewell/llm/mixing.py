@@ -11,9 +11,12 @@ over ranges of shards, then over the shards of a range.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD, add_offsets, cut
 
@@ -26,6 +29,8 @@ SHARD, RANGE = 4096, 4096
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
 #: Rows that a task of draws makes at once.
 ROWS = 1 << 16
+#: Characters of stretches that a task gives back at once, unless one has more.
+CHARS = 1 << 20
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
@@ -207,39 +212,46 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     w = Window.partitionBy("row", "turn").orderBy("block")
     each = each.withColumn("run", F.col("block") - F.row_number().over(w))
     runs = each.groupBy("row", "turn", "run").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"), F.min("size").alias("size"))
-    runs = runs.groupBy("row").agg(F.collect_list(F.struct("turn", "begin", "stop", "size")).alias("runs"))
-    joined = rows.join(runs, "row").select("doc", F.explode(F.array_sort("runs")).alias("r"))
-    part = _stretch(joined, text_col)
-    columns = [F.col(f"doc.`{c}`").alias(c) if c not in (text_col, chars_col) else (F.col("part") if c == text_col else F.length("part").cast("long")).alias(c) for c in kept]
-    return part.select(*columns)
-
-
-def _stretch(rows: DataFrame, text_col: str) -> DataFrame:
-    """rows (doc, r) with `part`, the words r.begin to r.stop of the text with the white space between them."""
+    runs = runs.groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("turn", "begin", "stop"))).alias("runs"))
+    others = F.struct(*[F.col(f"doc.`{c}`") for c in kept if c not in (text_col, chars_col)]).alias("others")
+    part = _stretches(rows.join(runs, "row").select(F.col(f"doc.`{text_col}`").alias("text"), "runs.begin", "runs.stop", "size", others))
+    made = {text_col: F.col("part"), chars_col: F.length("part").cast("long")}
+    return part.select(*[made.get(c, F.col(f"others.`{c}`")).alias(c) for c in kept])
+
+
+def stretch(text: str, begin: int, stop: int, size: int) -> str:
+    """The words begin to stop of the text's `size` words, with the white space between them; the whole text if these are all."""
+    if begin == 0 and stop == size:
+        return text
+    first = last = 0
+    for i, m in enumerate(re.finditer(WORD, text)):
+        if i == begin:
+            first = m.start()
+        if i == stop - 1:
+            last = m.end()
+            break
+    return text[first:last]
+
+
+def _stretches(rows: DataFrame) -> DataFrame:
+    """(others, part) for each stretch of rows (text, begin, stop, size, others), whose begin and stop are arrays. A text goes to
+    Python once, however many stretches it has, and these come back as soon as they have CHARS characters."""
 
     def run(batches):
-        import re
-
         import pyarrow as pa
 
-        words = re.compile(r"[^\x20\x09-\x0D]+")
         for b in batches:
-            out = []
-            for text, begin, stop, size in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
-                if begin == 0 and stop == size:
-                    out.append(text)
-                    continue
-                first = last = 0
-                for i, m in enumerate(words.finditer(text)):
-                    if i == begin:
-                        first = m.start()
-                    if i == stop - 1:
-                        last = m.end()
-                        break
-                out.append(text[first:last])
-            yield pa.RecordBatch.from_arrays([b.column(4), pa.array(out, pa.string())], ["doc", "part"])
-
-    from pyspark.sql import types as T
-
-    flat = rows.select(F.col(f"doc.`{text_col}`").alias("t"), "r.begin", "r.stop", "r.size", "doc")
-    return flat.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("part", T.StringType())]))
+            at, out, held = [], [], 0
+            for k in range(b.num_rows):
+                text, begin, stop, size = (b.column(i)[k].as_py() for i in range(4))
+                for x, y in zip(begin, stop, strict=True):
+                    at.append(k)
+                    out.append(stretch(text, x, y, size))
+                    held += len(out[-1])
+                    if held >= CHARS:
+                        yield pa.RecordBatch.from_arrays([b.column(4).take(pa.array(at)), pa.array(out, pa.string())], ["others", "part"])
+                        at, out, held = [], [], 0
+            if at:
+                yield pa.RecordBatch.from_arrays([b.column(4).take(pa.array(at)), pa.array(out, pa.string())], ["others", "part"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["others"], T.StructField("part", T.StringType())]))
