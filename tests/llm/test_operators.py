@@ -125,6 +125,23 @@ def test_numbers_with_blanks_and_patterns_to_the_right(spark):
     assert got[12] == f"phone:{texts[12].index('030')}:{texts[12].index(' after')}" and got[13] == f"phone:{texts[13].index('(555)')}:{texts[13].index(' after')}" and got[14] == ""
 
 
+def test_endless_runs_of_numbers_beside_sure_patterns(spark):
+    seen = [f"{prose(i, 20)} call +1 (555) 555-{1000 + i} after noon {prose(100 + i, 20)}" for i in range(12)]
+    runs = ["7 " * 50_000 + "7", "8" * 50_000, "9-" * 50_000 + "9", "1.2.3.4" + ".999" * 50_000]
+    texts = [*seen, f"{prose(200, 9)} call 030 1234567 after noon", *[f"{prose(300 + i, 9)} call {r} after noon" for i, r in enumerate(runs)]]
+    got, first = spans_of(spark, texts), texts[16].index("1.2.3.4")
+    assert got[12] == f"phone:{texts[12].index('030')}:{texts[12].index(' after')}"
+    assert [got[13 + i] for i in range(4)] == ["", "", "", f"ip:{first}:{first + 7}"]
+
+
+def test_many_spans_of_one_text_and_equal_ends(spark):
+    seen = [f"please write to user{i}@mail.example.com about it {prose(i, 30)}" for i in range(20)]
+    many = "please write to w1@intra about it or a@b.co and 1.2.3.4 " * 3_000
+    got = spans_of(spark, [*seen, *["please write to w1@intra about it"] * 3, many])[23].split(",")
+    at = range(0, len(many), 56)
+    assert got == [f"email:{s}:{e}" for i in at for s, e in ((i + 16, i + 24), (i + 37, i + 43))] + [f"ip:{i + 48}:{i + 55}" for i in at]
+
+
 def test_personal_data_of_odd_tables(spark, none):
     rows = [(None, "mail me@site.example.org", 1), (1, "mail me@site.example.org", 1), (1, "mail me@site.example.org", 1), (2, None, 1)]
     got = personal_data(spark.createDataFrame(rows, "doc_id long, text string, row long"))

@@ -40,11 +40,12 @@ CANDIDATES = {
     ),
     "number": r"(?:\G|(?<![A-Za-z0-9]))\(?[0-9](?:[().\x20/-]{0,2}+[0-9]++)*+",
 }
-#: What a candidate must look like to be counted as an unseen identifier of a kind, and the digits it must have.
+#: What a candidate must look like to be counted as an unseen identifier of a kind, and the digits it must have. A candidate
+#: may be as long as its text: repeated groups don't give back, as Java takes such by recursion and runs out of stack.
 SHAPES = {
     "email": (r"^[^@]+@[^@]+$|[\[(\x20]at[\])\x20]", 0, 1000),
-    "ip": (r"^[0-9]+(?:\.[0-9]+){3,}(?::[0-9]+)?$", 4, 24),
-    "card": (r"^[0-9](?:[\x20-]?[0-9])+$", 13, 19),
+    "ip": (r"^[0-9]++(?:\.[0-9]++){3,}+(?::[0-9]++)?$", 4, 24),
+    "card": (r"^[0-9](?:[\x20-]?[0-9])++$", 13, 19),
     "phone": (r"^\(?[0-9][0-9().\x20/-]+[0-9]$", 7, 15),
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -184,9 +185,11 @@ def personal_data(
     is_base = F.col("kind").isin(kinds)
     base = every.where(is_base)
 
-    around = Window.partitionBy("row").orderBy("start", "end")
-    before = F.max(F.when(is_base, F.col("end"))).over(around.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(is_base, F.col("start"))).over(around.rowsBetween(1, Window.unboundedFollowing))
+    # each order is the other reversed, ties too; a frame that ends with the window is summed up anew for each of its rows
+    earlier = Window.partitionBy("row").orderBy("start", "end", is_base).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), is_base.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max(F.when(is_base, F.col("end"))).over(earlier)
+    after = F.min(F.when(is_base, F.col("start"))).over(later)
     free = every.withColumns({"before": before, "after": after}).where(~is_base)
     free = free.where((F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end")))
     digits = F.length(F.regexp_replace("match", "[^0-9]+", ""))
@@ -201,12 +204,13 @@ def personal_data(
     sure = _score(edges, pairs, turns, least_seeds).where(F.col("score") >= least_score).select(F.col("kind").alias("_kind"), F.col("instance").alias("found"))
     added = free.select("row", F.explode("kinds").alias("kind"), "start", "end", "match")
     added = added.join(sure, (F.col("kind") == F.col("_kind")) & (F.lower("match") == F.col("found")), "left_semi")
+    added = added.select("row", "kind", "start", "end").distinct()  # here: array_distinct compares all pairs of structs
 
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("k")
     span = F.struct(order, "kind", "start", "end")
     spans = base.select("row", span.alias("s"), F.lit(True).alias("b")).union(added.select("row", span.alias("s"), F.lit(False).alias("b")))
     grouped = spans.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.when(F.col("b"), F.col("s")))).alias("base"), F.array_distinct(F.array_sort(F.collect_list("s"))).alias("spans")
+        F.array_sort(F.collect_list(F.when(F.col("b"), F.col("s")))).alias("base"), F.array_sort(F.collect_list("s")).alias("spans")
     )
     kind = "array<struct<k:bigint,kind:string,start:bigint,end:bigint>>"
     out = mentions.select("row", F.col("_id").alias(id_col)).join(grouped, "row", "left").drop("row")
